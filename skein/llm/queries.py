@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from skein.llm.decontaminate import OP2_SQL, op2_decontaminate
+from skein.llm.jaccard_join import op9_jaccard_join
+from skein.llm.language_id import op3_language_id
 from skein.llm.license_scan import OP5_SQL, op5_license_scan
 from skein.llm.line_dedup import OP1_SQL, op1_line_dedup
 from skein.llm.url_filters import OP7_SQL, op7_url_filters
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_language_id": op3_language_id,
     "op5_license_scan": op5_license_scan,
     "op7_url_filters": op7_url_filters,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
+    "op2_decontaminate": OP2_SQL,
     "op5_license_scan": OP5_SQL,
     "op7_url_filters": OP7_SQL,
 }
