@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from skein.plans import library_queries, ordered_queries, sequential_queries, table_queries
+
+_MODULES = (ordered_queries, table_queries, library_queries, sequential_queries)
+QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
