@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from skein.functions.numeric import half_up
 
@@ -14,7 +15,7 @@ from skein.functions.numeric import half_up
 NOTE_NAMES = ("C", "C♯", "D", "D♯", "E", "F", "F♯", "G", "G♯", "A", "A♯", "B")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(text: pd.Series) -> pd.Series:
     """NFKC and lower case; Spark has no NFKC, so this is the one text function in Python."""
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).lower())
