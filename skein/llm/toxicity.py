@@ -30,6 +30,8 @@ EPOCHS, BATCH, RATE, SEED = 4, 256, 0.01, 7
 #: Standard errors that a log-odds weight is lowered by.
 DOUBT = 2.0
 THRESHOLD = 0.3
+#: Window logit of a text without words, of which nothing can be learned.
+WORDLESS = -4.0
 
 
 def _hash_bytes(terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -288,6 +290,7 @@ def score_windows(net: Net, ids: np.ndarray, ptr: np.ndarray, hashed, block: int
     out = np.full(len(ptr) - 1, -np.inf)
     for lo in range(0, len(windows), block):
         np.maximum.at(out, doc[lo : lo + block], forward(net, projected, windows[lo : lo + block]))
+    out[ptr[1:] == ptr[:-1]] = WORDLESS
     return out
 
 
