@@ -81,3 +81,20 @@ def components8(spark, d):
         mask[y, x] = True
     lab, area = raster.components8(mask)
     return spark.createDataFrame([(int(x), int(y), int(lab[y, x]), int(area[lab[y, x] - 1])) for x, y in points], "x int, y int, label int, area int")
+
+
+@query()
+def listen_session(spark, d):
+    from skein.streaming.listener import follow
+
+    tunes = {"low": [40, 45, 50], "high": [57, 62, 64], "off": [41, 46, 51]}
+    chunks, events = [], []
+    for name, notes in tunes.items():
+        heard = np.zeros(int(2.6 * 48000), np.float32)
+        for i, m in enumerate([40, 45, 50] if name == "off" else notes):
+            own = synthetic.pluck(m, 1.9 - 0.6 * i)
+            heard[int((0.5 + 0.6 * i) * 48000) :][: len(own)] += own
+            events.append((name, i, f"{name}:{i}", [notes[i]]))
+        chunks += [(name, i, heard[a : a + 24000].tolist()) for i, a in enumerate(range(0, len(heard), 24000))]
+    samples = spark.createDataFrame(chunks, "session string, seq int, samples array<float>")
+    return follow(samples, spark.createDataFrame(events, "session string, idx int, id string, notes array<int>")).filter("kind = 'accept'").select("session", "id", F.round("t", 2).alias("t"))
