@@ -98,3 +98,14 @@ def listen_session(spark, d):
         chunks += [(name, i, heard[a : a + 24000].tolist()) for i, a in enumerate(range(0, len(heard), 24000))]
     samples = spark.createDataFrame(chunks, "session string, seq int, samples array<float>")
     return follow(samples, spark.createDataFrame(events, "session string, idx int, id string, notes array<int>")).filter("kind = 'accept'").select("session", "id", F.round("t", 2).alias("t"))
+
+
+@query()
+def read_page(spark, d):
+    from skein.operators import pages
+
+    tabs = {0: [{6: 3, 5: 2}, "|", {4: 12, 1: 7}, {3: 24}], 1: [{1: 0, 2: 1, 3: 5}, {6: 20}], 2: []}
+    planes = {k: synthetic.tab_page(v) for k, v in tabs.items()}
+    rows = [(k, p.shape[1], p.shape[0], bytearray(p.tobytes())) for k, p in planes.items()]
+    classify = pages.by_templates({c: pages.describe(synthetic.digit(c)) for c in synthetic.DIGITS})
+    return pages.read_pages(spark.createDataFrame(rows, "page_id int, w int, h int, px binary"), classify)
