@@ -4,7 +4,8 @@ Equal sets are one class from the start, so exact copies cost a row each and not
 classes, two sets can only be similar if the beginnings of both, in one fixed order of all shingles,
 meet: sets of up to ``boundary`` shingles enumerate the fixed-size subsets (pairs) of a beginning, as
 several common shingles make few false candidates; larger sets use inverted lists of single
-shingles.  Sets near the boundary do both.  The boundary minimises the cost estimated from the
+shingles, which are scanned and counted: with a beginning that is longer by k - 1, similar sets meet
+in k lists.  Sets near the boundary do both.  The boundary minimises the cost estimated from the
 histogram of set sizes.  The order puts shingles seen in many documents last; which ones those are
 changes only the cost, never the result, so that list is bounded.
 
@@ -34,6 +35,8 @@ MOST_HOT = 1_000_000
 HOT_DOCS, DENSE = 16, 48
 #: Shingles that are counted together while frequent ones are looked for, and texts hashed together.
 CHUNK, TEXTS = 4_000_000, 500
+#: Rows of lists that are paired together, up to the end of a list.
+RUN_ROWS = 500_000
 _BITS = np.uint64(54)
 _LOW = np.uint64((1 << 54) - 1)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -118,6 +121,11 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def meetings(n: np.ndarray) -> np.ndarray:
+    """Lists of single shingles in which a set of n has to meet any larger one that is similar."""
+    return 2 + n // 40
+
+
 def _ordered(doc: np.ndarray, shingle: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each document's shingles in the fixed order, and their rank."""
     late = np.zeros(len(shingle), bool)
@@ -136,7 +144,7 @@ def _signing(hot, boundary: int, size: int, percent: int):
             sid, n = _digests(doc, shingle, batch.num_rows)
             shingle, rank = _ordered(doc, shingle, hot.value)
             length = (n - needed(n, percent))[doc]
-            single = (rank <= length) & (n[doc] > boundary * percent // 100)
+            single = (rank < length + meetings(n[doc])) & (n[doc] > boundary * percent // 100)
             front = (rank <= length + 1) & (n[doc] <= boundary)
             d, s = doc[front], shingle[front]
             left = np.minimum(length + 1, n[doc] - 1)[front] - rank[front]
@@ -172,16 +180,18 @@ def choose_boundary(sizes: list[tuple[int, int]], percent: int, row: float = 1.0
 def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pd.DataFrame]:
     """Frames that never cut a run of equal ``by``, from batches sorted by it."""
     held: list[pd.DataFrame] = []
+    total = 0
     for batch in batches:
         frame = batch.to_pandas()
         if not len(frame):
             continue
         keys = frame[by].to_numpy()
         cut = int(np.searchsorted(keys, keys[-1], "left"))
-        if cut:
-            yield pd.concat([*held, frame.iloc[:cut]]) if held else frame.iloc[:cut]
-            held = []
-        held.append(frame.iloc[cut:])
+        if cut and total + cut >= RUN_ROWS:
+            yield pd.concat([*held, frame.iloc[:cut]])
+            held, total, frame = [], 0, frame.iloc[cut:]
+        held.append(frame)
+        total += len(frame)
     if held:
         yield pd.concat(held)
 
@@ -190,8 +200,11 @@ def _fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b).astype(np.int64) >= percent * np.maximum(a, b)
 
 
-def _pairing(percent: int, dense: int):
-    """Candidates of each list, and the members of long lists (a: the list, b: the class)."""
+def _pairing(percent: int, dense: int, boundary: int):
+    """Candidates (a, b, n: meetings needed, c: meetings) and members of long lists (a: the list, b: the class, n: its size, c: 0).
+
+    Pairs that share a long list need not be counted there: they are compared by its members.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in _runs(batches, "sig"):
@@ -204,8 +217,10 @@ def _pairing(percent: int, dense: int):
             until = np.repeat((first + count)[some], count[some])
             j, i = expand(member + 1, until - member - 1)
             i = member[i]
+            pair = sig[i] < 0
             a, b = [sid[i]], [sid[j]]
-            ok = [_fits(n[i], n[j], percent)]
+            ok = [_fits(n[i], n[j], percent) & (pair | (np.maximum(n[i], n[j]) > boundary))]
+            need = [np.where(pair, 1, meetings(np.minimum(n[i], n[j])))]
             lists: tuple[list, list, list] = ([], [], [])
             for f, c in zip(first[count > dense].tolist(), count[count > dense].tolist(), strict=True):
                 order = f + np.argsort(n[f : f + c], kind="stable")
@@ -217,14 +232,15 @@ def _pairing(percent: int, dense: int):
                     a.append(sid[order])
                     b.append(sid[pivot])
                     ok.append(_fits(n[order], n[pivot], percent) & (order != pivot))
+                    need.append(np.zeros(c, np.int64))
                 for own, x in zip(lists, (sig[order], sid[order], n[order]), strict=True):
                     own.append(x)
-            a, b, ok = map(np.concatenate, (a, b, ok))
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, ok], axis=1)
+            a, b, ok, need = map(np.concatenate, (a, b, ok, need))
+            pairs = pd.DataFrame({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok], "n": need[ok].astype(np.int32)})
+            pairs = pairs.groupby(["a", "b"], sort=False, as_index=False).agg(n=("n", "min"), c=("n", "size"))
             longs = [np.concatenate(x) if x else np.empty(0, np.int64) for x in lists]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(pairs[0], longs[0])), pa.array(np.append(pairs[1], longs[1])), pa.array(np.append(np.zeros(pairs.shape[1]), longs[2]).astype(np.int32))], ["a", "b", "n"]
-            )
+            cols = [np.append(pairs["a"], longs[0]), np.append(pairs["b"], longs[1]), np.append(pairs["n"], longs[2]), np.append(pairs["c"], np.zeros(len(longs[0])))]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(cols, (np.int64, np.int64, np.int32, np.int32), strict=True)], ["a", "b", "n", "c"])
 
     return run
 
@@ -292,16 +308,17 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     boundary = choose_boundary([(r[0], r[1]) for r in classes.groupBy(bins.alias("s")).count().collect()], percent)
     signed = rows.mapInArrow(_signing(spark.sparkContext.broadcast(hot), boundary, size, percent), "sig bigint, sid bigint, n int")
     lists = signed.repartition("sig").sortWithinPartitions("sig", "sid")
-    found = materialise(lists.mapInArrow(_pairing(percent, dense), "a bigint, b bigint, n int"), "candidates")
+    found = materialise(lists.mapInArrow(_pairing(percent, dense, boundary), "a bigint, b bigint, n int, c int"), "candidates")
+    likely = found.filter("c > 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("n").alias("n")).filter("c >= n").select("a", "b")
     node = classes.select("sid", F.coalesce("rep", "sid").alias("rep"))
 
     def named(links: DataFrame) -> DataFrame:
         left = links.join(node.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), "a")
         return left.join(node.select(F.col("sid").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
-    links = materialise(named(_verified(found.filter("n = 0").select("a", "b"), rows, classes, size, percent)), "links")
+    links = materialise(named(_verified(likely, rows, classes, size, percent)), "links")
     comp = components(links)
-    longs = found.filter("n > 0")
+    longs = found.filter("c = 0")
     if not longs.isEmpty():
         placed = longs.join(node.select(F.col("sid").alias("b"), "rep"), "b").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
         placed = placed.select("a", "b", "n", F.coalesce("component", "rep").alias("comp"))
