@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.store import materialise
 
 
+#: Nodes from here on stand for rows without an id; ids have to be smaller.
+NAMELESS = 1 << 62
+
+
+def node_of(smallest_id: Column, key: Column) -> Column:
+    """A class's node: its smallest id, or one at ``NAMELESS`` or beyond, so that ids come first as minima."""
+    return F.coalesce(smallest_id, key.bitwiseAND(F.lit(NAMELESS - 1)) + F.lit(NAMELESS))
+
+
+def named(component: Column) -> Column:
+    """The component's id; null where no row of it has one."""
+    return F.when(component < NAMELESS, component)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b bigint); component: the smallest node reached.
 

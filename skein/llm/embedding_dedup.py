@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.components import components
+from skein.llm.components import components, named, node_of
 from skein.llm.store import materialise
 from skein.llm.textcols import mix64
 
@@ -303,11 +303,11 @@ def near_duplicates(
     pairs = graphs.join(asking, ["grp", "shard"]).repartition("grp", "shard", "q_shard")
     met = materialise(pairs.mapInPandas(_querying(threshold, recall), "a bigint, b bigint, n bigint, kind int"), "met")
     counts = met.filter("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("near"))
-    name = classes.select("cid", F.coalesce("rep", "cid").alias("rep"))
+    name = classes.select("cid", node_of(F.col("rep"), F.col("cid")).alias("rep"))
     links = met.filter("kind = 1").join(name.select(F.col("cid").alias("a"), F.col("rep").alias("ra")), "a").join(name.select(F.col("cid").alias("b"), F.col("rep").alias("rb")), "b")
     comp = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    info = classes.select("cid", "size", F.coalesce("rep", "cid").alias("node")).join(comp, "node", "left").join(counts, "cid", "left")
-    info = info.select("cid", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    info = classes.select("cid", "size", node_of(F.col("rep"), F.col("cid")).alias("node")).join(comp, "node", "left").join(counts, "cid", "left")
+    info = info.select("cid", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), named(F.coalesce("component", "node")).alias("component"))
     done = rows.select("id", "cid").join(info, "cid", "left")
     component = F.coalesce("component", "id")
     return done.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

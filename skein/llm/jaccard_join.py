@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.components import components
+from skein.llm.components import components, named, node_of
 from skein.llm.store import arrow_batches, materialise
 from skein.llm.textcols import LOWER, NOT_WHITE, buffers, expand, mix64, word_ids, words
 
@@ -293,7 +293,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Two documents link when their sets' Jaccard similarity is ``percent`` / 100 or more; component_id
     is the smallest id that links reach.  A text that is null or without words has no set and is
     linked with nothing, its own component.  Repeated rows are equal sets.  Rows with a null id take
-    part in links, but a component's id is the smallest that is not null.  Only the id and the text
+    part in links, but a component's id is the smallest that is not null, if there is one.  Only the id and the text
     are read, whatever other columns are called.
     """
     spark = docs.sparkSession
@@ -310,24 +310,24 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     lists = signed.repartition("sig").sortWithinPartitions("sig", "sid")
     found = materialise(lists.mapInArrow(_pairing(percent, dense, boundary), "a bigint, b bigint, n int, c int"), "candidates")
     likely = found.filter("c > 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("n").alias("n")).filter("c >= n").select("a", "b")
-    node = classes.select("sid", F.coalesce("rep", "sid").alias("rep"))
+    node = classes.select("sid", node_of(F.col("rep"), F.col("sid")).alias("rep"))
 
-    def named(links: DataFrame) -> DataFrame:
+    def by_node(links: DataFrame) -> DataFrame:
         left = links.join(node.select(F.col("sid").alias("a"), F.col("rep").alias("ra")), "a")
         return left.join(node.select(F.col("sid").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
-    links = materialise(named(_verified(likely, rows, classes, size, percent)), "links")
+    links = materialise(by_node(_verified(likely, rows, classes, size, percent)), "links")
     comp = components(links)
     longs = found.filter("c = 0")
     if not longs.isEmpty():
         placed = longs.join(node.select(F.col("sid").alias("b"), "rep"), "b").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
         placed = placed.select("a", "b", "n", F.coalesce("component", "rep").alias("comp"))
         cross = placed.repartition("a").sortWithinPartitions("a").mapInArrow(_crossing(percent), "a bigint, b bigint")
-        more = named(_verified(cross, rows, classes, size, percent))
+        more = by_node(_verified(cross, rows, classes, size, percent))
         comp = components(links.unionAll(more))
     group = node.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("sid", F.coalesce("component", "rep").alias("component"))
     placed = own.join(group, "sid", "left")
-    return placed.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"))
+    return placed.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, named(F.col("component"))).otherwise(F.col("doc")).alias("component_id"))
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
