@@ -24,8 +24,8 @@ from skein.llm.textcols import ALNUM, LOWER, buffers, expand, mix64, word_ids, w
 SPAN, STRIDE, HIDDEN, ATTEND = 40, 32, 12, 12
 #: Hashed classes of embeddings and of log-odds, and widths of the embeddings.
 BUCKETS, ODDS, WORD_DIM, CHAR_DIM = 1 << 14, 1 << 17, 8, 12
-#: Bounds of the training sample: documents of each label, and bytes of each document.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 2000, 4000, 1 << 17
+#: Bounds of the training sample: documents of each label, and characters of each (scoring has no bound).
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1200, 1800, 1 << 14
 EPOCHS, BATCH, RATE, SEED = 4, 256, 0.01, 7
 #: Standard errors that a log-odds weight is lowered by.
 DOUBT = 2.0
@@ -91,12 +91,17 @@ class Net:
         )
 
     def inputs(self, h: np.ndarray, grams: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Input vectors of distinct words."""
-        if not len(h):
-            return np.zeros((0, WORD_DIM + CHAR_DIM + 2), np.float32)
-        mean = np.add.reduceat(self.char[(grams % np.uint64(BUCKETS)).astype(np.int64)], first) / count[:, None]
-        top = np.maximum.reduceat(self.odds_char[(grams % np.uint64(ODDS)).astype(np.int64)], first)
-        return np.concatenate([self.word[(h % np.uint64(BUCKETS)).astype(np.int64)], mean, self.odds_word[(h % np.uint64(ODDS)).astype(np.int64)][:, None], top[:, None]], 1).astype(np.float32)
+        """Input vectors of distinct words; some thousand words' n-grams are looked up at a time."""
+        out = np.empty((len(h), WORD_DIM + CHAR_DIM + 2), np.float32)
+        for lo in range(0, len(h), 4096):
+            own = slice(lo, lo + 4096)
+            begin = first[lo]
+            part = grams[begin : first[own][-1] + count[own][-1]]
+            out[own, :WORD_DIM] = self.word[(h[own] % np.uint64(BUCKETS)).astype(np.int64)]
+            out[own, WORD_DIM:-2] = np.add.reduceat(self.char[(part % np.uint64(BUCKETS)).astype(np.int64)], first[own] - begin) / count[own][:, None]
+            out[own, -2] = self.odds_word[(h[own] % np.uint64(ODDS)).astype(np.int64)]
+            out[own, -1] = np.maximum.reduceat(self.odds_char[(part % np.uint64(ODDS)).astype(np.int64)], first[own] - begin)
+        return out
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """[2, words + 1, 3H]: what each word adds to the gates of both directions; the last row is no word."""
@@ -196,10 +201,12 @@ def cut(ids: np.ndarray, ptr: np.ndarray, none: int) -> tuple[np.ndarray, np.nda
     count = np.maximum(1, -(-(size - SPAN) // STRIDE) + 1)
     k, doc = expand(np.zeros(len(size), np.int64), count)
     start = ptr[:-1][doc] + k * STRIDE
-    at = start[:, None] + np.arange(SPAN)
-    ok = at < ptr[1:][doc][:, None]
-    full = np.append(ids, none).astype(np.int64)
-    return np.where(ok, full[np.minimum(at, len(ids))], none), doc
+    full = np.append(ids, none).astype(np.int32)
+    windows = np.full((len(start), SPAN), none, np.int32)
+    for t in range(SPAN):
+        ok = start + t < ptr[1:][doc]
+        windows[ok, t] = full[start[ok] + t]
+    return windows, doc
 
 
 def train(texts: list[str], toxic: np.ndarray) -> Net:
@@ -209,8 +216,8 @@ def train(texts: list[str], toxic: np.ndarray) -> Net:
     data = LOWER[data]
     start, end, ptr = words(data, offsets, ALNUM)
     ids, terms = word_ids(data, start, end)
+    del data, start, end
     h, grams, first, count = _hash_bytes(terms)
-    doc = np.repeat(np.arange(len(texts)), np.diff(ptr))
     odds = []
     for classes, at, of in (((h % np.uint64(ODDS)).astype(np.int64), None, None), ((grams % np.uint64(ODDS)).astype(np.int64), first, count)):
         seen = [np.zeros(ODDS) for _ in (0, 1)]
@@ -328,7 +335,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.n
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     share = F.when(F.col("toxic") == 1, min(1.0, TRAIN_TOXIC / max(count.get(1, 0), 1))).otherwise(min(1.0, TRAIN_CLEAN / max(count.get(0, 0), 1)))
     picked = known.filter(place < share).limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN))
-    text = F.substring(F.coalesce("text", F.lit("")), 1, TRAIN_BYTES // 4)
+    text = F.substring(F.coalesce("text", F.lit("")), 1, TRAIN_CHARS)
     rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "toxic").toPandas()
     return rows["text"].tolist(), rows["toxic"].to_numpy() == 1
 
