@@ -6,8 +6,8 @@ meet: sets of up to ``boundary`` shingles enumerate the fixed-size subsets (pair
 several common shingles make few false candidates; larger sets use inverted lists of single
 shingles, which are scanned and counted: with a beginning that is longer by k - 1, similar sets meet
 in k lists.  Sets near the boundary do both.  The boundary minimises the cost estimated from the
-histogram of set sizes.  The order puts shingles seen in many documents last; which ones those are
-changes only the cost, never the result, so that list is bounded.
+histogram of set sizes.  The order puts shingles seen in many documents last, by powers of two of their
+number; which ones those are changes only the cost, never the result, so that list is bounded.
 
 A list of up to ``dense`` classes gives all its pairs.  A longer one would give a square of its size:
 there, members are first compared to pivots only; after components are known, just pairs across
@@ -35,15 +35,17 @@ MOST_HOT = 1_000_000
 HOT_DOCS, DENSE = 16, 48
 #: Shingles that are counted together while frequent ones are looked for, and texts hashed together.
 CHUNK, TEXTS = 4_000_000, 500
+#: Different pivots that a long list may have in each band of sizes.
+PIVOTS = 4
 #: Rows of lists that are paired together, up to the end of a list.
 RUN_ROWS = 500_000
-_BITS = np.uint64(54)
-_LOW = np.uint64((1 << 54) - 1)
+_BITS = np.uint64(50)
+_LOW = np.uint64((1 << 50) - 1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_sets(column: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, 54-bit shingle hash), distinct and ascending; at most ``TEXTS`` texts.
+    """(doc, 50-bit shingle hash), distinct and ascending; at most ``TEXTS`` texts.
 
     Words end at ASCII white space, A-Z are lower-cased.  Fewer words than ``size``, but any: one
     shingle of the whole sequence.
@@ -126,13 +128,13 @@ def meetings(n: np.ndarray) -> np.ndarray:
     return 2 + n // 40
 
 
-def _ordered(doc: np.ndarray, shingle: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each document's shingles in the fixed order, and their rank."""
-    late = np.zeros(len(shingle), bool)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, shingle), len(hot) - 1)
-        late = hot[at] == shingle
-    key = np.sort((doc.astype(np.uint64) << np.uint64(55)) | (late.astype(np.uint64) << _BITS) | shingle)
+def _ordered(doc: np.ndarray, shingle: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's shingles in the fixed order, and their rank; hot: (shingles, powers of two)."""
+    late = np.zeros(len(shingle), np.uint64)
+    if len(hot[0]):
+        at = np.minimum(np.searchsorted(hot[0], shingle), len(hot[0]) - 1)
+        late = np.where(hot[0][at] == shingle, hot[1][at], np.uint64(0))
+    key = np.sort((doc.astype(np.uint64) << np.uint64(55)) | (late << _BITS) | shingle)
     first = np.searchsorted(doc, doc, "left")
     return key & _LOW, np.arange(len(doc)) - first
 
@@ -223,8 +225,11 @@ def _pairing(percent: int, dense: int, boundary: int):
             need = [np.where(pair, 1, meetings(np.minimum(n[i], n[j])))]
             lists: tuple[list, list, list] = ([], [], [])
             for f, c in zip(first[count > dense].tolist(), count[count > dense].tolist(), strict=True):
-                order = f + np.argsort(n[f : f + c], kind="stable")
-                band = np.floor(np.log(n[order]) / np.log(100 / percent)).astype(np.int64)
+                band = np.floor(np.log(n[f : f + c]) / np.log(100 / percent)).astype(np.int64)
+                # pivots by chance, of PIVOTS kinds, as one pivot that differs from many would link few
+                lot = mix64(sid[f : f + c].view(np.uint64) + np.uint64(int(sig[f]) % PIVOTS) * _P)
+                order = f + np.lexsort((lot, band))
+                band = np.sort(band)
                 start = np.flatnonzero(np.diff(band, prepend=-1))
                 which = np.repeat(np.arange(len(start)), np.diff(np.append(start, c)))
                 for back in (0, 1):  # the pivot of a member's own size band, and of the band below
@@ -302,7 +307,11 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     seen = materialise(rows.mapInArrow(_classing(size), "doc bigint, key bigint, sid bigint, n bigint"), "classes")
     own = seen.filter("key IS NOT NULL")
     frequent = seen.filter("key IS NULL").groupBy("sid").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_DOCS)
-    hot = np.sort(np.array([r[0] for r in frequent.orderBy(F.desc("n"), "sid").limit(MOST_HOT).select("sid").toLocalIterator()], np.uint64))
+    power = F.least(F.floor(F.log2("n")), F.lit(31)).cast("int")
+    most = frequent.orderBy(F.desc("n"), "sid").limit(MOST_HOT).select("sid", power.alias("p"))
+    listed = np.fromiter((x for r in most.toLocalIterator() for x in r), np.uint64).reshape(-1, 2)
+    listed = listed[np.argsort(listed[:, 0])]
+    hot = (np.ascontiguousarray(listed[:, 0]), np.ascontiguousarray(listed[:, 1]))
     classes = own.filter("n > 0").groupBy("sid").agg(F.min("doc").alias("rep"), F.min("key").alias("one"), F.first("n").alias("n"))
     bins = F.when(F.col("n") <= 200, F.col("n")).otherwise(F.floor(F.pow(F.lit(1.1), F.floor(F.log(1.1, F.col("n"))))).cast("bigint"))
     boundary = choose_boundary([(r[0], r[1]) for r in classes.groupBy(bins.alias("s")).count().collect()], percent)
