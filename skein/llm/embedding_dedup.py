@@ -187,7 +187,8 @@ def range_search(graph: Graph, vectors: np.ndarray, queries: np.ndarray, thresho
     """(query, place) of all pairs found with cosine >= threshold, verified in doubles.
 
     Beams double for the queries whose beam is full of hits, and for all of them until the audited
-    queries' recall is reached.
+    queries' recall is reached.  A beam of an eighth of the shard costs more than the whole shard read in
+    order, so from there on the queries that are left are compared to all of it.
     """
     unit = _unit(queries)
     exact = queries / np.linalg.norm(queries, axis=1, keepdims=True)
@@ -197,7 +198,14 @@ def range_search(graph: Graph, vectors: np.ndarray, queries: np.ndarray, thresho
     truth = set((truth[:, 0] * step * len(base) + truth[:, 1]).tolist())
     got_q, got_p = np.empty(0, np.int64), np.empty(0, np.int64)
     todo = np.arange(len(queries))
+    first = True
     while True:
+        if not first and 8 * beam >= len(base):
+            for lo in range(0, len(todo), 512):
+                q, p = np.nonzero(exact[todo[lo : lo + 512]] @ base.T >= threshold)
+                got_q, got_p = np.append(got_q, todo[lo + q]), np.append(got_p, p)
+            break
+        first = False
         ids, sims = graph.search(unit[todo], beam)
         hit = sims >= threshold - _SLACK
         q, p = todo[np.nonzero(hit)[0]], ids[hit]
