@@ -6,7 +6,7 @@ from skein.llm.decontaminate import OP2_SQL, op2_decontaminate
 from skein.llm.embedding_dedup import OP10_SQL, op10_embedding_dedup
 from skein.llm.jaccard_join import op9_jaccard_join
 from skein.llm.language_id import op3_language_id
-from skein.llm.license_scan import OP5_SQL, op5_license_scan
+from skein.llm.license_scan import OP5_SQL, op5_license_passages, op5_license_scan
 from skein.llm.line_dedup import OP1_SQL, op1_line_dedup
 from skein.llm.pieces import op6_pieces
 from skein.llm.suffix_dedup import op8_suffix_dedup
@@ -19,6 +19,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_license_scan": op5_license_scan,
+    "op5_license_passages": op5_license_passages,
     "op6_pieces": op6_pieces,
     "op7_url_filters": op7_url_filters,
     "op8_suffix_dedup": op8_suffix_dedup,
