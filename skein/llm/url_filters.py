@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.native import ascii_lower
+from skein.llm.store import materialise
 
 BLOCK, ALLOW = "block", "allow"
 #: Curated rules (host, path, verdict) that the query applies; fixed values.
@@ -16,8 +17,8 @@ RULES = (("com", "/en/", BLOCK), ("example.com", "/en/7", ALLOW), ("net", "/de/"
 #: Curated rules become one CASE expression; beyond this many, use a rule table instead.
 MOST_RULES = 1000
 BLOCKED = "=block"
-#: Mining bounds: share and number of labelled rows, confidence, tokens on the left side of a rule.
-MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE, MAX_TOKENS = 0.002, 20, 0.5, 2
+#: Mining bounds: share and number of labelled rows, confidence.
+MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE = 0.002, 20, 0.5
 
 
 def url_host(url: Column) -> Column:
@@ -59,21 +60,33 @@ def url_tokens(host: Column, path: Column) -> Column:
     )
 
 
-def mine_rules(labelled: DataFrame, *, support: float = MIN_SUPPORT, rows: int = MIN_ROWS, confidence: float = MIN_CONFIDENCE, most: int = MAX_TOKENS) -> DataFrame:
+def mine_rules(labelled: DataFrame, *, support: float = MIN_SUPPORT, rows: int = MIN_ROWS, confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules ``tokens -> block`` from (tokens, blocked): (rule_id, tokens, n_tokens).
 
-    FP-growth runs distributed over all labelled rows.  A frequent token covers ``support`` of the
-    rows, so there are at most (mean tokens of a URL / support) ** ``most`` rules at any input size.
-    A token set has to occur with ``block`` in at least ``rows`` rows too.  No labelled rows: no rules.
+    FP-growth runs distributed over all labelled rows.  Token sets of every length count; of the
+    rules, those that hold all tokens of a shorter rule are left out, as they match nothing more.
+    A token set has to occur with ``block`` in ``support`` of the rows and in at least ``rows`` rows.
+    No labelled rows: no rules.
     """
     n = labelled.count()
     least = max(math.ceil(support * n), rows)
     support = min(1.0, (least - 0.5) / max(n, 1))
     items = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED) & (F.size("antecedent") <= most))
+    rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED))
     tokens = F.array_sort("antecedent")
-    return rules.select(F.array_join(tokens, " ").alias("rule_id"), tokens.alias("tokens"), F.size("antecedent").alias("n_tokens"))
+    rules = materialise(rules.select(F.array_join(tokens, " ").alias("rule_id"), tokens.alias("tokens"), F.size("antecedent").alias("n_tokens")), "rules")
+    # single tokens first: what they imply need not meet in the join of rules with rules
+    for shorter in (rules.filter("n_tokens = 1"), None):
+        rules = rules.join(_implied(rules, rules if shorter is None else shorter), "rule_id", "left_anti")
+    return rules
+
+
+def _implied(rules: DataFrame, shorter: DataFrame) -> DataFrame:
+    """Ids of rules that hold all tokens of one of ``shorter`` that has fewer."""
+    part = shorter.select(F.col("rule_id").alias("other"), F.col("n_tokens").alias("k"), F.explode("tokens").alias("token"))
+    met = rules.select("rule_id", "n_tokens", F.explode("tokens").alias("token")).join(part, "token").filter("k < n_tokens")
+    return met.groupBy("rule_id", "other").agg(F.count("*").alias("n"), F.first("k").alias("k")).filter("n = k").select("rule_id").distinct()
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
