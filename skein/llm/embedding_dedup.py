@@ -3,10 +3,12 @@
 Equal vectors are one class from the start.  Classes of a label are dealt to shards of a bounded
 size; each shard gets a hierarchical navigable small-world graph, stored as one row.  Every class
 queries every shard of its label (each pair of shards once, as links are symmetric), as a join of
-bounded rows: a graph and a block of queries.  A query's beam widens until an audit of some queries
-against brute force reaches the wanted recall; a beam as wide as the shard is exact.  Candidates are
-verified by cosine in double precision.  A task returns link counts and a spanning forest of its
-links, never all pairs of a dense group.
+bounded rows: a graph and a block of queries.  A block's links count if an audit against brute
+force, of as many queries with true links as it takes, has the wanted recall in the mean of those
+queries, or else the block is compared exactly; so it is where links are too few for an audit, in small
+shards, and for queries whose beam is full of hits.  Candidates are verified by cosine in double
+precision.  A task returns link counts and a spanning forest of its links, never all pairs of a dense
+group.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from skein.llm.store import materialise
 from skein.llm.textcols import mix64
 
 THRESHOLD = 0.98
-#: Vectors of a shard (about 8 MB of 64 doubles), neighbours of a node, first beam, audited queries, recall.
+#: Vectors of a shard (about 8 MB of 64 doubles), neighbours of a node, first beam, audited queries with links, recall.
 SHARD, DEGREE, BEAM, AUDIT, RECALL = 8192, 16, 48, 64, 0.99
 _SLACK = 1e-5
 _GRAPH = "grp bigint, shard int, n int, dim int, ids binary, sizes binary, vectors binary, layers array<binary>, links array<binary>"
@@ -183,45 +185,70 @@ def _repeats(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def range_search(graph: Graph, vectors: np.ndarray, queries: np.ndarray, threshold: float, beam: int = BEAM, recall: float = RECALL, audit: int = AUDIT) -> tuple[np.ndarray, np.ndarray]:
+def _audit(exact: np.ndarray, base: np.ndarray, threshold: float, same: bool, audit: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(query, place) of all true pairs of queries in random order, until ``audit`` of them had one; and whether that was all queries.
+
+    ``same``: the queries are the shard itself; a vector's pair with itself is not counted.
+    """
+    order = np.random.default_rng(0).permutation(len(exact))
+    got_q, got_p, linked = [], [], 0
+    for lo in range(0, len(order), 256):
+        own = order[lo : lo + 256]
+        q, p = np.nonzero(exact[own] @ base.T >= threshold)
+        q = own[q]
+        if same:
+            q, p = q[q != p], p[q != p]
+        got_q.append(q)
+        got_p.append(p)
+        linked += len(np.unique(q))
+        if linked >= audit and lo + 256 < len(order):
+            return np.concatenate(got_q), np.concatenate(got_p), False
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *got_q]), np.concatenate([none, *got_p]), True
+
+
+def range_search(
+    graph: Graph, vectors: np.ndarray, queries: np.ndarray, threshold: float, beam: int = BEAM, recall: float = RECALL, audit: int = AUDIT, same: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
     """(query, place) of all pairs found with cosine >= threshold, verified in doubles.
 
-    Beams double for the queries whose beam is full of hits, and for all of them until the audited
-    queries' recall is reached.  A beam of an eighth of the shard costs more than the whole shard read in
-    order, so from there on the queries that are left are compared to all of it.
+    Random queries are compared to the whole shard until ``audit`` of them had a true pair; if all
+    queries went by before, their pairs are the exact result.  Queries whose beam is full of hits are
+    compared to the whole shard, which costs less than wider beams; so are all queries, if the mean of
+    the audited queries' own recalls is below ``recall``, if full beams leave less than half of the
+    audit, or if the shard is under eight beams.
+    ``same``: the queries are the shard's own vectors, whose pairs with themselves are no evidence.
     """
     unit = _unit(queries)
     exact = queries / np.linalg.norm(queries, axis=1, keepdims=True)
     base = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    step = max(1, len(queries) // audit)
-    truth = np.argwhere(exact[::step] @ base.T >= threshold)
-    truth = set((truth[:, 0] * step * len(base) + truth[:, 1]).tolist())
-    got_q, got_p = np.empty(0, np.int64), np.empty(0, np.int64)
+    n = np.int64(len(base))
+    if 8 * beam < n:
+        true_q, true_p, whole = _audit(exact, base, threshold, same, audit)
+        if whole:
+            own = np.arange(len(exact) if same else 0)
+            key = np.unique(np.append(true_q * n + true_p, own * n + own))
+            return key // n, key % n
+        truth, size = true_q * n + true_p, np.bincount(true_q, minlength=len(exact))
+    got = []
     todo = np.arange(len(queries))
-    first = True
-    while True:
-        if not first and 8 * beam >= len(base):
-            for lo in range(0, len(todo), 512):
-                q, p = np.nonzero(exact[todo[lo : lo + 512]] @ base.T >= threshold)
-                got_q, got_p = np.append(got_q, todo[lo + q]), np.append(got_p, p)
-            break
-        first = False
-        ids, sims = graph.search(unit[todo], beam)
+    if 8 * beam < n:
+        ids, sims = graph.search(unit, beam)
         hit = sims >= threshold - _SLACK
-        q, p = todo[np.nonzero(hit)[0]], ids[hit]
+        q, p = np.nonzero(hit)[0], ids[hit]
         ok = np.einsum("nd,nd->n", exact[q], base[p]) >= threshold
-        got_q, got_p = np.append(got_q, q[ok]), np.append(got_p, p[ok])
-        if beam >= len(base):
-            break
-        full = todo[hit[:, -1]]
-        found = set((got_q * len(base) + got_p).tolist())
-        enough = len(truth & found) >= recall * len(truth)
-        if enough and not len(full):
-            break
-        todo = full if enough else np.arange(len(queries))
-        beam = min(2 * beam, len(base))
-    key = np.unique(got_q * np.int64(len(base)) + got_p)
-    return key // len(base), key % len(base)
+        got.append(q[ok] * n + p[ok])
+        full = hit[:, -1]
+        # full beams are answered below and have no say here; half the audit has to be left
+        judged = (size > 0) & ~full
+        met = np.bincount(true_q[np.isin(truth, got[0])], minlength=len(size))
+        if 2 * judged.sum() >= audit and (met[judged] / size[judged]).mean() >= recall:
+            todo = np.flatnonzero(full)
+    for lo in range(0, len(todo), 512):
+        q, p = np.nonzero(exact[todo[lo : lo + 512]] @ base.T >= threshold)
+        got.append(todo[lo + q] * n + p)
+    key = np.unique(np.concatenate([np.empty(0, np.int64), *got]))
+    return key // n, key % n
 
 
 def _building(rows: pd.DataFrame) -> pd.DataFrame:
@@ -267,7 +294,7 @@ def _querying(threshold: float, recall: float):
                 same = r.shard == r.q_shard
                 queries = np.frombuffer(r.q_vectors).reshape(r.q_n, r.dim)
                 q_ids, q_sizes = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_sizes, np.int64)
-                q, p = range_search(graph, vectors, queries, threshold, recall=recall)
+                q, p = range_search(graph, vectors, queries, threshold, recall=recall, same=same)
                 if same:
                     lo, hi = np.minimum(q, p), np.maximum(q, p)
                     key = np.unique((lo * np.int64(r.n) + hi)[lo != hi])
