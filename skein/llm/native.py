@@ -25,5 +25,10 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
+def row_key(key: Column, text: Column) -> Column:
+    """Tells apart rows that differ in id or text."""
+    return F.xxhash64(key, text_key(text))
+
+
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text, 256)

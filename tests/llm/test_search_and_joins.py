@@ -105,6 +105,32 @@ def test_jaccard_edges(docs):
     assert [r.component_id for r in twice] == [4, 4, 4]
 
 
+def test_jaccard_repeats_and_shared_ids(docs):
+    """Repeated rows cost nothing and texts that share an id stay apart."""
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(None, near)] * 3000 + [(None, near + " more")] * 2000 + [(5, "a text that is like no other one here"), (5, near + " even")]
+    got = jaccard_join.similar_groups(docs(rows)).collect()
+    assert len(got) == 5002 and {(r.n_shingles, r.component_id) for r in got} == {(16, 5), (17, 5), (5, 5)}
+    by = {r.n_shingles: r.group_id for r in got}
+    assert by[16] == by[17] != by[5]
+
+
+def test_jaccard_salted_lists(docs, monkeypatch):
+    """A list of near copies that is dealt in parts, over several frames, links as brute force does."""
+    monkeypatch.setattr(jaccard_join, "PART", 8)
+    monkeypatch.setattr(jaccard_join, "RUN_ROWS", 50)
+    g = random.Random(7)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for n in range(140):
+        own = list(base)
+        for _ in range(1 + n % 5):
+            own[g.randrange(120)] = f"e{g.randrange(9999)}"
+        rows.append((n, " ".join(own)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_groups(docs(rows), dense=4).collect()}
+    assert got == brute_groups(rows)
+
+
 def test_components(spark):
     g = random.Random(1)
     edges = [(g.randrange(60), g.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(40)] + [(7, 7), (None, 3)]
