@@ -21,7 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.store import arrow_batches, materialise
+from skein.llm.native import row_key
+from skein.llm.store import arrow_batches, given_back, materialise
 from skein.llm.textcols import ALNUM, LOWER, buffers, expand, word_ids, words
 
 WINDOW = 10
@@ -29,8 +30,8 @@ WINDOW = 10
 BLOCK = 200_000
 #: Places that one step of an intersection looks at.
 STEP = 2_000_000
-SHARD = "doc_ids array<bigint>, keys array<bigint>, ptr binary, terms array<binary>, counts binary, postings binary"
-_HITS = "doc bigint, key bigint, n_words bigint, spans array<int>, items array<bigint>"
+SHARD = "doc_ids array<bigint>, keys array<bigint>, row_keys array<bigint>, ptr binary, terms array<binary>, counts binary, postings binary"
+_HITS = "doc bigint, key bigint, row_key bigint, n_words bigint, spans array<int>, items array<bigint>"
 
 
 def _pack(positions: np.ndarray, counts: np.ndarray) -> bytes:
@@ -60,25 +61,25 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(ids, kind="stable")
         counts = np.bincount(ids, minlength=len(terms))
         row = {
-            "doc_ids": [batch.column("doc").to_pylist()], "keys": [batch.column("key").to_pylist()], "ptr": [ptr.astype("<i8").tobytes()],
+            "doc_ids": [batch.column("doc").to_pylist()], "keys": [batch.column("key").to_pylist()], "row_keys": [batch.column("row_key").to_pylist()], "ptr": [ptr.astype("<i8").tobytes()],
             "terms": [pc.cast(terms, pa.binary())], "counts": [counts.astype("<i8").tobytes()], "postings": [_pack(order, counts)],
         }
-        kinds = {"doc_ids": pa.list_(pa.int64()), "keys": pa.list_(pa.int64()), "ptr": pa.binary(), "terms": pa.list_(pa.binary()), "counts": pa.binary(), "postings": pa.binary()}
+        kinds = {"doc_ids": pa.list_(pa.int64()), "keys": pa.list_(pa.int64()), "row_keys": pa.list_(pa.int64()), "ptr": pa.binary(), "terms": pa.list_(pa.binary()), "counts": pa.binary(), "postings": pa.binary()}
         yield pa.RecordBatch.from_arrays([pa.array([v.to_pylist() if isinstance(v, pa.Array) else v for v in row[k]], t) for k, t in kinds.items()], list(kinds))
 
 
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored index: one row for each shard of documents, with all postings of all words."""
     arrow_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.monotonically_increasing_id().alias("key"), F.col(text_col).alias("text"))
-    return materialise(rows.mapInArrow(_shards, SHARD), "postings")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.monotonically_increasing_id().alias("key"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
+    return materialise(rows.mapInArrow(given_back(_shards), SHARD), "postings")
 
 
 class Shard:
     """One row of the index, opened for searching."""
 
     def __init__(self, row: dict):
-        self.docs, self.keys = row["doc_ids"], row["keys"]
+        self.docs, self.keys, self.row_keys = row["doc_ids"], row["keys"], row["row_keys"]
         self.ptr = np.frombuffer(row["ptr"], "<i8")
         self.terms = row["terms"]
         counts = np.frombuffer(row["counts"], "<i8")
@@ -185,7 +186,7 @@ def search(index: DataFrame, items: DataFrame, *, item_col: str = "item_id", tex
     for part in rest:
         found = found.unionAll(part)
     joined = [F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items")]
-    return found.groupBy("key").agg(F.first("doc").alias("doc"), F.first("n_words").alias("n_words"), *joined)
+    return found.groupBy("key").agg(F.first("doc").alias("doc"), F.first("row_key").alias("row_key"), F.first("n_words").alias("n_words"), *joined)
 
 
 def _searcher(block):
@@ -196,7 +197,7 @@ def _searcher(block):
                 row = {n: v.values if n == "terms" else v.as_py() for n, v in row.items()}
                 yield _hits(Shard(row), block.value)
 
-    return run
+    return given_back(run)
 
 
 def _hits(shard: Shard, block: dict) -> pa.RecordBatch:
@@ -231,8 +232,8 @@ def _hits(shard: Shard, block: dict) -> pa.RecordBatch:
         for d, x in np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist():
             items[d].append(x)
     return pa.RecordBatch.from_arrays(
-        [pa.array(shard.docs, pa.int64()), pa.array(shard.keys, pa.int64()), pa.array(np.diff(shard.ptr), pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))],
-        ["doc", "key", "n_words", "spans", "items"],
+        [pa.array(shard.docs, pa.int64()), pa.array(shard.keys, pa.int64()), pa.array(shard.row_keys, pa.int64()), pa.array(np.diff(shard.ptr), pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))],
+        ["doc", "key", "row_key", "n_words", "spans", "items"],
     )
 
 
@@ -254,14 +255,14 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array(map(len, items), pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array([x > 0 for x in hit]), pa.array(spans, pa.list_(pa.int32())),
+                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array([x > 0 for x in hit]), pa.array(spans, pa.list_(pa.int32())), batch.column("row_key"),
             ],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
+            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "row_key"],
         )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """One row for each row of ``docs``: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans).
+    """One row for each row of ``docs``: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, row_key).
 
     Null and empty texts have no words and no hits; null and empty items have no windows; an item of
     fewer words than ``window`` is one window.  Repeated rows of either table are judged alike; items
@@ -269,14 +270,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """
     index = build_index(docs, id_col=id_col, text_col=text_col)
     found = search(index, benchmark.filter(F.col(item_col).isNotNull()).select(item_col, text_col), item_col=item_col, text_col=text_col, window=window, block=block)
-    kinds = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<int>"
-    return found.select("doc", "n_words", "spans", "items").mapInArrow(_finish, kinds)
+    kinds = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<int>, row_key bigint"
+    return found.select("doc", "row_key", "n_words", "spans", "items").mapInArrow(given_back(_finish), kinds)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return decontaminate(docs, bench).drop("spans")
+    return decontaminate(docs, bench).drop("spans", "row_key")
 
 
 OP2_SQL = r"""

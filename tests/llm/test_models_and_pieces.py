@@ -1,4 +1,6 @@
 import itertools
+import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -99,35 +101,74 @@ def vocabulary():
     return pieces.Pieces.load()
 
 
-def brute_paths(v, text):
+@pytest.fixture(scope="module")
+def listed():
+    """The vocabulary's pieces as the library lists them: {bytes: (id, score)}, ids of bytes, score of an unknown character."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    m = sentencepiece.SentencePieceProcessor(model_file=pieces.VOCABULARY)
+    own = {m.IdToPiece(i).replace("▁", " ").encode(): (i, max(m.GetScore(i), -float(len(m)))) for i in range(len(m)) if not (m.IsControl(i) or m.IsUnknown(i) or m.IsByte(i) or m.IsUnused(i))}
+    return own, [m.PieceToId(f"<0x{b:02X}>") for b in range(256)], min(s for _, s in own.values()) - 10
+
+
+def brute_paths(listed, text):
     """All segmentations of a chunk."""
+    own, byte_ids, unknown = listed
     if not text:
         return [(0.0, ())]
     out = []
     first = text.decode()[0].encode()
     for k in range(1, len(text) + 1):
-        if text[:k] in v.pieces:
-            i, s = v.pieces[text[:k]]
-            out += [(s + a, (i, *b)) for a, b in brute_paths(v, text[k:])]
-    if first not in v.pieces:
-        out += [(v.unknown + a, (*(v.byte_ids[x] for x in first), *b)) for a, b in brute_paths(v, text[len(first) :])]
+        if text[:k] in own:
+            i, s = own[text[:k]]
+            out += [(s + a, (i, *b)) for a, b in brute_paths(listed, text[k:])]
+    if first not in own:
+        out += [(unknown + a, (*(byte_ids[x] for x in first), *b)) for a, b in brute_paths(listed, text[len(first) :])]
     return out
 
 
-def test_nbest_of_chunks(vocabulary):
-    for chunk in (" hello", " ab", " naïve", "  x", "日本", " ▁q"):
-        every = sorted((-s, i) for s, i in brute_paths(vocabulary, chunk.encode()))
+def test_nbest_of_chunks(vocabulary, listed):
+    for chunk in (" hello", " ab", " naïve", "  x", "日本", " ▁q", "aaaaaaaa"):
+        every = sorted((-s, i) for s, i in brute_paths(listed, chunk.encode()))
         got = vocabulary.search(chunk.encode(), 5)
-        assert [round(s, 6) for s, _ in got] == [round(-s, 6) for s, _ in every[:5]]
-        assert len({i for _, i in got}) == len(got) and got[0][0] == max(-s for s, _ in every)
+        assert [s / pieces.UNIT for s, _ in got] == [-s for s, _ in every[:5]]
+        assert len({tuple(i) for _, i in got}) == len(got) and all((-s / pieces.UNIT, tuple(i)) in every for s, i in got)
+
+
+def test_short_chunks_together_are_as_each_alone(vocabulary, listed):
+    g = random.Random(8)
+    chunks = ["".join(g.choices("aeinst é日🎸x", k=g.randrange(1, 9))).encode() for _ in range(60)] + [b"a", "▁".encode()]
+    size = np.array([len(c) for c in chunks])
+    ids, count, score, gap = vocabulary.segment(np.frombuffer(b"".join(chunks), np.uint8), np.cumsum(size) - size, size)
+    ends = np.append(0, np.cumsum(count))
+    for k, c in enumerate(chunks):
+        every = sorted((-s, i) for s, i in brute_paths(listed, c))
+        assert (-score[k] / pieces.UNIT, tuple(ids[ends[k] : ends[k + 1]].tolist())) in every and -score[k] / pieces.UNIT == every[0][0]
+        assert gap[k] == ((every[1][0] - every[0][0]) * pieces.UNIT if len(every) > 1 else -1)
+        assert ids[ends[k] : ends[k + 1]].tolist() == vocabulary.search(c, 2)[0][1]
+
+
+def test_long_chunks(vocabulary):
+    """No cut for 300,000 bytes; ties all along."""
+    began = time.time()
+    (best, ids), (second, _) = vocabulary.search(b"a" * 300_000, 2)
+    assert time.time() - began < 30 and vocabulary.decode(ids) == "a" * 300_000 and best >= second
+    ids, ends, score, _, same = pieces._encoded(vocabulary, pa.array(["a" * 299_999, None, "b" * 700, "b" * 700]))
+    assert same.all() and np.diff(ends)[1] == 0 and score[2] == score[3] and vocabulary.decode(ids[: ends[1]]) == "a" * 299_999
+
+
+def test_blocks_do_not_matter(vocabulary, monkeypatch):
+    texts = pa.array(["one two three " * 30, "", "x" * 90, None, "four five"])
+    whole = pieces._encoded(vocabulary, texts)
+    monkeypatch.setattr(pieces, "BLOCK", 40)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, pieces._encoded(vocabulary, texts), strict=True))
 
 
-def test_nbest_of_texts(vocabulary):
+def test_nbest_of_texts(vocabulary, listed):
     text = "an old hat"
-    rows = [brute_paths(vocabulary, c) for c in vocabulary.chunks(b" " + text.encode())]
+    rows = [brute_paths(listed, c) for c in vocabulary.chunks(b" " + text.encode())]
     every = sorted((sum(s for s, _ in c) for c in itertools.product(*rows)), reverse=True)
     got = vocabulary.nbest(text, 4)
-    assert [round(s, 6) for s, _ in got] == [round(s, 6) for s in every[:4]]
+    assert [s for s, _ in got] == every[:4]
     assert all(vocabulary.decode(i) == text for _, i in got)
 
 

@@ -59,3 +59,19 @@ def test_stages_keep_the_columns(spark, corpus):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, corpus[0]).columns == docs.columns
         assert stage(spark, docs.limit(0), corpus[0]).count() == 0
+
+
+def test_rows_are_decided_one_by_one(spark, tmp_path):
+    """Shared and null ids: a contaminated or similar row takes no other row with it, and repeated rows leave one."""
+    g = random.Random(3)
+    clean = [" ".join(g.choices(EN, k=40)) for _ in range(4)]
+    item = " ".join(g.choices(EN, k=16))
+    rows = [(4, clean[0]), (4, clean[1] + " " + item), (None, clean[2]), (None, clean[3] + " " + item), (4, clean[2] + " also"), (9, clean[0]), (9, clean[0]), (None, " \n"), (None, " \n")]
+    full = [(i, t, "en", "src", len(t)) for i, t in rows]
+    docs = spark.createDataFrame(full, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame([(7, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id or -1, r.text) for r in left.collect()) == sorted((i or -1, t) for i, t in rows if item not in t)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    want = [rows[0], rows[1], rows[3], rows[4], rows[7], rows[8]]
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == sorted((i or -1, t) for i, t in want)
