@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import decontaminate, jaccard_join, language_id, line_dedup, pieces
-from skein.llm.native import text_key
+from skein.llm.native import row_key
 from skein.llm.store import materialise
 
 #: A document goes if no language has this share of it, or none can be told.
@@ -36,18 +36,26 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents, the one with the smallest id stays."""
-    groups = jaccard_join.similar_groups(docs)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    own = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
-    return own.withColumn("__text", text_key(F.col("text"))).dropDuplicates(["doc_id", "__text"]).select(docs.columns)
+    """Of each group of similar documents one row stays: that of the smallest id, null ids last, and of the smallest ``row_key``.
+
+    Decided by row: texts that share an id, or have none, are different documents.  Texts without
+    words are in no group and stay.
+    """
+    groups = jaccard_join.similar_groups(docs).filter("group_id IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")
+    kept = groups.groupBy("group_id").agg(first).select(F.col("first.doc_id").alias("__kept"), F.col("first.row_key").alias("__key"))
+    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    own = docs.filter(has_words).withColumn("__own", row_key(F.col("doc_id"), F.col("text")))
+    own = own.join(kept, own["doc_id"].eqNullSafe(kept["__kept"]) & (own["__own"] == kept["__key"]), "left_semi")
+    return own.dropDuplicates(["doc_id", "__own"]).select(docs.columns).unionAll(docs.filter(~has_words))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
+    """Drops the rows whose text holds a window of a benchmark item."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.decontaminate(docs, bench).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__bad"]), "left_anti").select(docs.columns)
+    found = decontaminate.decontaminate(docs, bench).filter("contaminated").select(F.col("doc_id").alias("__bad"), F.col("row_key").alias("__key")).distinct()
+    own = docs.withColumn("__own", row_key(F.col("doc_id"), F.col("text")))
+    return own.join(found, own["doc_id"].eqNullSafe(found["__bad"]) & (own["__own"] == found["__key"]), "left_anti").select(docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
