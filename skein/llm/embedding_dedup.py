@@ -3,12 +3,12 @@
 Equal vectors are one class from the start.  Classes of a label are dealt to shards of a bounded
 size; each shard gets a hierarchical navigable small-world graph, stored as one row.  Every class
 queries every shard of its label (each pair of shards once, as links are symmetric), as a join of
-bounded rows: a graph and a block of queries.  A block's links count if an audit against brute
-force, of as many queries with true links as it takes, has the wanted recall in the mean of those
-queries, or else the block is compared exactly; so it is where links are too few for an audit, in small
-shards, and for queries whose beam is full of hits.  Candidates are verified by cosine in double
-precision.  A task returns link counts and a spanning forest of its links, never all pairs of a dense
-group.
+bounded rows: a graph and a block of queries.  An audit compares random queries to the whole shard until
+enough of them had true links; beams widen until the mean recall of those queries is as wanted.  Queries
+whose beam is full of hits have more links than a beam holds and are compared to the whole shard, and so
+is what no beam finds well enough.  Candidates are verified by cosine in double precision.  A task counts
+links and joins components block by block, so pairs of a dense group are never listed; it returns a count
+and one edge a class, and what its audit measured.
 """
 
 from __future__ import annotations
@@ -21,19 +21,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.components import components, named, node_of
-from skein.llm.store import materialise
+from skein.llm.components import components
+from skein.llm.store import given_back, materialise
 from skein.llm.textcols import mix64
 
 THRESHOLD = 0.98
 #: Vectors of a shard (about 8 MB of 64 doubles), neighbours of a node, first beam, audited queries with links, recall.
-SHARD, DEGREE, BEAM, AUDIT, RECALL = 8192, 16, 48, 64, 0.99
+SHARD, DEGREE, BEAM, AUDIT, RECALL = 8192, 16, 24, 64, 0.99
+#: Times that a beam is widened by, and the share of a shard from which a beam costs more than the whole.
+WIDER, WHOLE = 4, 0.1
+#: Queries that are compared to a whole shard together.
+ROWS = 512
 _SLACK = 1e-5
 _GRAPH = "grp bigint, shard int, n int, dim int, ids binary, sizes binary, vectors binary, layers array<binary>, links array<binary>"
 
 
+def normal(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in doubles; the largest component is made 1 first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return normal(x).astype(np.float32)
 
 
 class Graph:
@@ -186,12 +196,12 @@ def _repeats(ids: np.ndarray) -> np.ndarray:
 
 
 def _audit(exact: np.ndarray, base: np.ndarray, threshold: float, same: bool, audit: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(query, place) of all true pairs of queries in random order, until ``audit`` of them had one; and whether that was all queries.
+    """(query, place) of all true pairs of queries in random order, until ``audit`` of them had one; and whether those are all queries' pairs.
 
     ``same``: the queries are the shard itself; a vector's pair with itself is not counted.
     """
     order = np.random.default_rng(0).permutation(len(exact))
-    got_q, got_p, linked = [], [], 0
+    got_q, got_p, linked = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
     for lo in range(0, len(order), 256):
         own = order[lo : lo + 256]
         q, p = np.nonzero(exact[own] @ base.T >= threshold)
@@ -203,52 +213,104 @@ def _audit(exact: np.ndarray, base: np.ndarray, threshold: float, same: bool, au
         linked += len(np.unique(q))
         if linked >= audit and lo + 256 < len(order):
             return np.concatenate(got_q), np.concatenate(got_p), False
-    none = np.empty(0, np.int64)
-    return np.concatenate([none, *got_q]), np.concatenate([none, *got_p]), True
+    return np.concatenate(got_q), np.concatenate(got_p), True
 
 
 def range_search(
-    graph: Graph, vectors: np.ndarray, queries: np.ndarray, threshold: float, beam: int = BEAM, recall: float = RECALL, audit: int = AUDIT, same: bool = False
-) -> tuple[np.ndarray, np.ndarray]:
-    """(query, place) of all pairs found with cosine >= threshold, verified in doubles.
-
-    Random queries are compared to the whole shard until ``audit`` of them had a true pair; if all
-    queries went by before, their pairs are the exact result.  Queries whose beam is full of hits are
-    compared to the whole shard, which costs less than wider beams; so are all queries, if the mean of
-    the audited queries' own recalls is below ``recall``, if full beams leave less than half of the
-    audit, or if the shard is under eight beams.
-    ``same``: the queries are the shard's own vectors, whose pairs with themselves are no evidence.
+    graph: Graph, vectors: np.ndarray, queries: np.ndarray, threshold: float, beam: int = BEAM, recall: float = RECALL, audit: int = AUDIT, same: bool = False, told: dict | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(query, place, whole) in blocks: the pairs found with cosine >= threshold, verified in doubles, and whether the queries were compared to the whole shard.
+
+    Each query is in the pairs of one kind only.  Beams widen until the mean over the audited queries
+    with true pairs, of the share of them that is found, is ``recall``; ``told`` gets the number of those
+    queries and the sum of their shares in the end.  Queries whose beam is full of hits are compared
+    to the whole shard; so are all, if a beam of ``WHOLE`` of the shard is not good enough, and an audit that
+    finds too few links among all queries is the exact result itself.
+    ``same``: the queries are the shard's own vectors, whose pairs with themselves are left out.
     """
-    unit = _unit(queries)
-    exact = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    base = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    n = np.int64(len(base))
-    if 8 * beam < n:
-        true_q, true_p, whole = _audit(exact, base, threshold, same, audit)
-        if whole:
-            own = np.arange(len(exact) if same else 0)
-            key = np.unique(np.append(true_q * n + true_p, own * n + own))
-            return key // n, key % n
-        truth, size = true_q * n + true_p, np.bincount(true_q, minlength=len(exact))
-    got = []
-    todo = np.arange(len(queries))
-    if 8 * beam < n:
+    exact, base = normal(queries), normal(vectors)
+    unit, n = exact.astype(np.float32), np.int64(len(base))
+    true_q, true_p, every = _audit(exact, base, threshold, same, audit)
+    truth, size = true_q * n + true_p, np.bincount(true_q, minlength=len(exact))
+    judged = np.flatnonzero(size)
+    if every:
+        if told is not None:
+            told["queries"], told["found"] = len(judged), float(len(judged))
+        yield true_q, true_p, True
+        return
+    while True:
         ids, sims = graph.search(unit, beam)
-        hit = sims >= threshold - _SLACK
-        q, p = np.nonzero(hit)[0], ids[hit]
-        ok = np.einsum("nd,nd->n", exact[q], base[p]) >= threshold
-        got.append(q[ok] * n + p[ok])
-        full = hit[:, -1]
-        # full beams are answered below and have no say here; half the audit has to be left
-        judged = (size > 0) & ~full
-        met = np.bincount(true_q[np.isin(truth, got[0])], minlength=len(size))
-        if 2 * judged.sum() >= audit and (met[judged] / size[judged]).mean() >= recall:
-            todo = np.flatnonzero(full)
-    for lo in range(0, len(todo), 512):
-        q, p = np.nonzero(exact[todo[lo : lo + 512]] @ base.T >= threshold)
-        got.append(todo[lo + q] * n + p)
-    key = np.unique(np.concatenate([np.empty(0, np.int64), *got]))
-    return key // n, key % n
+        q, place = np.nonzero(sims >= threshold - _SLACK)
+        full = (sims[:, -1] >= threshold - _SLACK) & (ids[:, -1] >= 0) if beam < n else np.zeros(len(exact), bool)
+        p = ids[q, place]
+        ok = (np.einsum("nd,nd->n", exact[q], base[p]) >= threshold) & ~full[q] & ((q != p) | (not same))
+        q, p = q[ok], p[ok]
+        met = np.bincount(true_q[np.isin(truth, q * n + p)], minlength=len(exact))[judged] / size[judged]
+        met[full[judged]] = 1.0
+        if not len(judged) or met.mean() >= recall:
+            break
+        if beam * WIDER > WHOLE * n:
+            full[:] = True
+            met[:] = 1.0
+            break
+        beam *= WIDER
+    if told is not None:
+        told["queries"], told["found"] = len(judged), float(met.sum())
+    yield q[~full[q]], p[~full[q]], False
+    todo = np.flatnonzero(full)
+    for lo in range(0, len(todo), ROWS):
+        own = todo[lo : lo + ROWS]
+        q, p = np.nonzero(exact[own] @ base.T >= threshold)
+        q = own[q]
+        yield (q[q != p], p[q != p], True) if same else (q, p, True)
+
+
+class Links:
+    """Link counts and components of a block, without lists of pairs."""
+
+    def __init__(self, n: int, m: int, same: bool, sizes: np.ndarray, q_sizes: np.ndarray):
+        self.n, self.same, self.sizes, self.q_sizes = n, same, sizes, q_sizes
+        self.base, self.query = np.zeros(n), np.zeros(m)
+        self.root = np.arange(n if same else n + m)
+        self.whole = np.zeros(m, bool)
+        self.kept: list[np.ndarray] = []
+
+    def add(self, q: np.ndarray, p: np.ndarray, whole: bool) -> None:
+        self._join(q if self.same else q + self.n, p)
+        if not self.same:
+            self.query += np.bincount(q, self.sizes[p], len(self.query))
+            self.base += np.bincount(p, self.q_sizes[q], self.n)
+        elif whole:  # these queries' own counts are complete; the others are told of them
+            self.whole[q] = True
+            self.query += np.bincount(q, self.sizes[p], len(self.query))
+            self.kept.append(np.stack([p, q]))
+        else:
+            self.kept += [np.stack([q, p]), np.stack([p, q])]
+        if sum(x.shape[1] for x in self.kept) > 8_000_000:
+            self.kept = [self._pairs()]
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            x, y = self.root[a], self.root[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
+            while (up := self.root[self.root] != self.root).any():
+                self.root[up] = self.root[self.root[up]]
+
+    def _pairs(self) -> np.ndarray:
+        """Of the pairs kept, the different ones of queries whose counts are not complete."""
+        q, p = np.concatenate([np.empty((2, 0), np.int64), *self.kept], axis=1)
+        key = np.unique((q * np.int64(self.n) + p)[~self.whole[q]])
+        return np.stack([key // self.n, key % self.n])
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(of the shard's vectors, of the queries)."""
+        if not self.same:
+            return self.base, self.query
+        q, p = self._pairs()
+        self.query += np.bincount(q, self.sizes[p], len(self.query))
+        return self.query, np.zeros(0)
 
 
 def _building(rows: pd.DataFrame) -> pd.DataFrame:
@@ -265,25 +327,9 @@ def _building(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            parent[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
-    return out
-
-
 def _querying(threshold: float, recall: float):
+    """Rows of a block: kind 0, a class's links (a, n); kind 1, an edge of a component (a, b); kind 2, an audit (a: the group, b: queries, n: millionths found)."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples(index=False):
@@ -294,30 +340,32 @@ def _querying(threshold: float, recall: float):
                 same = r.shard == r.q_shard
                 queries = np.frombuffer(r.q_vectors).reshape(r.q_n, r.dim)
                 q_ids, q_sizes = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_sizes, np.int64)
-                q, p = range_search(graph, vectors, queries, threshold, recall=recall, same=same)
-                if same:
-                    lo, hi = np.minimum(q, p), np.maximum(q, p)
-                    key = np.unique((lo * np.int64(r.n) + hi)[lo != hi])
-                    q, p = key // r.n, key % r.n
-                count_p, count_q = np.bincount(p, q_sizes[q], r.n), np.bincount(q, sizes[p], r.q_n)
-                edges = _forest(r.n + r.q_n, q + (0 if same else r.n), p)
-                every = np.append(ids, q_ids)
-                yield pd.DataFrame({"a": np.append(ids, q_ids), "b": -1, "n": np.append(count_p, count_q).astype(np.int64)}).query("n > 0").assign(kind=0)
-                yield pd.DataFrame({"a": [every[x] for x, _ in edges], "b": [every[y] for _, y in edges], "n": 0, "kind": 1}, dtype=np.int64)
+                told: dict = {}
+                links = Links(r.n, r.q_n, same, sizes, q_sizes)
+                for q, p, whole in range_search(graph, vectors, queries, threshold, recall=recall, same=same, told=told):
+                    links.add(q, p, whole)
+                every = ids if same else np.append(ids, q_ids)
+                count = np.concatenate(links.counts()).astype(np.int64)
+                some = np.flatnonzero(count)
+                yield pd.DataFrame({"a": every[some], "b": -1, "n": count[some], "kind": 0})
+                moved = np.flatnonzero(links.root != np.arange(len(links.root)))
+                yield pd.DataFrame({"a": every[moved], "b": every[links.root[moved]], "n": 0, "kind": 1})
+                yield pd.DataFrame({"a": [r.grp], "b": [told["queries"]], "n": [round(told["found"] * 1e6)], "kind": 2})
 
-    return run
+    return given_back(run)
 
 
 def near_duplicates(
     table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, shard: int = SHARD, recall: float = RECALL
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of ``table``.
+    """(vec_id, n_links, component_id, kept, recall) for every row of ``table``.
 
     Rows link when their labels are equal and not null, their vectors of one length, and the cosine
     reaches ``threshold``.  Vectors that are null, empty, zero or hold null or non-finite components link
     with nothing.  Equal vectors always link; repeated rows are vectors of their own.  component_id is
     the smallest id reached (a null id is never one, unless it is alone), kept says that it is the row's
-    own.  Other columns are not read.
+    own; vectors that share an id are different vectors.  recall is what the audits of the label's shards
+    measured in the mean (null without a label, a vector or a link).  Other columns are not read.
     """
     spark = table.sparkSession
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
@@ -338,18 +386,24 @@ def near_duplicates(
     pairs = graphs.join(asking, ["grp", "shard"]).repartition("grp", "shard", "q_shard")
     met = materialise(pairs.mapInPandas(_querying(threshold, recall), "a bigint, b bigint, n bigint, kind int"), "met")
     counts = met.filter("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("near"))
-    name = classes.select("cid", node_of(F.col("rep"), F.col("cid")).alias("rep"))
-    links = met.filter("kind = 1").join(name.select(F.col("cid").alias("a"), F.col("rep").alias("ra")), "a").join(name.select(F.col("cid").alias("b"), F.col("rep").alias("rb")), "b")
-    comp = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    info = classes.select("cid", "size", node_of(F.col("rep"), F.col("cid")).alias("node")).join(comp, "node", "left").join(counts, "cid", "left")
-    info = info.select("cid", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), named(F.coalesce("component", "node")).alias("component"))
+    audits = met.filter("kind = 2").groupBy(F.col("a").alias("grp")).agg(F.try_divide(F.sum("n"), F.sum("b") * 1_000_000).alias("recall"))
+    comp = components(met.filter("kind = 1").select("a", "b"))
+    comp = materialise(comp.join(classes.select(F.col("cid").alias("node"), "rep"), "node"), "components")
+    least = comp.groupBy("component").agg(F.min("rep").alias("least"))
+    named = comp.join(least, "component").select(F.col("node").alias("cid"), F.lit(True).alias("linked"), "least")
+    info = classes.select("grp", "cid", "size", "rep").join(named, "cid", "left").join(counts, "cid", "left").join(audits, "grp", "left")
+    component = F.when(F.col("linked"), F.col("least")).otherwise(F.col("rep"))
+    info = info.select("cid", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), component.alias("component"), "recall")
     done = rows.select("id", "cid").join(info, "cid", "left")
     component = F.coalesce("component", "id")
-    return done.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return done.select(
+        F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "recall"
+    )
 
 
 def op10_embedding_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """Links and components of all rows of ``embeddings``."""
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("recall")
 
 
 OP10_SQL = """

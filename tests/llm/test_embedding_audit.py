@@ -15,9 +15,12 @@ def brute(v, q, threshold=0.98):
     return {(a, b) for a, b in np.argwhere(unit(q) @ unit(v).T >= threshold).tolist()}
 
 
-def found(v, q, **how):
+def found(v, q, told=None, **how):
     graph = embedding_dedup.Graph.build(embedding_dedup._unit(v), np.arange(len(v)))
-    return set(zip(*(x.tolist() for x in embedding_dedup.range_search(graph, v, q, 0.98, **how)), strict=True))
+    blocks = list(embedding_dedup.range_search(graph, v, q, 0.98, told=told, **how))
+    pairs = [x for a, b, _ in blocks for x in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(set(pairs)) == len(pairs)
+    return set(pairs)
 
 
 def test_links_beside_the_audit_are_found():
@@ -32,7 +35,7 @@ def test_links_beside_the_audit_are_found():
 @pytest.mark.parametrize("sizes", [[20] * 20 + [1] * 20, [20] * 2 + [1] * 3])
 def test_small_shards_are_exact(sizes):
     v = clusters(3, sizes)
-    assert found(v, v, same=True) == brute(v, v)
+    assert found(v, v, same=True) == {(a, b) for a, b in brute(v, v) if a != b}
 
 
 def test_large_groups_do_not_outweigh_small_ones():
@@ -42,3 +45,35 @@ def test_large_groups_do_not_outweigh_small_ones():
     got = found(v, v, same=True)
     own = [[b for a, b in want if a == i and b != i] for i in range(600, 1000)]
     assert got <= want and np.mean([np.mean([(600 + i, b) in got for b in x]) for i, x in enumerate(own) if x]) >= 0.97
+
+
+@pytest.mark.parametrize("sizes", [[3] * 200 + [1] * 7592, [3000] + [40] * 60 + [1] * 2792])
+def test_recall_on_full_shards(sizes):
+    """Shards of 8192 with few and with many links; the audit's own figure agrees."""
+    v, told = clusters(5, sizes), {}
+    assert len(v) == 8192
+    graph = embedding_dedup.Graph.build(embedding_dedup._unit(v), np.arange(len(v)))
+    links = embedding_dedup.Links(len(v), len(v), True, np.ones(len(v), np.int64), np.ones(len(v), np.int64))
+    for q, p, whole in embedding_dedup.range_search(graph, v, v, 0.98, same=True, told=told):
+        links.add(q, p, whole)
+    unit = embedding_dedup.normal(v)
+    true = np.concatenate([(unit[lo : lo + 512] @ unit.T >= 0.98).sum(axis=1) - 1 for lo in range(0, len(v), 512)])
+    got, _ = links.counts()
+    assert (got <= true).all() and (got[true > 0] / true[true > 0]).mean() >= 0.99
+    assert told["queries"] >= 64 and told["found"] / told["queries"] >= 0.99
+    ends = np.cumsum(sizes)
+    for lo, hi in zip(ends - sizes, ends, strict=True):
+        assert len(set(links.root[lo:hi].tolist())) == 1
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(1, [1e200, 2e200], 1), (2, [2e200, 4e200], 1), (3, [5e-324, 1e-323], 1), (4, [1e-200, -1e-200], 1), (5, [1.0, 2.0], 1)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 0, 4), (5, 3, 1)]
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(7, [1.0, 0.0], 1), (7, [0.0, 1.0], 1), (9, [0.0, 1.001], 1), (None, [1.0, 0.001], 1), (3, [-1.0, 0.0], 1)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), shard=2).collect()
+    assert sorted((r.vec_id or -1, r.n_links, r.component_id) for r in got) == [(-1, 1, 7), (3, 0, 3), (7, 1, 7), (7, 1, 7), (9, 1, 7)]
+    assert all(r.recall == 1.0 for r in got)

@@ -224,7 +224,7 @@ def test_vectors(spark, shard):
     rows = [(i, (base[i % 30] + g.standard_normal(8) * 0.12).astype(np.float32).tolist(), i % 2) for i in range(110)]
     rows += [(200, rows[3][1], 1), (201, rows[3][1], 1), (202, None, 1), (203, [0.0] * 8, 1), (204, [float("nan")] + [1.0] * 7, 1), (205, [None] + [1.0] * 7, 1), (206, rows[3][1], None), (207, [1.0, 2.0], 1), (208, [], 1)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").selectExpr("*", "1 as shard", "2 as cid")
-    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(df, shard=shard).collect())
+    got = sorted(tuple(r)[:4] for r in embedding_dedup.near_duplicates(df, shard=shard).collect())
     assert got == brute_vectors(rows)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
