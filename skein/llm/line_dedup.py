@@ -5,8 +5,8 @@ partitioned with a secondary sort by document and position, and a streaming wind
 finds first occurrences and counts documents.  A line that a third of all documents share would
 make one such group too large, so the range key carries a salt taken from the document: a group is
 cut into at most ``salts`` ranges, each streamed by itself, and their one-row summaries are combined
-after a map-side aggregation.  What returns to the documents is a bitmap of the lines they keep, as
-runs, never text.
+after a map-side aggregation.  Texts are split once; the hashes are a table that both the sort and the
+decisions read.  What returns to the documents is a compressed bitmap: the lines that go, as runs.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.native import WHITE, ascii_lower, lines_of, sha256_hex, text_key
+from skein.llm.store import materialise
 
 SALTS = 64
 
@@ -42,7 +43,7 @@ def decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")
-    occ = occurrences(docs, id_col, text_col, salts)
+    occ = materialise(occurrences(docs, id_col, text_col, salts), "lines")
     ranged = occ.repartitionByRange("h1", "h2", "salt")
     stream = Window.partitionBy("h1", "h2", "salt").orderBy("doc", "th", "pos")
     same = F.col("doc").eqNullSafe(F.lag("doc").over(stream)) & F.col("th").eqNullSafe(F.lag("th").over(stream))
@@ -57,17 +58,17 @@ def decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_bitmaps(docs: DataFrame, **how) -> DataFrame:
-    """(doc, th, dropped): for each document that loses lines, their sorted positions."""
-    return decisions(docs, **how).groupBy("doc", "th").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+    """(doc, th, n_dropped, dropped): for each document that loses lines, the dropped places as runs (start, len), ascending."""
+    places = decisions(docs, **how).groupBy("doc", "th").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    heads = F.filter(F.sequence(F.lit(0), F.size("at") - 1), lambda i: (i == 0) | (F.get("at", i) - F.get("at", i - 1) > 1))
+    runs = F.transform("heads", lambda h, k: F.struct(F.get("at", h).alias("start"), (F.coalesce(F.get("heads", k + 1), F.size("at")) - h).alias("len")))
+    return places.withColumn("heads", heads).select("doc", "th", F.size("at").cast("long").alias("n_dropped"), runs.alias("dropped"))
 
 
-def _runs(dropped, n):
-    """The kept lines as runs (start, len): the bitmap's run-length form, linear in the runs."""
-    edges = F.concat(F.array(F.lit(-1)), dropped, F.array(n))
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size(edges) - 1),
-        lambda i: F.struct((F.element_at(edges, i) + 1).alias("start"), (F.element_at(edges, i + 1) - F.element_at(edges, i) - 1).alias("len")),
-    )
+def _kept(dropped, n):
+    """The kept lines as runs (start, len): what lies between the dropped ones."""
+    ends = F.concat(F.array(F.lit(0)), F.transform(dropped, lambda r: r["start"] + r["len"]))
+    runs = F.transform(ends, lambda e, k: F.struct(e.alias("start"), (F.coalesce(F.get(dropped, k)["start"], n) - e).alias("len")))
     return F.filter(runs, lambda r: r["len"] > 0)
 
 
@@ -80,18 +81,27 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     others.  Input columns named like an output column are replaced; other columns pass through.
     """
     out = [c for c in docs.columns if c not in ("keep_runs", "n_lines", "n_dropped", "kept_text")]
-    lost = keep_bitmaps(docs, id_col=id_col, text_col=text_col, **how).select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("dropped").alias("__dropped"))
-    own = docs.select(*out, text_key(F.col(text_col)).alias("__key"))
-    joined = own.join(lost, own[id_col].eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__th")), "left")
+    doc, th, key, count, dropped = (_free(name, out) for name in ("__doc", "__th", "__key", "__count", "__dropped"))
+    lost = keep_bitmaps(docs, id_col=id_col, text_col=text_col, **how).toDF(doc, th, count, dropped)
+    own = docs.select(*out, text_key(F.col(text_col)).alias(key))
+    joined = own.join(lost, own[id_col].eqNullSafe(F.col(doc)) & (F.col(key) == F.col(th)), "left")
     lines = lines_of(F.col(text_col))
-    dropped = F.coalesce(F.col("__dropped"), F.array().cast("array<int>"))
-    runs = joined.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.size(dropped).cast("long")).withColumn("keep_runs", _runs(dropped, F.col("n_lines").cast("int")))
+    none = F.array().cast("array<struct<start:int,len:int>>")
+    runs = joined.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce(F.col(count), F.lit(0)).cast("long"))
+    runs = runs.withColumn("keep_runs", _kept(F.coalesce(F.col(dropped), none), F.col("n_lines").cast("int")))
     text = F.array_join(F.flatten(F.transform("keep_runs", lambda r: F.slice(lines, r["start"] + 1, r["len"]))), "\n")
     kept = F.when(F.col("n_dropped") == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(text)
     return runs.withColumn("kept_text", kept).select(*out, "keep_runs", "n_lines", "n_dropped", "kept_text")
 
 
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """``documents`` without the lines that ten documents or more share."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = dedup_lines(docs, keep="none", min_docs=10)
     return done.select("doc_id", "n_lines", "n_dropped", sha256_hex(F.col("kept_text")).alias("kept_sha256"))
