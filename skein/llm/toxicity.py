@@ -17,16 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.language_id import held_out
-from skein.llm.store import arrow_batches
+from skein.llm.store import arrow_batches, given_back
 from skein.llm.textcols import ALNUM, LOWER, buffers, expand, mix64, word_ids, words
 
 #: Words of a window and from one window to the next; hidden units of a direction; attention units.
-SPAN, STRIDE, HIDDEN, ATTEND = 40, 32, 12, 12
+SPAN, STRIDE, HIDDEN, ATTEND = 40, 20, 12, 12
 #: Hashed classes of embeddings and of log-odds, and widths of the embeddings.
 BUCKETS, ODDS, WORD_DIM, CHAR_DIM = 1 << 14, 1 << 17, 8, 12
-#: Bounds of the training sample: documents of each label, and characters of each (scoring has no bound).
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1200, 1800, 1 << 14
-EPOCHS, BATCH, RATE, SEED = 4, 256, 0.01, 7
+#: Bounds of the training sample: documents of each label, all with their whole texts (scoring has no bound).
+TRAIN_TOXIC, TRAIN_CLEAN = 1200, 1800
+EPOCHS, BATCH, RATE, SEED = 12, 256, 0.01, 7
 #: Standard errors that a log-odds weight is lowered by.
 DOUBT = 2.0
 THRESHOLD = 0.3
@@ -209,8 +209,12 @@ def cut(ids: np.ndarray, ptr: np.ndarray, none: int) -> tuple[np.ndarray, np.nda
     return windows, doc
 
 
-def train(texts: list[str], toxic: np.ndarray) -> Net:
-    """A network from the training sample.  Without documents of both labels it scores all texts low."""
+def train(texts: list[str], toxic: np.ndarray, use_odds: bool = True) -> Net:
+    """A network from the training sample.  Without documents of both labels it scores all texts low.
+
+    Without ``use_odds`` the network gets no log-odds as inputs, only embeddings; they still choose
+    the windows that it learns from.
+    """
     toxic = np.asarray(toxic, bool)
     data, offsets = buffers(pa.array(texts, pa.large_string()))
     data = LOWER[data]
@@ -229,7 +233,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Net:
         weight = np.log(bad / (np.sum(toxic) + 1)) - np.log(clean / (np.sum(~toxic) + 1))
         sure = np.maximum(np.abs(weight) - DOUBT * np.sqrt(1 / clean + 1 / bad), 0)  # a few sightings prove little
         odds.append((np.sign(weight) * np.minimum(sure, 4)).astype(np.float32))
-    net = Net.fresh(*odds)
+    net = Net.fresh(*(odds if use_odds else map(np.zeros_like, odds)))
     if toxic.all() or not toxic.any():
         net.scale = np.array([0.0, -4.0])
         return net
@@ -325,22 +329,23 @@ def predict(docs: DataFrame, net: Net, *, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_sigmoid(model.scale[0] * top + model.scale[1]).astype(float))], [*own, "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema.fields)
-    return docs.select(*own).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(*own).mapInArrow(given_back(run), f"{kinds}, score double")
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
-    """At most about TRAIN_TOXIC and TRAIN_CLEAN labelled documents that are not held out, by a hash of the id."""
+    """At most about TRAIN_TOXIC and TRAIN_CLEAN labelled documents that are not held out, by a hash of the id; of texts that share an id the first."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
     count = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     share = F.when(F.col("toxic") == 1, min(1.0, TRAIN_TOXIC / max(count.get(1, 0), 1))).otherwise(min(1.0, TRAIN_CLEAN / max(count.get(0, 0), 1)))
     picked = known.filter(place < share).limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN))
-    text = F.substring(F.coalesce("text", F.lit("")), 1, TRAIN_CHARS)
-    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "toxic").toPandas()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").select("text", "toxic").toPandas()
     return rows["text"].tolist(), rows["toxic"].to_numpy() == 1
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Scores of all rows of ``documents``, learned from the labels that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     net = train(*training_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")))
     done = predict(docs, net)
