@@ -122,6 +122,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     templates = sorted(templates)
     if not 0 < len(templates) <= MOST_TEMPLATES:
         raise ValueError(f"1 to {MOST_TEMPLATES} templates")
+    if not any(bigrams(text) for _, text in templates):
+        raise ValueError("a template of two words or more is needed")
     known = [(name, g) for name, text in templates if (g := bigrams(text))]
     worded = [(name, text) for name, text in templates if bigrams(text)]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
@@ -158,6 +160,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
 
 
 def op5_license_scan(spark, sf_dir: str) -> DataFrame:
+    """Licence lines of every whole text of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = scan(docs)
     return done.select(
@@ -180,7 +183,7 @@ WITH t(tid, license, tg) AS (VALUES {rows}),
 d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
 w AS (SELECT doc_id, pos, list_filter(string_split(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws
-      FROM l WHERE line ILIKE '%licen%' OR line ILIKE '%permi%' OR line ILIKE '%redistribut%' OR line ILIKE '%waived%' OR line ILIKE '%terms%' OR line ILIKE '%extent%'),
+      FROM l),
 g AS (SELECT doc_id, pos, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS gs FROM w),
 s AS (SELECT doc_id, pos, tid, license, 2.0 * len(list_intersect(gs, tg)) / (len(gs) + len(tg)) AS dice FROM g, t WHERE len(gs) > 0),
 b AS (SELECT doc_id, pos, first(license ORDER BY dice DESC, tid) AS license, max(dice) AS dice FROM s GROUP BY doc_id, pos HAVING max(dice) >= 0.8),

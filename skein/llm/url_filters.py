@@ -118,6 +118,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id",
 
 
 def op7_url_filters(spark, sf_dir: str) -> DataFrame:
+    """Verdicts on all urls of ``pages``."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("blocked"))
     return filter_urls(pages, labels)
