@@ -158,6 +158,8 @@ _RUN = "ah bigint, ch bigint, n bigint, windows int, body binary"
 _MATCH = "ah bigint, ch bigint, spans array<int>"
 #: Windows of one batch of a shard, and distinct runs of a gram that one shard takes.
 BATCH, MOST_RUNS = 200_000, 20_000
+#: Bytes of a text, whose places have to fit their bits.
+LONGEST = 1 << 28
 
 
 def _sampling(length: int):
@@ -165,6 +167,8 @@ def _sampling(length: int):
         for batch in batches:
             keys = batch.column("key").to_numpy()
             for lo, hi, data, offsets in slices(batch, "text"):
+                if np.diff(offsets).max(initial=0) >= LONGEST:
+                    raise ValueError(f"a text of {LONGEST} bytes or more; split it first")
                 s = samples(data, offsets, length)
                 cols = [pa.array(keys[lo:hi][s["doc"]]), pa.array(s["ah"]), pa.array(s["ch"]), *(pa.array(s[c].astype(np.int32)) for c in ("first", "windows", "place"))]
                 yield pa.RecordBatch.from_arrays(cols, ["key", "ah", "ch", "first", "windows", "place"])
@@ -289,7 +293,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_
     """(key, a, b): byte ranges of the documents (key, text) that repeated strings cover."""
     found = materialise(docs.mapInArrow(_sampling(length), _SAMPLE), "samples")
     by_gram = found.groupBy("ah").agg(F.count("*").alias("c"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).filter("c > 1")
-    shared = materialise(found.join(by_gram.select("ah", (F.col("lo") != F.col("hi")).alias("mixed")), "ah"), "shared")
+    by_gram = materialise(by_gram.select("ah", (F.col("lo") != F.col("hi")).alias("mixed")), "grams")  # a table, so that the join can split a hot gram
+    shared = materialise(found.join(by_gram, "ah"), "shared")
     runs = shared.filter("mixed").groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "windows")).alias("one"))
     runs = materialise(runs.select("ah", "ch", "n", "one.*"), "runs")
     lent = runs.groupBy("key").agg(F.collect_list(F.struct("ah", "ch", "n", "first", "windows")).alias("runs"))
@@ -314,7 +319,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A byte goes if some ``length``-byte string that covers it also starts elsewhere, in the same text
     or another, all judged on the input.  Null and empty texts: no bytes, kept b''.  ``kept`` is binary,
     as a cut may fall inside a character.  Repeated rows are copies, so their long strings go in all of
-    them.  Only the id and the text are read.
+    them.  Only the id and the text are read.  A text of ``LONGEST`` bytes or more raises ValueError.
     """
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
@@ -325,5 +330,6 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """Bytes of ``documents`` that 200-byte strings repeat."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_substrings(docs).drop("kept")
