@@ -2,9 +2,10 @@
 
 The index is partitioned by documents: each of its rows is a shard with the postings of all words of
 some documents, so building and searching it need no exchange and one hot source or word cannot
-fill one task with other shards' postings.  A search takes each distinct test phrase, walks the
+fill one task with other shards' postings.  A search for exact phrases takes each distinct test phrase, walks the
 posting list of the phrase's rarest word in the shard, and intersects it with the lists of the other
-words, rarest first, each shifted by the word's offset in the phrase.  The benchmark travels to the
+words, rarest first, each shifted by the word's offset in the phrase; a proximity search looks how near the other
+words stand on either side instead.  The benchmark travels to the
 executors in blocks of a fixed size; what a shard returns are hit ranges and item ids, so that any
 number of blocks can be merged.
 """
@@ -126,20 +127,46 @@ class Shard:
                 yield alive[lo:hi][owner[ok]], start[ok]
             lo = hi
 
-    def near(self, terms: list[int], width: int) -> np.ndarray:
-        """Ascending first positions of spans of at most ``width`` words in one document with all terms."""
-        if not terms or min(terms) < 0:
-            return np.empty(0, np.int64)
-        lists = [self.positions[self.first[t] : self.first[t] + self.counts[t]] for t in dict.fromkeys(terms)]
-        out = []
-        for own in lists:
-            ok = np.ones(len(own), bool)
-            limit = np.minimum(own + width, self.ptr[np.searchsorted(self.ptr, own, "right")])
-            for other in lists:
-                i = np.searchsorted(other, own)
-                ok &= np.where(i < len(other), other[np.minimum(i, len(other) - 1)], np.iinfo(np.int64).max) < limit
-            out.append(own[ok])
-        return np.unique(np.concatenate(out))
+    def near(self, ids: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(phrase, start, stop): around each occurrence of a phrase's rarest word the shortest span of at most ``width`` words of one document that holds all the phrase's words, in any order; the first of equals."""
+        alive = np.flatnonzero((ids >= 0).all(axis=1))
+        if not len(alive):
+            return
+        terms = ids[alive]
+        rank = np.argsort(self.counts[terms], axis=1, kind="stable")
+        terms = np.take_along_axis(terms, rank, 1)
+        ends = np.cumsum(self.counts[terms[:, 0]])
+        lo = 0
+        while lo < len(alive):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP // 8, "right")))
+            t = terms[lo:hi]
+            at, owner = expand(self.first[t[:, 0]], self.counts[t[:, 0]])
+            at = self.positions[at]
+            doc = np.searchsorted(self.ptr, at, "right")
+            before, after = np.minimum(at - self.ptr[doc - 1], width), np.minimum(self.ptr[doc] - at, width)
+            left, right = np.zeros((0, len(at)), np.int64), np.zeros((0, len(at)), np.int64)
+            for j in range(1, t.shape[1]):  # how far the nearest occurrence of each other word is on either side
+                want = (t[owner, j] << 40) | at
+                i = np.searchsorted(self.places, want)
+                y = self.places[np.minimum(i, len(self.places) - 1)] - want
+                y = np.where((y >= 0) & (y < after), y, width)
+                i = np.searchsorted(self.places, want, "right") - 1
+                x = want - self.places[np.maximum(i, 0)]
+                x = np.where((x >= 0) & (x <= before) & (i >= 0), x, width)
+                ok = np.minimum(x, y) < width
+                left, right = np.vstack([left[:, ok], x[ok]]), np.vstack([right[:, ok], y[ok]])
+                at, owner, before, after = at[ok], owner[ok], before[ok], after[ok]
+                if not len(at):
+                    break
+            size, start = np.full(len(at), width + 1), np.zeros(len(at), np.int64)
+            for x in range(width if len(at) else 0):
+                beyond = np.where(left <= x, 0, right).max(axis=0, initial=0)
+                shorter = (x + beyond + 1 <= size) & (x + beyond < width)
+                size[shorter], start[shorter] = (x + beyond + 1)[shorter], at[shorter] - x
+            ok = size <= width
+            if ok.any():
+                yield alive[lo:hi][owner[ok]], start[ok], (start + size)[ok]
+            lo = hi
 
 
 def phrase_blocks(items: list[tuple[int, str | None]], window: int = WINDOW, block: int = BLOCK) -> Iterator[dict]:
@@ -162,9 +189,9 @@ def phrase_blocks(items: list[tuple[int, str | None]], window: int = WINDOW, blo
         own = [raw[a:b] for a, b in zip(start, end, strict=True)]
         for i in range(max(1, len(own) - window + 1) if own else 0):
             owners[tuple(own[i : i + window])].append(item)
-        if len(owners) >= block:
-            yield packed()
-            owners.clear()
+            if len(owners) >= block:
+                yield packed()
+                owners.clear()
     if owners:
         yield packed()
 
@@ -175,27 +202,85 @@ def search(index: DataFrame, items: DataFrame, *, item_col: str = "item_id", tex
     ``spans`` are hit ranges (from, to, from, to ...) in words, ``items`` the items with a window
     in the document.  Items stream to the driver and leave it in blocks of ``block`` windows.
     """
-    spark = index.sparkSession
-    rows = ((r[0], r[1]) for r in items.select(F.col(item_col).cast("bigint"), text_col).toLocalIterator())
-    blocks = phrase_blocks(rows, window, block)
-    first = next(blocks, {"vocabulary": pa.array([], pa.binary()), "by_length": {}})
-    found = index.mapInArrow(_searcher(spark.sparkContext.broadcast(first)), _HITS)
-    rest = [index.mapInArrow(_searcher(spark.sparkContext.broadcast(x)), _HITS) for x in blocks]
-    if not rest:
+    found, blocks = _in_blocks(index, items, item_col, text_col, window, block, _searcher, _HITS)
+    if blocks == 1:
         return found
-    for part in rest:
-        found = found.unionAll(part)
     joined = [F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items")]
     return found.groupBy("key").agg(F.first("doc").alias("doc"), F.first("row_key").alias("row_key"), F.first("n_words").alias("n_words"), *joined)
 
 
+def _in_blocks(index: DataFrame, items: DataFrame, item_col: str, text_col: str, window: int, block: int, task, kinds: str) -> tuple[DataFrame, int]:
+    """(what ``task`` finds for all blocks of windows, their number); two blocks at most are held, and each of several is searched before the next is made."""
+    spark = index.sparkSession
+    rows = ((r[0], r[1]) for r in items.select(F.col(item_col).cast("bigint"), text_col).toLocalIterator())
+    blocks = phrase_blocks(rows, window, block)
+    one = next(blocks, {"vocabulary": pa.array([], pa.binary()), "by_length": {}})
+    other = next(blocks, None)
+    if other is None:
+        return index.mapInArrow(task(spark.sparkContext.broadcast(one)), kinds), 1
+    found, n = None, 0
+    while one is not None:
+        sent = spark.sparkContext.broadcast(one)
+        part = materialise(index.mapInArrow(task(sent), kinds), "hits")
+        sent.destroy()
+        found, n = part if found is None else found.unionAll(part), n + 1
+        one, other = other, next(blocks, None)
+    return found, n
+
+
+def near_matches(
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, width: int = 2 * WINDOW, block: int = BLOCK
+) -> DataFrame:
+    """Proximity matches: (doc_id, row_key, item_id, start, stop).
+
+    A row for each document and item of which some window (``window`` consecutive words, or the whole of
+    a shorter item) has all its words, in any order, within ``width`` consecutive words of the document:
+    the shortest such span in words, the first of equals.  So a passage with words put in or moved is
+    found that has no exact window left.  Null and empty texts have no words; repeated rows have a row
+    each; null item ids are left out.  Other columns are not read.
+    """
+    index = build_index(docs, id_col=id_col, text_col=text_col)
+    wanted = benchmark.filter(F.col(item_col).isNotNull()).select(item_col, text_col)
+    found, _ = _in_blocks(index, wanted, item_col, text_col, window, block, lambda sent: _near_searcher(sent, width), "key bigint, doc bigint, row_key bigint, item bigint, start bigint, stop bigint")
+    best = found.groupBy("key", "item").agg(F.first("doc").alias("doc"), F.first("row_key").alias("row_key"), F.min(F.struct((F.col("stop") - F.col("start")).alias("n"), "start", "stop")).alias("m"))
+    return best.select(F.col("doc").alias("doc_id"), "row_key", F.col("item").alias("item_id"), "m.start", "m.stop")
+
+
+def _near_searcher(block, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _opened(batches):
+            ids = shard.lookup(block.value["vocabulary"])
+            out = []
+            for rows, owners in block.value["by_length"].values():
+                size = np.array([len(o) for o in owners])
+                flat = np.array([x for o in owners for x in o])
+                for phrase, start, stop in shard.near(ids[rows], width):
+                    at, who = expand((np.cumsum(size) - size)[phrase], size[phrase])
+                    out.append(np.stack([flat[at], start[who], stop[who]]))
+            if out:
+                item, start, stop = np.concatenate(out, axis=1)
+                doc = np.searchsorted(shard.ptr, start, "right") - 1
+                order = np.lexsort((start, stop - start, item, doc))
+                first = np.flatnonzero((np.diff(doc[order], prepend=-1) != 0) | (np.diff(item[order], prepend=item[order][:1] - 1) != 0))
+                own = order[first]
+                doc = doc[own]
+                cols = [np.array(shard.keys)[doc], pa.array(shard.docs, pa.int64()).take(pa.array(doc)), np.array(shard.row_keys)[doc], item[own], start[own] - shard.ptr[doc], stop[own] - shard.ptr[doc]]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], ["key", "doc", "row_key", "item", "start", "stop"])
+
+    return given_back(run)
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {n: batch.column(n)[i] for n in batch.schema.names}
+            yield Shard({n: v.values if n == "terms" else v.as_py() for n, v in row.items()})
+
+
 def _searcher(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i] for n in batch.schema.names}
-                row = {n: v.values if n == "terms" else v.as_py() for n, v in row.items()}
-                yield _hits(Shard(row), block.value)
+        for shard in _opened(batches):
+            yield _hits(shard, block.value)
 
     return given_back(run)
 
@@ -275,11 +360,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Exact benchmark windows in all rows of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return decontaminate(docs, bench).drop("spans", "row_key")
 
 
+def op2_near_matches(spark, sf_dir: str) -> DataFrame:
+    """Proximity matches of benchmark windows in all rows of ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return near_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")).drop("row_key")
+
+
 OP2_SQL = r"""
 WITH b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
 win AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: list_slice(w, i, i + 9))) AS ph FROM b WHERE len(w) > 0),

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.store import arrow_batches
+from skein.llm.store import arrow_batches, given_back
 from skein.llm.textcols import LOWER, buffers, mix64
 
 #: Hashed trigram classes of the model.
@@ -82,7 +82,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """
     arrow_batches(labelled.sparkSession)
     kinds = "lang string, counts binary"
-    part = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(_counting, kinds)
+    part = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(given_back(_counting), kinds)
     salted = part.withColumn("salt", F.spark_partition_id() % 32).groupBy("lang", "salt").applyInPandas(_adding, kinds)
     rows = sorted((r["lang"], bytes(r["counts"])) for r in salted.groupBy("lang").applyInPandas(_adding, kinds).limit(MOST_LANGS + 1).collect())
     if len(rows) > MOST_LANGS:
@@ -168,7 +168,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text_col: s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(maps, pa.map_(pa.string(), pa.float64()))], [*own, "lang_pred", "score", "lang_mix"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema.fields)
-    return docs.select(*own).mapInArrow(run, f"{kinds}, lang_pred string, score double, lang_mix map<string,double>")
+    return docs.select(*own).mapInArrow(given_back(run), f"{kinds}, lang_pred string, score double, lang_mix map<string,double>")
 
 
 def fit_on(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -177,6 +177,7 @@ def fit_on(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
+    """Languages of all rows of ``documents``, learned from those that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     done = predict(docs.select("doc_id", "text"), fit_on(docs))
     return done.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")

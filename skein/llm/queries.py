@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm.decontaminate import OP2_SQL, op2_decontaminate
+from skein.llm.decontaminate import OP2_SQL, op2_decontaminate, op2_near_matches
 from skein.llm.embedding_dedup import OP10_SQL, op10_embedding_dedup
 from skein.llm.jaccard_join import op9_jaccard_join
 from skein.llm.language_id import op3_language_id
@@ -16,6 +16,7 @@ from skein.llm.url_filters import OP7_SQL, op7_url_filters
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op2_near_matches": op2_near_matches,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_license_scan": op5_license_scan,

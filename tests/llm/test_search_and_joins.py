@@ -49,14 +49,36 @@ def test_decontaminate_empty(spark, docs):
     assert decontaminate.decontaminate(docs([(1, "a b")]), none).first()[1:5] == (2, 0, 0, hashlib.sha256(b"").hexdigest())
 
 
-def test_proximity():
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_pydict({"doc": [1, 2], "key": [1, 2], "text": ["red x x blue red", "blue x x x x red blue"]})
-    row = next(decontaminate._shards(iter([batch])))
-    shard = decontaminate.Shard({n: row.column(n)[0].values if n == "terms" else row.column(n)[0].as_py() for n in row.schema.names})
-    terms = shard.lookup(pa.array([b"red", b"blue"], pa.binary())).tolist()
-    assert shard.near(terms, 2).tolist() == [3, 10] and shard.near(terms, 4).tolist() == [0, 3, 10]
+def brute_near(rows, items, width, window=10):
+    out = {}
+    for d, t in rows:
+        w = words(t)
+        for i, text in items:
+            own = words(text)
+            for k in range(max(1, len(own) - window + 1) if own else 0):
+                need = set(own[k : k + window])
+                for n in range(1, min(width, len(w)) + 1):
+                    found = [s for s in range(len(w) - n + 1) if need <= set(w[s : s + n])]
+                    if found:
+                        out[d, i] = min(out.get((d, i), (n, found[0])), (n, found[0]))
+                        break
+    return {(d, i, s, s + n) for (d, i), (n, s) in out.items()}
+
+
+@pytest.mark.parametrize(("block", "width"), [(200_000, 20), (3, 14), (200_000, 1)])
+def test_proximity(spark, docs, block, width):
+    """Words put in, left out and moved; repeated words; spans never cross documents."""
+    g = random.Random(13)
+    vocab = [f"w{i}" for i in range(14)]
+    items = [(1, " ".join(vocab[:12])), (2, "w3 w4 w3"), (3, "w13"), (4, " ".join(g.choices(vocab, k=30))), (5, None), (6, "")]
+    rows = [(d, " ".join(g.choices(vocab, k=g.randrange(1, 50)))) for d in range(25)]
+    moved = " ".join(vocab[5:0:-1] + ["x", "y"] + vocab[5:12])
+    rows += [(60, "a b " + moved + " c"), (61, "W3 z w4"), (62, "w3"), (63, "w4"), (64, None), (65, ""), (66, moved.upper())]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = [(r.doc_id, r.item_id, r.start, r.stop) for r in decontaminate.near_matches(docs(rows), bench, width=width, block=block).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_near(rows, items, width)
+    assert width < 14 or {(60, 1), (66, 1)} <= {(d, i) for d, i, _, _ in got}
+    assert decontaminate.near_matches(docs([]), bench).count() == 0
 
 
 def brute_groups(rows):
