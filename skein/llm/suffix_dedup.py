@@ -16,6 +16,7 @@ with map-side aggregation, and which need no group in one place.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.store import arrow_batches, materialise
+from skein.llm.store import arrow_batches, given_back, materialise
 from skein.llm.textcols import buffers, expand, mix64
 
 LENGTH, GRAM = 200, 32
@@ -131,8 +132,8 @@ class SuffixLevels:
                 at = np.minimum(np.searchsorted(part, keys[a:b]), len(part) - 1)
                 met = part[at] == keys[a:b]
                 self.found.append(ids[a:b][met])
-                back = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
-                self.found.append(their_ids[lo : lo + (1 << 18)][keys[back] == part])
+                # of equal windows in a level the first is met; if there are more, all were found when they met
+                self.found.append(their_ids[lo : lo + (1 << 18)][np.unique(at[met])])
         self.levels.append((text, starts, ids))
         while len(self.levels) > 1 and 2 * len(self.levels[-1][1]) > len(self.levels[-2][1]):
             self._merge()
@@ -156,8 +157,8 @@ class SuffixLevels:
 _SAMPLE = "key bigint, ah bigint, ch bigint, first int, windows int, place int"
 _RUN = "ah bigint, ch bigint, n bigint, windows int, body binary"
 _MATCH = "ah bigint, ch bigint, spans array<int>"
-#: Windows of one batch of a shard, and distinct runs of a gram that one shard takes.
-BATCH, MOST_RUNS = 200_000, 20_000
+#: Windows of one batch of a shard, windows of a shard, about, and distinct runs of a gram that one shard takes.
+BATCH, SHARD, MOST_RUNS = 200_000, 600_000, 20_000
 #: Bytes of a text, whose places have to fit their bits.
 LONGEST = 1 << 28
 
@@ -291,16 +292,17 @@ def _removing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_RUNS) -> DataFrame:
     """(key, a, b): byte ranges of the documents (key, text) that repeated strings cover."""
-    found = materialise(docs.mapInArrow(_sampling(length), _SAMPLE), "samples")
+    found = materialise(docs.mapInArrow(given_back(_sampling(length)), _SAMPLE), "samples")
     by_gram = found.groupBy("ah").agg(F.count("*").alias("c"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).filter("c > 1")
     by_gram = materialise(by_gram.select("ah", (F.col("lo") != F.col("hi")).alias("mixed")), "grams")  # a table, so that the join can split a hot gram
     shared = materialise(found.join(by_gram, "ah"), "shared")
     runs = shared.filter("mixed").groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "windows")).alias("one"))
     runs = materialise(runs.select("ah", "ch", "n", "one.*"), "runs")
     lent = runs.groupBy("key").agg(F.collect_list(F.struct("ah", "ch", "n", "first", "windows")).alias("runs"))
-    bodies = materialise(docs.join(lent, "key").select("text", "runs").mapInArrow(_cutting(length), _RUN), "bodies")
+    bodies = materialise(docs.join(lent, "key").select("text", "runs").mapInArrow(given_back(_cutting(length)), _RUN), "bodies")
     hot = runs.groupBy("ah").count().filter(F.col("count") > most_runs).select("ah")
-    light = bodies.join(hot, "ah", "left_anti").repartition("ah").mapInArrow(_matching(length), _MATCH)
+    shards = max(1, math.ceil((runs.agg(F.sum("windows")).first()[0] or 0) / SHARD))
+    light = bodies.join(hot, "ah", "left_anti").repartition(shards, "ah").mapInArrow(given_back(_matching(length)), _MATCH)
     heavy = bodies.join(hot, "ah", "left_semi")
     hashed = heavy.mapInArrow(_hashing(length), "ah bigint, ch bigint, i int, w1 bigint, w2 bigint")
     single = hashed.groupBy("w1", "w2").agg(F.min(F.struct("ah", "ch", "i")).alias("x"), F.max(F.struct("ah", "ch", "i")).alias("y")).filter("x <> y").select("w1", "w2")
