@@ -34,25 +34,40 @@ def note_name(midi: Column) -> Column:
     return F.concat(F.element_at(names, (F.pmod(midi, F.lit(12)) + 1).cast("int")), (F.floor(midi / 12) - 1).cast("string"))
 
 
-#: string ':' lead? fret bend? flags; see parse_note.
-NOTE_PATTERN = r"^([1-6]):([hps/\\]?)(?:(\d{1,2})|x|\((\d{1,2})\)|<(\d{1,2})>)(?:b(\d{1,2}))?(~?)(\??)$"
+#: string ':' lead? body bend? flags; only a number, or a grace note's, may bend; see parse_note.
+NOTE_PATTERN = r"^([1-6]):([hps/\\]?)(?:(g?)(\d{1,2})(?:([br])(\d{1,2}))?|([xX])|\((\d{1,2})\)|<(\d{1,2})>)(~?)(\??)$"
 
 
 def parse_note(note: Column) -> Column:
-    """One note as struct(string, lead, fret, muted, ghost, harmonic, bend, vibrato, unsure), or null."""
-    part = [F.regexp_extract(note, NOTE_PATTERN, i) for i in range(9)]
+    """One note as struct(string, lead, fret, muted, ghost, harmonic, grace, bend, release, vibrato, unsure, tech), or null.
+
+    ``bend`` is the fret that a bend or a release ends at.  ``tech`` lists all marks: vibrato, bend or
+    release, lead, kind.
+    """
+    part = [F.regexp_extract(note, NOTE_PATTERN, i) for i in range(12)]
     number = lambda c: F.when(c != "", c.cast("int"))
-    fret = F.coalesce(number(part[3]), number(part[4]), number(part[5]))
+    fret = F.coalesce(number(part[4]), number(part[8]), number(part[9]))
     ok = note.rlike(NOTE_PATTERN) & (fret.isNull() | (fret <= 24))
+    marks = [(part[10] != "", F.lit("~")), (part[5] != "", part[5]), (part[2] != "", part[2]), (part[8] != "", F.lit("ghost")), (part[9] != "", F.lit("harm")), (part[3] != "", F.lit("grace")), (part[7] != "", F.lit("x"))]
+    tech = F.filter(F.array(*[F.when(c, v) for c, v in marks]), lambda t: t.isNotNull())
     return F.when(
         ok,
         F.struct(
-            part[1].cast("int").alias("string"), F.when(part[2] != "", part[2]).alias("lead"), fret.alias("fret"), fret.isNull().alias("muted"), (part[4] != "").alias("ghost"),
-            (part[5] != "").alias("harmonic"), number(part[6]).alias("bend"), (part[7] != "").alias("vibrato"), (part[8] != "").alias("unsure"),
+            part[1].cast("int").alias("string"), F.when(part[2] != "", part[2]).alias("lead"), fret.alias("fret"), (part[7] != "").alias("muted"), (part[8] != "").alias("ghost"),
+            (part[9] != "").alias("harmonic"), (part[3] != "").alias("grace"), number(part[6]).alias("bend"), (part[5] == "r").alias("release"), (part[10] != "").alias("vibrato"), (part[11] != "").alias("unsure"), tech.alias("tech"),
         ),
     )
 
 
+def parse_event(event: Column) -> Column:
+    """Notes apart by white space as struct(bar, notes), or null: each has to be a note, and no string is named twice.  ``|`` is a bar."""
+    tokens = F.split(F.trim(event), r"\s+")
+    notes = F.transform(tokens, parse_note)
+    good = ~F.exists(notes, lambda n: n.isNull()) & (F.size(F.array_distinct(F.transform(notes, lambda n: n["string"]))) == F.size(notes))
+    bar = F.trim(event) == "|"
+    return F.when(bar, F.struct(F.lit(True).alias("bar"), F.slice(notes, 1, 0).alias("notes"))).when(good, F.struct(F.lit(False).alias("bar"), notes.alias("notes")))
+
+
 def version_key(v: Column) -> Column:
     """Sortable key of a semantic version; a release sorts after its pre-releases, nonsense is null."""
     pattern = r"^v?(\d+)\.(\d+)\.(\d+)(?:-([0-9A-Za-z.-]+))?$"
@@ -71,10 +86,15 @@ def classify(text: Column, rules: list[tuple[str, str]], default: str) -> Column
     return out
 
 
-def natural_key(c: Column, width: int = 12) -> Column:
-    """Sort key in which the first number of a title counts as a number."""
-    digits = F.regexp_extract(c, r"(\d+)", 1)
-    return F.concat(F.lower(F.regexp_extract(c, r"^(\D*)", 1)), F.lpad(digits, width, "0"), F.lower(F.regexp_replace(c, r"^\D*\d*", "")))
+def natural_key(c: Column, width: int = 20) -> Column:
+    """Sort key in which every number of a title counts as a number, and case and accents do not count."""
+    parts = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), 1)
+    return folded(F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), width, "0")).otherwise(p)), ""))
+
+
+def folded(c: Column) -> Column:
+    """A text that compares without case and accents (by the Unicode collation of that strength)."""
+    return F.collate(c, "UNICODE_CI_AI")
 
 
 def clock(seconds: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import contains_all, fold, natural_key
+from skein.functions.text import contains_all, fold, folded, natural_key
 
 
 def search(docs: DataFrame, query: str, fields: list[str], *, ascii_only: bool = False) -> DataFrame:
@@ -14,19 +14,25 @@ def search(docs: DataFrame, query: str, fields: list[str], *, ascii_only: bool =
     return docs.filter(contains_all(F.lower(hay) if ascii_only else fold(hay), query.lower()))
 
 
-#: Sort orders of the library list: columns (title, artist, updated, added, pages).
+#: Sort orders of the library list: columns (title, artist, updated, added, pages); ``who`` is the artist or else the channel.
 SORTS = {
-    "edited": lambda: [F.desc("updated"), F.asc("id")],
-    "added": lambda: [F.desc("added"), F.asc("id")],
-    "title": lambda: [natural_key(F.col("title")).asc(), F.asc("id")],
-    "artist": lambda: [(F.coalesce("artist", F.lit("")) == "").asc(), F.lower("artist").asc(), natural_key(F.col("title")).asc(), F.asc("id")],
-    "pages": lambda: [F.desc("pages"), natural_key(F.col("title")).asc(), F.asc("id")],
+    "edited": lambda who: [F.desc("updated"), F.asc("id")],
+    "added": lambda who: [F.desc("added"), F.asc("id")],
+    "title": lambda who: [natural_key(F.col("title")).asc(), F.asc("id")],
+    "artist": lambda who: [(F.coalesce(who, F.lit("")) == "").asc(), folded(who).asc(), natural_key(F.col("title")).asc(), F.asc("id")],
+    "pages": lambda who: [F.desc("pages"), natural_key(F.col("title")).asc(), F.asc("id")],
 }
 
 
 def listing(sheets: DataFrame, sort: str = "edited", limit: int = 60) -> DataFrame:
-    """The first rows in the wanted order; unknown orders mean ``edited``."""
-    return sheets.orderBy(*SORTS.get(sort, SORTS["edited"])()).limit(limit)
+    """The first rows in the wanted order; unknown orders mean ``edited``.
+
+    Titles compare with their numbers as numbers, without case and accents; where there is a ``channel``, it
+    stands in for an artist that is null or empty.
+    """
+    who = F.when(F.col("artist") != "", F.col("artist")) if "artist" in sheets.columns else F.lit(None).cast("string")
+    who = F.coalesce(who, F.col("channel")) if "channel" in sheets.columns else who
+    return sheets.orderBy(*SORTS.get(sort, SORTS["edited"])(who)).limit(limit)
 
 
 def clean(raw: DataFrame, spec: dict[str, tuple]) -> DataFrame:

@@ -32,7 +32,7 @@ def segment_runs(df: DataFrame, key: str, order, value: str, *, change: float =
     """
     t = positions(df, key, order)
     w = Window.partitionBy(key).orderBy("t")
-    pairs = t.select(key, "t", F.col(value).alias("v"), F.lag(value).over(w).alias("p")).filter("p IS NOT NULL")
+    pairs = t.select(key, "t", F.col(value).alias("v"), F.lag(value).over(w).alias("p")).filter("p IS NOT NULL AND v IS NOT NULL")
     ratio = F.abs(F.col("v") - F.col("p")) / F.greatest("v", "p", F.lit(1.0))
     marked = pairs.select(key, (F.col("t") - 1).alias("i"), F.when(ratio > change, 1).otherwise(0).alias("tr"))
     grouped = marked.withColumn("g", F.sum("tr").over(Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
@@ -154,9 +154,37 @@ def epoch_fence(df: DataFrame, key, order, epoch: str) -> DataFrame:
 
 
 def evidence(df: DataFrame, key, seconds: str, kind: str, *, ttl: int) -> DataFrame:
-    """Kinds seen within the last ``ttl`` seconds of each row, itself included: count of distinct kinds."""
-    w = Window.partitionBy(*_list(key)).orderBy(seconds).rangeBetween(-ttl, 0)
-    return df.withColumn("alive", F.size(F.collect_set(kind).over(w)))
+    """Kinds seen within the last ``ttl`` seconds of each row, itself included: count of distinct kinds.
+
+    A kind's sightings make intervals that end ``ttl`` after their last one; a running sum of beginnings
+    and ends counts those that are open, so no row holds a set.  A null kind is none.
+    """
+    own = Window.partitionBy(*_list(key), kind).orderBy(seconds)
+    gap_before = F.coalesce(F.col(seconds) - F.lag(seconds).over(own) > ttl, F.lit(True))
+    gap_after = F.coalesce(F.lead(seconds).over(own) - F.col(seconds) > ttl, F.lit(True))
+    known = F.col(kind).isNotNull()
+    cols = F.struct(*df.columns)
+    marked = df.select(cols.alias("__row"), *_list(key), seconds, (known & gap_before).cast("int").alias("__open"), (known & gap_after).alias("__last"))
+    rows = marked.select("__row", *_list(key), F.col(seconds).alias("__at"), F.lit(0).alias("__end"), F.col("__open").alias("__step"))
+    ends = marked.filter("__last").select(F.lit(None).cast(marked.schema["__row"].dataType).alias("__row"), *_list(key), (F.col(seconds) + ttl).alias("__at"), F.lit(1).alias("__end"), F.lit(-1).alias("__step"))
+    upto = Window.partitionBy(*_list(key)).orderBy("__at", "__end").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.unionAll(ends).withColumn("alive", F.sum("__step").over(upto)).filter("__end = 0").select("__row.*", "alive")
+
+
+def range_extremes(df: DataFrame, key, seconds: str, value: str, *, since: int, until: int) -> DataFrame:
+    """``low`` and ``high`` of the key's values from ``since`` to ``until`` seconds before each row; null without any."""
+    w = Window.partitionBy(*_list(key)).orderBy(seconds).rangeBetween(-since, -until)
+    return df.withColumn("low", F.min(value).over(w)).withColumn("high", F.max(value).over(w))
+
+
+def local_maxima(df: DataFrame, key, order, value: str, id_col: str, *, most: int = 6) -> DataFrame:
+    """Each key's ``most`` highest rows that are no lower than the row before and higher than the next, ranked; equal ones by id."""
+    w = _w(key, order)
+    up = F.coalesce(F.col(value) >= F.lag(value).over(w), F.lit(True))
+    down = F.coalesce(F.col(value) > F.lead(value).over(w), F.lit(True))
+    tops = df.withColumn("__top", up & down & F.col(value).isNotNull()).filter("__top").drop("__top")
+    best = Window.partitionBy(*_list(key)).orderBy(F.desc(value), id_col)
+    return tops.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
 
 
 def missed(df: DataFrame, key, order, due: str, now: Column, *, speed: float = 1.0) -> DataFrame:

@@ -15,17 +15,42 @@ LOWER = lambda n: F.floor((n - 1) / 2)
 def exact_ranks(df: DataFrame, key, value: str, ranks: dict[str, object]) -> DataFrame:
     """(key, n, one column for each rank rule): values at exact places of the sorted group.
 
-    Equal values are counted before they are shuffled; only distinct values are then in order.
-    Nulls are left out; a group of nulls only is absent.
+    Equal values are counted before they are shuffled; only distinct values are then in order, and not
+    even those in one task (``running``).  Nulls are left out; a group of nulls only is absent.
     """
     keys = [key] if isinstance(key, str) else list(key)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).count()
-    w = Window.partitionBy(*keys)
-    upto = counts.withColumn("__to", F.sum("count").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.sum("count").over(w))
+    upto = running(counts, keys, value, {"count": "__to"}, {"count": "__n"})
     picks = [F.min(F.when(F.col("__to") > rule(F.col("__n")), F.col(value))).alias(name) for name, rule in ranks.items()]
     return upto.groupBy(*keys).agg(F.first("__n").alias("n"), *picks)
 
 
+def running(df: DataFrame, keys: list[str], value: str, sums: dict[str, str], totals: dict[str, str], ranges: int = 64) -> DataFrame:
+    """Rows with running sums of columns in order of ``value`` (column -> name), and sums of the whole key.
+
+    In two levels: numeric values are cut into ranges at approximate quantiles, each range is summed up by
+    itself and starts from the small table of the ranges before it; so one key fills ``ranges`` tasks.
+    Values have to be distinct within a key.  Where the cuts lie changes no result.
+    """
+    cuts = sorted(set(df.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+    cut = df.withColumn("__range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0))
+    columns = sorted({*sums, *totals})
+    part = cut.groupBy(*keys, "__range").agg(*[F.sum(c).alias(f"__p_{c}") for c in columns])
+    earlier, every = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    part = part.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"),
+        *[F.coalesce(F.sum(f"__p_{c}").over(earlier), F.lit(0)).alias(f"__b_{c}") for c in sums], *[F.sum(f"__p_{c}").over(every).alias(name) for c, name in totals.items()],
+    )
+    same = F.col("__range") == F.col("__r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    within = Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(F.broadcast(part) if not keys else part, same)
+    for c, name in sums.items():
+        out = out.withColumn(name, F.col(f"__b_{c}") + F.sum(c).over(within))
+    return out.drop("__range", "__r", *[f"__k{i}" for i in range(len(keys))], *[f"__b_{c}" for c in sums])
+
+
 def cell_counts(df: DataFrame, key, x: Column, y: Column) -> DataFrame:
     """Grid signature: rows of each cell (cx, cy)."""
     keys = [key] if isinstance(key, str) else list(key)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.joins import nearest_within
+from skein.operators.ranks import running
 
 
 def micro_f1(df: DataFrame, truth: Column, guess: Column, key=()) -> DataFrame:
@@ -19,12 +20,10 @@ def micro_f1(df: DataFrame, truth: Column, guess: Column, key=()) -> DataFrame:
 def flag_stats(df: DataFrame, confidence: str, error: Column, *, share: float = 0.1) -> DataFrame:
     """The highest confidence below which at most ``share`` of rows lie, and how many errors that flags."""
     counts = df.groupBy(confidence).agg(F.count("*").alias("n"), F.sum(error.cast("long")).alias("e"))
-    w = Window.partitionBy(F.lit(0)).orderBy(confidence).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(F.lit(0))
-    upto = counts.withColumn("to", F.sum("n").over(w)).withColumn("all", F.sum("n").over(every)).withColumn("errors", F.sum("e").over(every))
-    at = upto.withColumn("threshold", F.min(F.when(F.col("to") > F.floor(F.lit(share) * F.col("all")), F.col(confidence))).over(every))
-    flagged = F.col(confidence) < F.col("threshold")
-    out = at.groupBy("threshold", "all", "errors").agg(F.coalesce(F.sum(F.when(flagged, F.col("n"))), F.lit(0)).alias("flagged"), F.coalesce(F.sum(F.when(flagged, F.col("e"))), F.lit(0)).alias("caught"))
+    upto = running(counts.filter(F.col(confidence).isNotNull()), [], confidence, {"n": "to", "e": "seen"}, {"n": "all", "e": "errors"})
+    above = F.col("to") > F.floor(F.lit(share) * F.col("all"))
+    first = F.min(F.when(above, F.struct(F.col(confidence).alias("threshold"), (F.col("to") - F.col("n")).alias("flagged"), (F.col("seen") - F.col("e")).alias("caught")))).alias("at")
+    out = upto.agg(first, F.first("all").alias("all"), F.first("errors").alias("errors")).filter("all IS NOT NULL").select("at.*", "all", "errors")
     return out.select("threshold", F.col("all").alias("n"), "flagged", "caught", "errors", (F.col("caught") / F.greatest(F.lit(1), F.col("errors"))).alias("share"))
 
 

@@ -156,11 +156,24 @@ def rate_limit(times: np.ndarray, window: float, most: int) -> np.ndarray:
 
 
 def rate_limited(df: DataFrame, *, key: str, order: str, id_col: str, seconds: str, window: float, most: int) -> DataFrame:
-    """(key, id, allowed) by the first-hit window of each key."""
+    """(key, id, allowed) by the first-hit window of each key.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([seconds, id_col])
-        return pd.DataFrame({key: pdf[key], id_col: pdf[id_col], "allowed": rate_limit(pdf[seconds].to_numpy(float), window, most)})
+    Rows stream through a task in order of key and time; two numbers are held, never a key's rows.
+    """
+
+    def run(frames):
+        last: object = None
+        start, n = -np.inf, 0
+        for pdf in frames:
+            keys, times = pdf[key].tolist(), pdf[seconds].to_numpy(float)
+            out = np.zeros(len(pdf), bool)
+            for i, (k, t) in enumerate(zip(keys, times.tolist(), strict=True)):
+                if k != last or t - start >= window:
+                    last, start, n = k, t, 0
+                n += 1
+                out[i] = n <= most
+            yield pd.DataFrame({key: pdf[key], id_col: pdf[id_col], "allowed": out})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select(key, id_col, seconds).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, allowed boolean")
+    ordered = df.select(key, id_col, seconds).repartition(key).sortWithinPartitions(key, seconds, id_col)
+    return ordered.mapInPandas(run, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, allowed boolean")

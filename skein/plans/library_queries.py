@@ -32,11 +32,14 @@ def library_search_folded(spark, d):
 
 
 @query("""
-with s as (select c_custkey as id, c_name as title, case when c_custkey%4=0 then null else c_mktsegment end as artist from customer)
-select id, title, artist from s order by (coalesce(artist,'')='') asc, lower(artist) asc,
- lower(regexp_extract(title,'^(\\D*)',1))||lpad(regexp_extract(title,'(\\d+)',1),12,'0')||lower(regexp_replace(title,'^\\D*\\d*','')) asc, id limit 60""".replace("\\\\", "\\"))
+with s as (select c_custkey as id, case when c_custkey%2=0 then 'Étude '||(c_custkey%12)||' part '||c_custkey else 'etude '||(c_custkey%12)||' part '||c_custkey end as title, case when c_custkey%4=0 then null when c_custkey%8=1 then '' else c_mktsegment end as artist, case when c_custkey%3=0 then null else 'channel '||(c_custkey%5) end as channel from customer),
+w as (select *, coalesce(nullif(artist,''), channel) as who from s)
+select id, title, artist, channel from w order by (coalesce(who,'')='') asc, lower(who) asc, (id%12) asc, id asc limit 60""")
 def library_sort_topk(spark, d):
-    s = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("artist"))
+    k = F.col("c_custkey")
+    title = F.concat(F.when(k % 2 == 0, "Étude ").otherwise("etude "), (k % 12).cast("string"), F.lit(" part "), k.cast("string"))
+    artist = F.when(k % 4 == 0, None).when(k % 8 == 1, "").otherwise(F.col("c_mktsegment"))
+    s = table(spark, d, "customer").select(k.alias("id"), title.alias("title"), artist.alias("artist"), F.when(k % 3 != 0, F.concat(F.lit("channel "), (k % 5).cast("string"))).alias("channel"))
     return lib.listing(s, "artist", 60)
 
 
@@ -66,19 +69,6 @@ def clean_records(spark, d):
     return c.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-_NOTES = [f"{s}:{x}" for s in (1, 3, 6, 7) for x in ("0", "12", "25", "h7", "x", "(5)", "<12>", "7b9", "7~", "s3?", "", "p10~?")]
-
-
-@query("with n(note) as (values " + ",".join(f"('{n}')" for n in _NOTES) + r""")
-select note, coalesce(case when ok then cast(m[1] as int) end, -1) as string, coalesce(case when ok then fret end, -1) as fret, coalesce(case when ok then fret is null end, false) as muted from (
- select *, coalesce(try_cast(nullif(m[3],'') as int), try_cast(nullif(m[4],'') as int), try_cast(nullif(m[5],'') as int)) as fret, regexp_matches(note, p) and coalesce(coalesce(try_cast(nullif(m[3],'') as int), try_cast(nullif(m[4],'') as int), try_cast(nullif(m[5],'') as int))<=24, true) as ok from (
- select note, p, [regexp_extract(note,p,1),regexp_extract(note,p,2),regexp_extract(note,p,3),regexp_extract(note,p,4),regexp_extract(note,p,5)] m from n,
- (select '^([1-6]):([hps/\\]?)(?:(\d{1,2})|x|\((\d{1,2})\)|<(\d{1,2})>)(?:b(\d{1,2}))?(~?)(\??)$' as p)))""")
-def note_grammar(spark, d):
-    n = spark.createDataFrame([(x,) for x in _NOTES], "note string").withColumn("p", t.parse_note(F.col("note")))
-    return n.select("note", F.coalesce("p.string", F.lit(-1)).alias("string"), F.coalesce("p.fret", F.lit(-1)).alias("fret"), F.coalesce("p.muted", F.lit(False)).alias("muted"))
-
-
 @query("""
 with v as (select p_partkey, 'v'||(p_partkey%3)||'.'||(p_size%12)||'.'||(p_partkey%7)||case when p_partkey%4=0 then '-beta.'||(p_size%11) when p_partkey%9=0 then '.x' else '' end as version from part)
 select p_partkey, version, case when regexp_matches(version,'^v?[0-9]+\\.[0-9]+\\.[0-9]+(-[0-9A-Za-z.-]+)?$') then lpad(regexp_extract(version,'^v?([0-9]+)',1),12,'0')||'.'||lpad(split_part(split_part(version,'-',1),'.',2),12,'0')||'.'||lpad(split_part(split_part(version,'-',1),'.',3),12,'0')||'.'||

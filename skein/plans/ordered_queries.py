@@ -30,7 +30,7 @@ def _events(spark, d):
 @query("""
 with f as (select user_id, value, row_number() over(partition by user_id order by ts,event_id)-1 as t from events),
 p as (select user_id, t-1 as i, abs(value-pv)/greatest(value,pv,1.0) as ratio
-      from (select *, lag(value) over(partition by user_id order by t) pv from f) q where pv is not null),
+      from (select *, lag(value) over(partition by user_id order by t) pv from f) q where pv is not null and value is not null),
 c as (select user_id, i, case when ratio>0.5 then 1 else 0 end as tr from p),
 g as (select user_id, i, tr, sum(tr) over(partition by user_id order by i rows unbounded preceding) as grp from c)
 select user_id, min(i) as start_f, max(i)+1 as end_f, count(*)+1 as n_frames

@@ -52,6 +52,59 @@ def test_raster_majority_agrees(series):
     assert got == [r.majority for r in ordered.majority(df.filter("k = 1"), "k", "t", "m").orderBy("t").collect()]
 
 
+def test_segment_runs_leaves_null_pairs_out(spark):
+    df = spark.createDataFrame([(1, t, v) for t, v in enumerate([1.0, 1.0, None, 1.0, 1.0, 1.0])], "k int, t int, v double")
+    assert rows(ordered.segment_runs(df.filter("t < 3"), "k", "t", "v"), "k") == []
+    assert rows(ordered.segment_runs(df, "k", "t", "v"), "start_f", "end_f", "n_frames") == [(0, 5, 4)]
+
+
+def test_evidence_and_extremes(spark):
+    g = random.Random(5)
+    data = [(k, i, g.randrange(60), g.choice(["a", "b", "c", None])) for k in (1, None) for i in range(40)]
+    df = spark.createDataFrame(data, "k int, i int, s int, kind string")
+    want = [(k, i, len({q for j, _, t, q in data if j == k and q is not None and s - 7 <= t <= s})) for k, i, s, _ in data]
+    assert sorted(((r.k, r.i, r.alive) for r in ordered.evidence(df, "k", "s", "kind", ttl=7).collect()), key=str) == sorted(want, key=str)
+    want = [(k, i, min([t for j, _, t, _ in data if j == k and s - 9 <= t <= s - 2], default=None)) for k, i, s, _ in data]
+    assert sorted(((r.k, r.i, r.low) for r in ordered.range_extremes(df.withColumn("v", F.col("s")), "k", "s", "v", since=9, until=2).collect()), key=str) == sorted(want, key=str)
+
+
+def test_rate_limit_streams(spark):
+    g = random.Random(6)
+    data = [(k, i, g.randrange(500)) for i, k in enumerate(g.choices(range(5), k=300))]
+    df = spark.createDataFrame(data, "k int, i int, s int")
+    want = []
+    for k in range(5):
+        own = sorted((s, i) for j, i, s in data if j == k)
+        ok = sequential.rate_limit(np.array([s for s, _ in own], float), 40, 2)
+        want += [(k, i, bool(x)) for (_, i), x in zip(own, ok)]
+    assert rows(sequential.rate_limited(df, key="k", order="s", id_col="i", seconds="s", window=40, most=2), "k", "i", "allowed") == sorted(want)
+
+
+def test_running_sums_over_many_ranges(spark):
+    g = random.Random(8)
+    data = [(k, v, g.randrange(5)) for k in (1, 2, None) for v in g.sample(range(1000), 90)]
+    df = spark.createDataFrame(data, "k int, v int, n int")
+    got = ranks.running(df, ["k"], "v", {"n": "upto"}, {"n": "total"}, ranges=7)
+    want = [(k, v, sum(m for j, w, m in data if j == k and w <= v), sum(m for j, _, m in data if j == k)) for k, v, _ in data]
+    assert sorted(((r.k, r.v, r.upto, r.total) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_titles_sort_as_people_do(spark):
+    titles = ["étude 10", "Etude 9", "ETUDE 9 b12", "etude 9 B2", "zebra", "Äpfel 007", "apfel 8"]
+    got = [r.t for r in spark.createDataFrame([(x,) for x in titles], "t string").orderBy(text.natural_key(F.col("t"))).collect()]
+    assert got == ["Äpfel 007", "apfel 8", "Etude 9", "etude 9 B2", "ETUDE 9 b12", "étude 10", "zebra"]
+
+
+def test_events_of_notes(spark):
+    given = ["1:g7 2:5r7", "1:X 3:0?", "2:1 2:3", "|", "1:0 nonsense", "6:h12b14~?", "1:(5)b7", ""]
+    got = {r.e: r.p for r in spark.createDataFrame([(x,) for x in given], "e string").select("e", text.parse_event(F.col("e")).alias("p")).collect()}
+    first = got["1:g7 2:5r7"].notes
+    assert first[0].grace and first[0].tech == ["grace"] and first[1].release and first[1].bend == 7
+    assert got["1:X 3:0?"].notes[0].muted and got["1:X 3:0?"].notes[1].unsure and got["|"].bar and got["|"].notes == []
+    assert got["6:h12b14~?"].notes[0].tech == ["~", "b", "h"]
+    assert all(got[x] is None for x in ("2:1 2:3", "1:0 nonsense", "1:(5)b7", ""))
+
+
 def test_top_hat_1d(series):
     data, df = series
     want = []
