@@ -81,3 +81,14 @@ def equal_or_named(left: DataFrame, right: DataFrame, first: str, second: str, v
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """The first k rows of a total order, with their rank; a top-k heap per task, not a full sort."""
     return df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def not_stamped(df: DataFrame, stamps: DataFrame, *, key: str, start: str, end: str, tol: float = 1.0) -> DataFrame:
+    """Rows whose start and end are not both within ``tol`` of a stamp of their key.
+
+    A band anti-join on (key, bucket of start): a stamp visits three buckets of twice the tolerance.
+    """
+    cell = lambda c: F.floor(c / (2 * tol))
+    s = stamps.select(F.col(key).alias("__key"), F.col(start).alias("__s"), F.col(end).alias("__e"), F.explode(F.array(*[cell(F.col(start)) + d for d in (-1, 0, 1)])).alias("__b")).distinct()
+    near = (df[key] == F.col("__key")) & (cell(df[start]) == F.col("__b")) & (F.abs(df[start] - F.col("__s")) <= tol) & (F.abs(df[end] - F.col("__e")) <= tol)
+    return df.join(s, near, "left_anti")

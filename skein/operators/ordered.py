@@ -208,3 +208,57 @@ def size_budget(df: DataFrame, key, order, size: str, *, budget: int, most: int)
     w = _w(key, order)
     spent = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("spent", spent).withColumn("rank", F.row_number().over(w)).filter((F.col("spent") <= budget) & (F.col("rank") <= most))
+
+
+def sweep_at(systems: DataFrame, shares: DataFrame, *, key: str, order: str, x0: str, x1: str, share: str) -> DataFrame:
+    """Shares of a page's whole width (0 to 1, clamped), each with the system it falls in and the place there.
+
+    (all columns of ``shares``, ``system``, ``x``); systems are at least 1 wide, and a share on the
+    border of two belongs to the first.
+    """
+    w = _w(key, order)
+    width = F.greatest(F.lit(1.0), F.col(x1) - F.col(x0))
+    spans = systems.select(key, F.col(order).alias("system"), F.col(x0).alias("__x0"), width.alias("__w"), F.sum(width).over(w).alias("__to"), F.row_number().over(w).alias("__i"), F.sum(width).over(Window.partitionBy(key)).alias("__all"))
+    met = shares.join(spans, key).withColumn("__at", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(share))) * F.col("__all"))
+    before = F.col("__to") - F.col("__w")
+    inside = ((F.col("__i") == 1) | (F.col("__at") > before)) & ((F.col("__at") <= F.col("__to")) | (F.col("__to") == F.col("__all")))
+    return met.filter(inside).select(*shares.columns, "system", (F.col("__x0") + F.least(F.col("__w"), F.col("__at") - before)).alias("x"))
+
+
+def drop_words(df: DataFrame, key: str, order, *, x0: str, x1: str, big: Column, letter: Column, gap: float) -> DataFrame:
+    """Rows without written words: tight runs of three or more big marks, of which two and half are letters.
+
+    Small marks neither make nor break a run and always stay.
+    """
+    w = _w(key, order)
+    t = df.withColumn("__big", F.coalesce(big, F.lit(False))).withColumn("__letter", F.col("__big") & F.coalesce(letter, F.lit(False)))
+    last = F.last(F.when(F.col("__big"), F.col(x1)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.col("__big") & (last.isNull() | (F.col(x0) - last - 1 > gap))
+    t = t.withColumn("__opens", opens.cast("int")).withColumn("__run", F.sum("__opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*_list(key), "__run")
+    n, letters = (F.sum(F.col(c).cast("int")).over(whole) for c in ("__big", "__letter"))
+    t = t.withColumn("__word", F.col("__big") & (n >= 3) & (letters >= 2) & (letters * 2 >= n))
+    return t.filter("NOT __word").select(*df.columns)
+
+
+def nearest_centre(peaks: DataFrame, rows: DataFrame, *, key: str, at: str, size: str, centre: str, low: str, high: str) -> DataFrame:
+    """(key, centre, size): the greatest peak of every row, 0 without one; centres of a key are distinct.
+
+    A peak goes to the nearest centre by ratio if it is within that row's bounds, else to the other
+    of its two neighbours if it is within that one's.  One sort of peaks and rows together.
+    """
+    by_centre = _w(key, centre)
+    later = [F.lead(c).over(by_centre).alias(f"n{i}") for i, c in enumerate((centre, low, high))]
+    r = rows.select(key, F.col(centre).alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast(peaks.schema[size].dataType).alias("__size"), F.struct(F.col(centre).alias("c0"), F.col(low).alias("c1"), F.col(high).alias("c2"), *later).alias("__row"))
+    p = peaks.select(key, F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.col(size).alias("__size"), F.lit(None).cast(r.schema["__row"].dataType).alias("__row"))
+    both = r.unionByName(p)
+    w = _w(key, ["__at", "__kind"])
+    upto = F.last("__row", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    least = F.min("__row").over(Window.partitionBy(key))
+    f = F.col("__at")
+    met = both.withColumn("__r", F.coalesce(upto, least)).filter("__kind = 1 AND __r IS NOT NULL")
+    up = F.coalesce((f > F.col("__r.c0")) & (F.col("__r.n0") / f < f / F.col("__r.c0")), F.lit(False))
+    here, there = (F.when(f.between(F.col(f"__r.{c}1"), F.col(f"__r.{c}2")), F.col(f"__r.{c}0")) for c in ("c", "n"))
+    taken = met.withColumn(centre, F.when(up, F.coalesce(there, here)).otherwise(F.coalesce(here, there))).filter(F.col(centre).isNotNull())
+    most = taken.groupBy(key, centre).agg(F.max("__size").alias(size))
+    return rows.select(key, centre).join(most, [key, centre], "left").select(key, centre, F.coalesce(F.col(size), F.lit(0)).alias(size))

@@ -7,6 +7,7 @@ import bisect
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BAR, GAP = "|", 0.6
 
@@ -177,3 +178,40 @@ def rate_limited(df: DataFrame, *, key: str, order: str, id_col: str, seconds: s
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     ordered = df.select(key, id_col, seconds).repartition(key).sortWithinPartitions(key, seconds, id_col)
     return ordered.mapInPandas(run, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, allowed boolean")
+
+
+class Suppressor:
+    """Passes a message unless it equals the last one sent and comes within ``window`` of it."""
+
+    def __init__(self, window: float, message: object = None, at: float = float("-inf")):
+        self.window, self.message, self.at = window, message, at
+
+    def push(self, messages: list, times: list[float]) -> list[bool]:
+        out = []
+        for m, t in zip(messages, times, strict=True):
+            out.append(m != self.message or t - self.at >= self.window)
+            if out[-1]:
+                self.message, self.at = m, t
+        return out
+
+
+def suppress_repeats(df: DataFrame, *, key: str, id_col: str, seconds: str, message: str, window: float) -> DataFrame:
+    """(key, id, sent): whether each message of a key goes out, in order of time.
+
+    Rows stream through a task in order of key and time; one message is held, never a key's rows.
+    """
+
+    def run(frames):
+        last, own = object(), Suppressor(window)
+        for pdf in frames:
+            sent: list[bool] = []
+            for k, part in pdf.groupby((pdf[key] != pdf[key].shift()).cumsum(), sort=False):
+                first = part[key].iloc[0]
+                if first != last:
+                    last, own = first, Suppressor(window)
+                sent += own.push([None if pd.isna(m) else m for m in part[message]], part[seconds].tolist())
+            yield pd.DataFrame({key: pdf[key], id_col: pdf[id_col], "sent": sent})
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    ordered = df.select(key, id_col, seconds, message).filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, seconds, id_col)
+    return ordered.mapInPandas(run, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, sent boolean")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from skein.operators.sequential import rate_limit
+from skein.operators.sequential import Suppressor, rate_limit
 
 
 class RateWindow:
@@ -43,6 +43,22 @@ def rate_limited_stream(events: DataFrame, *, key: str, id_col: str, seconds: st
     return events.select(key, id_col, seconds).groupBy(key).applyInPandasWithState(run, out, "start double, n int", "append", GroupStateTimeout.NoTimeout)
 
 
+def suppressed_stream(events: DataFrame, *, key: str, id_col: str, seconds: str, message: str, window: float) -> DataFrame:
+    """Streaming form of ``sequential.suppress_repeats``: messages of a key have to arrive in order of time."""
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        own = Suppressor(window, *(state.get if state.exists else (None, float("-inf"))))
+        for pdf in frames:
+            pdf = pdf.sort_values([seconds, id_col])
+            sent = own.push([None if pd.isna(m) else m for m in pdf[message]], pdf[seconds].astype(float).tolist())
+            yield pd.DataFrame({key: pdf[key], id_col: pdf[id_col], "sent": sent})
+        state.update((own.message, own.at))
+
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    out = f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, sent boolean"
+    return events.select(key, id_col, seconds, message).groupBy(key).applyInPandasWithState(run, out, f"message {kinds[message]}, at double", "append", GroupStateTimeout.NoTimeout)
+
+
 def fenced_stream(events: DataFrame, *, key: str, id_col: str, epoch: str) -> DataFrame:
     """Drops rows of an epoch below the highest that the key has had so far."""
 
@@ -67,4 +83,4 @@ def throttled_levels(samples: DataFrame, *, key: str, at: str, value: str, every
     return w.agg(F.max(F.abs(v)).alias("peak"), F.sqrt(F.avg(v * v)).alias("rms"), F.count_if(F.abs(v) >= 0.999).alias("clipped"), F.count("*").alias("n")).select(key, F.col("w.start").alias("at"), "peak", "rms", "clipped", "n")
 
 
-__all__ = ["RateWindow", "fenced_stream", "rate_limit", "rate_limited_stream", "throttled_levels"]
+__all__ = ["RateWindow", "fenced_stream", "rate_limit", "rate_limited_stream", "suppressed_stream", "throttled_levels"]
