@@ -82,3 +82,54 @@ def parse_sequence(c: Column) -> Column:
     pairs = F.transform(words, lambda w, i: F.struct(F.get(F.split(w, ":"), 0).try_cast("double").alias("t"), i.alias("i"), F.get(F.split(w, ":"), 1).alias("id")))
     kind = "array<struct<t:double,id:string>>"
     return F.coalesce(F.transform(F.array_sort(pairs), lambda p: F.struct(p["t"].alias("t"), p["id"].alias("id"))).cast(kind), F.array().cast(kind))
+
+
+def even_rect(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
+    """A rectangle of even whole numbers within a frame, struct(x, y, w, h); null if a number is missing or not finite."""
+    given = [x, y, w, h]
+    ok = (width >= 2) & (height >= 2)
+    for c in given:
+        ok = ok & c.isNotNull() & (F.abs(c.cast("double")) < float("inf"))
+    even = lambda c: c - c % 2
+    low = lambda c, most: even(F.greatest(F.lit(0).cast("bigint"), F.least(F.floor(c), most - 2)))
+    ex, ey = low(x, width), low(y, height)
+    ew, eh = (even(F.greatest(F.lit(2).cast("bigint"), F.least(F.floor(c), most - at))) for c, most, at in ((w, width, ex), (h, height, ey)))
+    rect = F.struct(ex.alias("x"), ey.alias("y"), ew.alias("w"), eh.alias("h"))
+    return F.when(F.coalesce(ok, F.lit(False)), rect)
+
+
+def local_gain(value: Column, peak: Column, contrast: Column) -> Column:
+    """A plane's value scaled so that the brightest of its surroundings reads as ``contrast``; cut to 0..255, fractions dropped."""
+    return F.least(F.lit(255).cast("bigint"), F.floor(value * contrast / F.greatest(peak, 0.75 * contrast)))
+
+
+def low_resolution(height: Column, advertised: Column) -> Column:
+    """Whether a picture is low: under 540 rows, or under six tenths of at least 720 advertised ones."""
+    told = F.coalesce(advertised, F.lit(0))
+    return F.coalesce((height > 0) & ((height < 540) | ((told >= 720) & (height < told * 0.6))), F.lit(False))
+
+
+def pair_class(changed: Column, ink_a: Column, ink_b: Column, local: Column, *, floor: float, ratio: float, minor: float, cell: float) -> Column:
+    """``IDENTICAL``, ``TRANSITION`` or ``STABLE`` of two neighbouring frames, by changed ink against all ink."""
+    ref = F.greatest(ink_a, ink_b, F.lit(floor))
+    share = changed / ref
+    moved = (share > ratio) | ((share > minor) & (local >= cell))
+    return F.when(changed <= F.greatest(F.lit(2.0), 0.002 * ref), "IDENTICAL").when(moved, "TRANSITION").otherwise("STABLE")
+
+
+def decibels(c: Column) -> Column:
+    """20 log10 of an amplitude; silence is -200."""
+    return 20 * F.log10(c + 1e-10)
+
+
+def saturated(r: Column, g: Column, b: Column) -> Column:
+    """Whether a pixel has a clear colour: its channels are over 60 apart."""
+    return F.greatest(r, g, b) - F.least(r, g, b) > 60
+
+
+def knobs(sensitivity: float = 0.5) -> dict[str, float]:
+    """Thresholds of a page scan at a sensitivity from 0 to 1: each a line between two fixed ends."""
+    s = min(1.0, max(0.0, sensitivity))
+    # Fixed values.
+    ends = {"ratio": (0.25, 0.08), "minor": (0.06, 0.025), "cell": (0.35, 0.15), "min_run_s": (1.25, 0.5), "change": (0.5, 0.3), "page_ratio": (0.12, 0.04)}
+    return {**{k: a + (b - a) * s for k, (a, b) in ends.items()}, "cell_floor": 24.0 if s <= 0.5 else 24 - 14 * (2 * s - 1)}

@@ -80,3 +80,10 @@ def weighted_vote(df: DataFrame, cluster: str, label: str, weight: Column) -> Da
     best = F.max_by(F.struct(F.col(label).alias("l"), F.col("w").alias("w")), F.struct("w", (-F.col(label)).alias("o")))
     out = by.groupBy(cluster).agg(best.alias("b"), F.sum("w").alias("total"), (F.count("*") > 1).alias("dissent"))
     return out.select(cluster, F.col("b.l").alias("winner"), (F.col("b.w") / F.col("total")).alias("share"), "dissent")
+
+
+def present(df: DataFrame, key: str, value: str, *, q: float = 0.6, share: float = 0.3) -> DataFrame:
+    """Rows with ``present``: a value above 0 and of at least ``share`` of its key's q-th rank; nulls are absent."""
+    at = exact_ranks(df.filter(F.col(value).isNotNull()).select(key, value), key, value, {"__at": NEAREST(q)}).select(F.col(key).alias("__key"), "__at")
+    joined = df.join(at, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return joined.withColumn("present", F.coalesce((F.col(value) > 0) & (F.col(value) >= share * F.col("__at")), F.lit(False))).drop("__key", "__at")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import rules
-from skein.operators import content, joins, ordered, sequential, settling
+from skein.functions.numeric import half_up
+from skein.operators import content, joins, ordered, ranks, sequential, settling
 from skein.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -212,3 +213,47 @@ select user_id, event_id, sent from w""")
 def repeats_suppressed(spark, d):
     e = table(spark, d, "events").withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
     return sequential.suppress_repeats(e, key="user_id", id_col="event_id", seconds="s", message="event_type", window=43200)
+
+
+@query("""
+with e as (select event_id, value, value-30 as x, event_id%97-10.5::double as y, user_id*3.7::double as w, event_id%50-5 as h, user_id%40+event_id%3 as fw, 60 as fh from events),
+a as (select *, value is not null and fw>=2 as ok, greatest(0,least(floor(x),fw-2)) as ax, greatest(0,least(floor(y),fh-2)) as ay from e),
+b as (select *, ax-ax%2 as px, ay-ay%2 as py from a),
+c as (select *, greatest(2,least(floor(w),fw-px)) as cw, greatest(2,least(h,fh-py)) as ch from b)
+select event_id, cast(case when ok then px else -1 end as bigint) as rx, cast(case when ok then py else -1 end as bigint) as ry,
+ cast(case when ok then cw-cw%2 else -1 end as bigint) as rw, cast(case when ok then ch-ch%2 else -1 end as bigint) as rh from c""")
+def even_rects(spark, d):
+    e, n, u = table(spark, d, "events"), F.col("event_id"), F.col("user_id")
+    r = rules.even_rect(F.col("value") - 30, n % 97 - F.lit(10.5), u * F.lit(3.7), n % 50 - 5, u % 40 + n % 3, F.lit(60))
+    return e.select("event_id", r.alias("r")).select("event_id", *[F.coalesce(f"r.{c}", F.lit(-1).cast("bigint")).alias(f"r{c}") for c in "xywh"])
+
+
+@query("""
+with e as (select event_id, coalesce(value,0) as v, event_id%256 as th, user_id%200+1 as peak, event_id%90+10 as c, user_id*20 as height, event_id%5*360 as adv from events)
+select event_id, cast(least(255, floor(th*c/greatest(peak, c*0.75::double))) as bigint) as gain,
+ height>0 and (height<540 or (adv>=720 and height<adv*0.6::double)) as low,
+ case when v<=greatest(2.0::double,0.002::double*greatest(th,peak,40)) then 'IDENTICAL' when v/greatest(th,peak,40)>(0.25::double+(0.08::double-0.25::double)*0.5::double) or (v/greatest(th,peak,40)>(0.06::double+(0.025::double-0.06::double)*0.5::double) and c>=50) then 'TRANSITION' else 'STABLE' end as pair,
+ round(20*log10(v+1e-10),6) as db from e""")
+def frame_rules(spark, d):
+    n, u, v, k = F.col("event_id"), F.col("user_id"), F.coalesce("value", F.lit(0.0)), rules.knobs()
+    th, peak, c = n % 256, u % 200 + 1, n % 90 + 10
+    pair = rules.pair_class(v, th, peak, c, floor=40.0, ratio=k["ratio"], minor=k["minor"], cell=50)
+    low = rules.low_resolution(u * 20, n % 5 * 360)
+    return table(spark, d, "events").select("event_id", rules.local_gain(th, peak, c).alias("gain"), low.alias("low"), pair.alias("pair"), F.round(rules.decibels(v), 6).alias("db"))
+
+
+@query("""
+with p as (select l_suppkey, l_orderkey%256 as r, l_partkey%256 as g, l_linenumber*36 as b from lineitem)
+select l_suppkey, floor(10000.0::double*count(*) filter(greatest(r,g,b)-least(r,g,b)>60)/count(*)+0.5)/10000 as saturated, floor(10000.0::double*count(*) filter(g<128)/count(*)+0.5)/10000 as dark from p group by l_suppkey""")
+def pixel_shares(spark, d):
+    p = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") % 256).alias("r"), (F.col("l_partkey") % 256).alias("g"), (F.col("l_linenumber") * 36).alias("b"))
+    share = lambda c: half_up(F.count_if(c) / F.count("*"), 10000)
+    return p.groupBy("l_suppkey").agg(share(rules.saturated(F.col("r"), F.col("g"), F.col("b"))).alias("saturated"), share(F.col("g") < 128).alias("dark"))
+
+
+@query("""
+with s as (select event_id, event_type, value, row_number() over(partition by event_type order by value)-1 as i, count(*) over(partition by event_type) as n from events where value is not null),
+q as (select event_type, max(value) filter(i=floor(0.6*(n-1)+0.5)) as p60 from s group by event_type)
+select event_id, coalesce(value>0 and value>=0.3::double*p60, false) as present from events left join q using(event_type)""")
+def frames_present(spark, d):
+    return ranks.present(table(spark, d, "events").select("event_id", "event_type", "value"), "event_type", "value").select("event_id", "present")

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from skein.functions import rules
-from skein.operators import content, joins, ordered, sequential, settling
+from skein.operators import content, joins, ordered, ranks, sequential, settling
 from skein.streaming import keyed
 from tests.test_streaming import run_stream
 
@@ -109,3 +109,22 @@ def test_empty_tables(spark):
     assert placed.count() == 0 and content.stale_pages(placed, p, sheet="s", name="n").count() == 0
     e = spark.createDataFrame([], "k int, i int, t double, m string")
     assert sequential.suppress_repeats(e, key="k", id_col="i", seconds="t", message="m", window=1).count() == 0
+
+
+def test_frames(spark):
+    rect = lambda *c: rules.even_rect(*[F.lit(v).cast("double") for v in c], F.lit(101), F.lit(50))
+    got = one(spark, rect(-3.0, 7.9, 500.0, 1.0), rect(200.0, 49.0, 5.0, 5.0), rect(None, 0, 9, 9), rect(float("nan"), 0, 9, 9), rect(float("inf"), 0, 9, 9))
+    assert [None if g is None else tuple(g) for g in got] == [(0, 6, 100, 2), (98, 48, 2, 2), None, None, None]
+    small = rules.even_rect(*[F.lit(0.0)] * 4, F.lit(1), F.lit(50))
+    assert one(spark, small, rules.low_resolution(F.lit(539), F.lit(None).cast("int")), rules.low_resolution(F.lit(600), F.lit(1080)), rules.low_resolution(F.lit(648), F.lit(1080)), rules.low_resolution(F.lit(0), F.lit(720))) == (None, True, True, False, False)
+    assert one(spark, rules.local_gain(F.lit(50), F.lit(60), F.lit(80)), rules.local_gain(F.lit(250), F.lit(10), F.lit(200)), rules.local_gain(F.lit(255), F.lit(100), F.lit(150))) == (66, 255, 255)
+    kind = lambda *c: rules.pair_class(*[F.lit(float(v)) for v in c], floor=10.0, ratio=0.2, minor=0.05, cell=9)
+    assert one(spark, kind(2, 1, 1, 99), kind(2.5, 10, 5, 0), kind(6, 100, 5, 9), kind(6, 100, 5, 8), rules.decibels(F.lit(0.0))) == ("IDENTICAL", "TRANSITION", "TRANSITION", "STABLE", -200.0)
+    assert rules.knobs(-1)["ratio"] == 0.25 and rules.knobs(0.5)["cell_floor"] == 24 and rules.knobs(2)["cell_floor"] == 10
+
+
+def test_present(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in range(11)] + [("a", None), (None, 5.0), ("b", 0.0)], "k string, v double")
+    got = {(r.k, r.v): r.present for r in ranks.present(df, "k", "v").collect()}
+    assert len(got) == 14 and got[None, 5.0] and not got["b", 0.0] and not got["a", None]
+    assert [v for v in range(11) if got["a", float(v)]] == list(range(2, 11))
