@@ -7,21 +7,25 @@ from pyspark.sql import functions as F
 from skein.functions import requests as rules
 from tests.test_rules import one
 
-L, NONE = F.lit, F.lit(None).cast("string")
+L = F.lit
+
+
+def none():
+    return F.lit(None).cast("string")
 
 
 def test_wrapping_and_templates(spark):
     text = L("aa bbb cccc d  eeeeeeeeeeee f g h i j k l m n o p")
-    assert one(spark, rules.wrapped(text, 6), rules.wrapped(NONE, 6), rules.wrapped(L("  "), 6)) == (["aa bbb", "cccc d", "eeeeeeeeeeee"], ["Untitled"], ["Untitled"])
+    assert one(spark, rules.wrapped(text, 6), rules.wrapped(none(), 6), rules.wrapped(L("  "), 6)) == (["aa bbb", "cccc d", "eeeeeeeeeeee"], ["Untitled"], ["Untitled"])
     long = one(spark, rules.wrapped(F.repeat(L("ab "), 20000), 5, most=2))
     assert long == (["ab ab", "ab ab"],)
-    values = F.create_map(L("x"), L("{{y}}"), L("z"), NONE)
-    assert one(spark, rules.fill(L("a {{x}} b {{y}}{{x}}"), values), rules.fill(L(""), values), rules.fill(NONE, values), rules.fill(L("{{z}}"), values)) == ("a {{y}} b {{y}}{{y}}", "", None, "{{z}}")
+    values = F.create_map(L("x"), L("{{y}}"), L("z"), none())
+    assert one(spark, rules.fill(L("a {{x}} b {{y}}{{x}}"), values), rules.fill(L(""), values), rules.fill(none(), values), rules.fill(L("{{z}}"), values)) == ("a {{y}} b {{y}}{{y}}", "", None, "{{z}}")
 
 
 def test_sections(spark):
     log = L("# t\r\n## 1.2\n\n- a\n- b\n\n## 1.1\nold\n## 1.0")
-    assert one(spark, *[rules.section_of(log, L(v)) for v in ("1.2", "1.1", "1.0", "9")], rules.section_of(NONE, L("1"))) == ("- a\n- b", "old", None, None, None)
+    assert one(spark, *[rules.section_of(log, L(v)) for v in ("1.2", "1.1", "1.0", "9")], rules.section_of(none(), L("1"))) == ("- a\n- b", "old", None, None, None)
 
 
 def test_headers_and_names(spark):
@@ -42,10 +46,10 @@ def test_hosts_and_refusals(spark):
 def test_claims_assets_and_caches(spark):
     n = L(None).cast("int")
     wait = lambda *x: rules.takeover_wait(*x)
-    assert one(spark, wait(L("a"), L("b"), L(5), L("c"), n, L(12)), wait(L("a"), NONE, n, NONE, n, L(12)), wait(L("a"), L("a"), L(5), L("c"), n, L(880)), wait(L("a"), L("b"), L(0), L("c"), n, L(900))) == (5, None, 30, None)
-    files = F.array(L("a-x64.exe"), L("a-ARM64.dmg"), L("a.dmg"), NONE)
+    assert one(spark, wait(L("a"), L("b"), L(5), L("c"), n, L(12)), wait(L("a"), none(), n, none(), n, L(12)), wait(L("a"), L("a"), L(5), L("c"), n, L(880)), wait(L("a"), L("b"), L(0), L("c"), n, L(900))) == (5, None, 30, None)
+    files = F.array(L("a-x64.exe"), L("a-ARM64.dmg"), L("a.dmg"), none())
     got = one(spark, *[rules.pick_asset(files, p, a) for p, a in (("win32", True), ("darwin", True), ("darwin", False), ("linux", True), ("plan9", True))])
     assert got == ("a-x64.exe", "a-ARM64.dmg", "a.dmg", None, None)
-    want = {"w2": L(2), "h2": L(3), "crop": NONE}
+    want = {"w2": L(2), "h2": L(3), "crop": none()}
     fits = lambda meta, frames, size: rules.cache_fits({**want, **meta}, want, L(frames).cast("int"), L(True), L(size))
     assert one(spark, fits({}, 2, 12), fits({}, 2, 13), fits({}, 0, 0), fits({}, None, 0), fits({"crop": L("x")}, 2, 12)) == (True, False, False, False, False)
