@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.operators import marks
+from skein.operators.page_scores import score_pages
 from skein.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -110,3 +111,47 @@ def page_appearances(spark, d):
     p = marks.appearances(runs, "user_id", group="g", start="s", end="e", fps=25.0, offset=1.5)
     return p.select("user_id", "t_start", "t_end", F.size("also_at").alias("repeats"), F.coalesce(F.get("also_at", F.lit(0)), F.lit(-1.0)).alias("first_repeat"), F.size("candidates").alias("candidates"),
                     F.aggregate("candidates", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+@query("""
+with recursive e as (select user_id as p, row_number() over(partition by user_id order by event_id) as i, event_id as n, event_id%5 as side, user_id%2 as f from events),
+s as (select * from e, range(1,4) t(s)),
+t as (select p,i,s, s*1000+f+1 as k, (n+s)%3=0 as h, n%13=0 and s=2 as u from s where side<>3 and case when side=4 then s=1+n%3 else (n//5+s*n)%3<>0 end),
+r as (select p,i,s, s*1000+case when n%11=0 then 5 when n%7=0 then 3-s else f end+1 as k, (n+s)%4=0 as h from s where side<>4 and case when side=3 then s=1+n%3 else (n//7+s*n)%4<>0 end),
+ts as (select * from t where not u),
+rs as (select * from r where not exists(select 1 from t where t.u and t.p=r.p and t.i=r.i and t.s=r.s)),
+v as (select p, i, side, coalesce(tk,[]) as tk, coalesce(rk,[]) as rk from e left join (select p,i,list(k) as tk from ts group by all) using(p,i) left join (select p,i,list(k) as rk from rs group by all) using(p,i)),
+w as (select *, list_filter(tk, lambda x: not list_contains(rk,x)) as lost, list_filter(rk, lambda x: not list_contains(tk,x)) as fals, case side when 3 then rk when 4 then tk else [] end as al from v),
+z as (select *, coalesce(len(al)>0 and lag(side) over o<3 and list_has_all(case side when 3 then lag(lost) over o else lag(fals) over o end, al),false) as bk,
+ coalesce(len(al)>0 and lead(side) over o<3 and list_has_all(case side when 3 then lead(lost) over o else lead(fals) over o end, al),false) as nx,
+ coalesce(lag(side,2) over o=side and list_has_any(al, lag(al,2) over o),false) as ag from w window o as (partition by p order by i)),
+c as (select p, i, case when bk then -1 when nx then 1 else 0 end as one, 0 as two from z where i=1
+ union all select z.p, z.i, case when bk and not(ag and c.two=1) then -1 when nx then 1 else 0 end, c.one from c join z on z.p=c.p and z.i=c.i+1),
+y as (select z.*, one as ch from z join c using(p,i)),
+g as (select p, i+ch as i, side, unnest(al) as k from y where ch<>0),
+lo as (select p,i,k,k//1000 as s,k%1000 as f from (select p,i,unnest(lost) as k from y where side<3) a where not exists(select 1 from g where side=3 and g.p=a.p and g.i=a.i and g.k=a.k)),
+fa as (select p,i,k,k//1000 as s,k%1000 as f from (select p,i,unnest(fals) as k from y where side<3) a where not exists(select 1 from g where side=4 and g.p=a.p and g.i=a.i and g.k=a.k)),
+b as (select p,i,s from lo join fa using(p,i,s)),
+m as (select p, sum(least(x,y)) as n from (select p,i,f,count(*) as x from lo anti join b using(p,i,s) group by all) join (select p,i,f,count(*) as y from fa anti join b using(p,i,s) group by all) using(p,i,f) group by 1),
+k as (select p, count(*) as tp, count(*) filter(ts.h) as tt, count(*) filter(rs.h) as tr, count(*) filter(ts.h and rs.h) as th from ts join rs using(p,i,k) group by 1),
+a as (select p, sum(len(al)) filter(ch<>0 and side=3) as sp, sum(len(al)) filter(ch<>0 and side=4) as me, sum(len(al)) filter(ch=0 and side=3) as ex, sum(len(al)) filter(ch=0 and side=4) as mi,
+ count(*) filter(len(tk)>=2) as cn from y group by 1),
+x as (select p, count(*) as n from (select p,i from ts group by all having count(*)>=2) join (select p,i,list_sort(list(s)) as l from t group by all) using(p,i) join (select p,i,list_sort(list(s)) as l from r group by all) using(p,i,l) group by 1),
+o as (select a.p, coalesce(tp,0) as tp, coalesce(sp,0) as split, coalesce(me,0) as merged, coalesce(wf,0) as wrong_fret, coalesce(m.n,0) as wrong_string,
+ coalesce(mi,0)+coalesce(ln,0)-coalesce(wf,0)-coalesce(m.n,0) as missed, coalesce(ex,0)+coalesce(fn,0)-coalesce(wf,0)-coalesce(m.n,0) as extra, coalesce(tt,0) as tt, coalesce(tr,0) as tr, coalesce(th,0) as th, cn, coalesce(x.n,0) as cx
+ from a left join k using(p) left join m using(p) left join x using(p) left join (select p,count(*) as wf from b group by 1) using(p) left join (select p,count(*) as ln from lo group by 1) using(p) left join (select p,count(*) as fn from fa group by 1) using(p))
+select p as user_id, tp, (extra+split+merged+wrong_fret+wrong_string)::bigint as fp, (missed+split+merged+wrong_fret+wrong_string)::bigint as fn, split::bigint as split, merged::bigint as merged, wrong_fret, wrong_string::bigint as wrong_string,
+ missed::bigint as missed, extra::bigint as extra, tt as tech_truth, tr as tech_read, th as tech_hit, cn as chords, cx as chords_exact from o""")
+def page_scores(spark, d):
+    n, u, side = F.col("event_id"), F.col("user_id"), F.col("event_id") % 5
+    h = lambda c: F.when(c, F.array(F.lit("h"))).otherwise(F.array(F.lit("x")))
+
+    def notes(alone, some, fret, every, unsure=None):
+        kept = F.filter(F.array(*map(F.lit, (1, 2, 3))), lambda s: F.when(side == alone, s == 1 + n % 3).otherwise(some(s) != 0))
+        more = (lambda s: [unsure(s).alias("unsure")]) if unsure else lambda s: []
+        return F.transform(kept, lambda s: F.struct(s.alias("string"), fret(s).cast("int").alias("fret"), h((n + s) % every == 0).alias("tech"), *more(s)))
+
+    truth = notes(4, lambda s: (F.floor(n / 5) + s * n) % 3, lambda s: u % 2, 3, lambda s: (n % 13 == 0) & (s == 2))
+    read = notes(3, lambda s: (F.floor(n / 7) + s * n) % 4, lambda s: F.when(n % 11 == 0, 5).when(n % 7 == 0, 3 - s).otherwise(u % 2), 4)
+    pairs = table(spark, d, "events").select("user_id", "event_id", F.when(side != 4, read).alias("read"), F.when(side != 3, truth).alias("truth"))
+    return score_pages(pairs, "user_id", "event_id")
