@@ -22,18 +22,18 @@ def query(sql: str | None = None):
 
 
 @query("""
-with l as (select user_id, (event_id//5)*10.0::double+event_id%3 as y, (event_id%4)::double as a, (100+event_id%40)::double as b from events),
-w as (select user_id, list({'y':y,'a':a,'b':b}) over(partition by user_id order by y,a,b rows between current row and 6 following) as l from l),
-n as (select user_id, l[1:n] as l, n from w, range(4,8) t(n) where len(l)>=n),
+with l as (select event_id//40 as page, (event_id%40)*10.0::double+user_id%2 as y, (event_id%4)::double as a, (100+user_id%90)::double as b from events),
+w as (select page, list({'y':y,'a':a,'b':b}) over(partition by page order by y,a,b rows between current row and 6 following) as l from l),
+n as (select page, l[1:n] as l, n from w, range(4,8) t(n) where len(l)>=n),
 g as (select *, list_transform(range(1,n), lambda i: l[i+1].y-l[i].y) as g from n),
 m as (select *, list_median(g) as d, list_median(list_transform(l, lambda p: p.a)) as a, list_median(list_transform(l, lambda p: p.b)) as b from g),
 t as (select *, list_max(list_transform(g, lambda x: abs(x-d))) as far, greatest(d*0.15::double,1.01::double) as tol, b-a+1 as span from m)
-select user_id, l[1].y as y0, l[-1].y as y1, n::int as n, d as spacing, round(1-far/tol,9) as regularity, span from t
+select page, l[1].y as y0, l[-1].y as y1, n::int as n, d as spacing, round(1-far/tol,9) as regularity, span from t
 where d>=3 and d<=60 and far<=tol and len(list_filter(l, lambda p: least(p.b,b)-greatest(p.a,a)+1>=span*0.7::double))=n""")
 def even_line_groups(spark, d):
     n = F.col("event_id")
-    lines = table(spark, d, "events").select("user_id", (F.floor(n / 5) * F.lit(10.0) + n % 3).alias("y"), (n % 4).cast("double").alias("a"), (n % 40 + 100).cast("double").alias("b"))
-    return marks.even_groups(lines, "user_id", y="y", x0="a", x1="b").withColumn("regularity", F.round("regularity", 9))
+    lines = table(spark, d, "events").select(F.floor(n / 40).alias("page"), (n % 40 * F.lit(10.0) + F.col("user_id") % 2).alias("y"), (n % 4).cast("double").alias("a"), (F.col("user_id") % 90 + 100).cast("double").alias("b"))
+    return marks.even_groups(lines, "page", y="y", x0="a", x1="b").withColumn("regularity", F.round("regularity", 9))
 
 
 @query("""
@@ -54,14 +54,15 @@ def chords_too_wide(spark, d):
 
 
 @query("""
-with n as (select user_id as s, event_id//40 as e, event_id%6 as k, (event_id//40)+value/10 as x from events where value is not null),
+with n as (select event_id//40 as s, event_id%40//6 as e, event_id%6 as k, event_id%40//6+case when event_id%17=0 then user_id%40/10.0::double else user_id%100/200.0::double end as x from events),
 b as (select a.s, a.k from n a join n b on a.s=b.s and ((a.e<b.e and b.x<a.x-0.3::double) or (a.e>b.e and a.x<b.x-0.3::double))),
 c as (select s, e from n group by all having max(x)-min(x)>0.7::double)
-select distinct s as user_id, k from (select * from b union all select n.s, n.k from n join c on n.s=c.s and n.e=c.e)""")
+select distinct s as page, k from (select * from b union all select n.s, n.k from n join c on n.s=c.s and n.e=c.e)""")
 def strings_to_drop(spark, d):
     n = F.col("event_id")
-    notes = table(spark, d, "events").select("user_id", F.floor(n / 40).alias("e"), (n % 6).alias("k"), "value")
-    return marks.unsound_strings(notes, "user_id", event="e", string="k", at=F.col("e") + F.col("value") / 10)
+    e, x = F.floor(n % 40 / 6), F.when(n % 17 == 0, F.col("user_id") % 40 / F.lit(10.0)).otherwise(F.col("user_id") % 100 / F.lit(200.0))
+    notes = table(spark, d, "events").select(F.floor(n / 40).alias("page"), e.alias("e"), (n % 6).alias("k"), (e + x).alias("x"))
+    return marks.unsound_strings(notes, "page", event="e", string="k", at=F.col("x"))
 
 
 @query("""
