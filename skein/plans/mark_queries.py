@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.operators import marks
+from skein.functions.numeric import half_up
+from skein.operators import marks, tracking
 from skein.operators.page_scores import score_pages
 from skein.sources.tables import table
 
@@ -156,3 +157,27 @@ def page_scores(spark, d):
     read = notes(3, lambda s: (F.floor(n / 7) + s * n) % 4, lambda s: F.when(n % 11 == 0, 5).when(n % 7 == 0, 3 - s).otherwise(u % 2), 4)
     pairs = table(spark, d, "events").select("user_id", "event_id", F.when(side != 4, read).alias("read"), F.when(side != 3, truth).alias("truth"))
     return score_pages(pairs, "user_id", "event_id")
+
+
+@query("""
+with recursive e as (select user_id, event_id, value, row_number() over(partition by user_id order by event_id)-1 as i from events where value is not null),
+y as (select user_id, event_id, i, value as y from e where i=0 union all select e.user_id, e.event_id, e.i, 0.9::double*y.y+(1-0.9::double)*e.value from y join e on e.user_id=y.user_id and e.i=y.i+1),
+p as (select *, i//5 as b, case when (i+1)%5=0 then i//5-2 else i//5-3 end as since from y),
+m as (select a.user_id, a.event_id, a.i, 1.7::double*min(c.y) as raw from p a join p c on c.user_id=a.user_id and c.i<=a.i and c.b>=a.since group by all),
+f as (select user_id, event_id, i, raw as floor from m where i=0
+ union all select m.user_id, m.event_id, m.i, case when m.i<8 then m.raw else least(m.raw, f.floor*1.02::double) end from f join m on m.user_id=f.user_id and m.i=f.i+1)
+select user_id, event_id, floor(floor*1000000+0.5)/1000000 as floor from f""")
+def noise_floors(spark, d):
+    f = tracking.noise_floor(table(spark, d, "events"), key="user_id", order="event_id", value="value", parts=3, part=5, warm=8, rise=1.02)
+    return f.withColumn("floor", half_up(F.col("floor"), 1000000))
+
+
+@query("""
+with recursive v as (select user_id, event_id, value-20 as v from events where abs(value-20)<=35),
+e as (select *, row_number() over(partition by user_id order by event_id) as i from v),
+t as (select user_id, event_id, i, greatest(-9,least(9,0.1::double*v)) as c, abs(greatest(-9,least(9,0.1::double*v)))>1 as told, case when abs(greatest(-9,least(9,0.1::double*v)))>1 then greatest(-9,least(9,0.1::double*v)) else 0 end as prior from e where i=1
+ union all select user_id, event_id, i, c, abs(c-prior)>1, case when abs(c-prior)>1 then c else prior end from (select e.user_id, e.event_id, e.i, greatest(-9,least(9,t.c+0.1::double*(e.v-t.c))) as c, t.prior from t join e on e.user_id=t.user_id and e.i=t.i+1))
+select user_id, event_id, floor(c*1000000+0.5)/1000000 as cents, told from t""")
+def tuning_drifts(spark, d):
+    e = table(spark, d, "events").withColumn("off", F.col("value") - 20)
+    return tracking.drift(e, key="user_id", order="event_id", value="off", most=9.0, step=1.0).withColumn("cents", half_up(F.col("cents"), 1000000))
