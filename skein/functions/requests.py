@@ -84,7 +84,10 @@ def disposition(name: Column) -> Column:
 
 
 def latin(c: Column) -> Column:
-    """Curly quotes, dashes and wide brackets made plain, other signs beyond Latin-1 left out, spaces collapsed."""
+    """Curly quotes, dashes and wide brackets made plain, other signs beyond Latin-1 left out, spaces collapsed.
+
+    Compatibility forms (full-width letters, ligatures) are left out like other signs, not folded.
+    """
     for found, plain in (("[‘’]", "'"), ("[“”「」『』]", '"'), ("[–—]", "-"), ("[【［]", "["), ("[】］]", "]"), (r"[^\x20-\x7e\u00a0-\u00ff]", ""), (r"[\s\u00a0]+", " ")):
         c = F.regexp_replace(c, found, plain)
     return F.trim(c)
