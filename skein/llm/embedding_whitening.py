@@ -16,16 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.merging import merge_tree, reduced
 from skein.llm.store import given_back, materialise
 
 #: x = floor(SCALE * c) + SHIFT; components that are returned.
 SCALE, SHIFT, COMPONENTS = 1024, 100_000, 8
-#: Factors that one task merges into one.
-FAN = 16
 #: Entries must be smaller than this, so that whole numbers fit a long.
 LARGEST = float(1 << 52)
 #: An eigenvalue below this share of the first counts as zero, for each dimension.
@@ -107,38 +105,9 @@ class Centre:
         return exact.astype(np.int64)
 
 
-def merge_tree(parts: DataFrame, join: Callable[[list[np.ndarray]], np.ndarray], name: str) -> np.ndarray | None:
-    """One value from rows (part bigint, value array<double>).
-
-    A task joins FAN neighbouring parts at most, round after round; each round is a table, so a lost
-    executor repeats one round.
-    """
-
-    def merged(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("part")
-        value = join([np.array(v, float) for v in table["value"].to_pylist()])
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "value": pa.array([value], pa.list_(pa.float64()))})
-
-    parts = materialise(parts, name)
-    while parts.count() > 1:
-        group = F.floor(F.col("part") / FAN).alias("group")
-        parts = materialise(parts.groupBy(group).applyInArrow(merged, "part bigint, value array<double>"), name)
-    row = parts.first()
-    return np.array(row.value) if row else None
-
-
-def _reduced(vectors: DataFrame, start: Callable[[], np.ndarray | None], take: Callable) -> DataFrame:
-    """(part, value): ``take(value so far, batch of x)`` over the batches of each partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = start()
-        for batch in batches:
-            if batch.num_rows:
-                value = take(value, _matrix(batch.column(0)))
-        if value is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([value.ravel()], pa.list_(pa.float64()))], ["part", "value"])
-
-    return vectors.select("x").mapInArrow(given_back(run), "part bigint, value array<double>")
+def _reduced(vectors: DataFrame, take: Callable) -> DataFrame:
+    """``take(value so far or None, batch of x)`` over the batches of each partition."""
+    return reduced(vectors.select("x"), lambda value, batch: take(value, _matrix(batch.column(0))))
 
 
 def factor(vectors: DataFrame, centre: Centre) -> np.ndarray:
@@ -152,7 +121,7 @@ def factor(vectors: DataFrame, centre: Centre) -> np.ndarray:
     def join(values: list[np.ndarray]) -> np.ndarray:
         return np.linalg.qr(np.concatenate([v.reshape(-1, width) for v in values]), mode="r").ravel()
 
-    return merge_tree(_reduced(vectors, lambda: None, take), join, "factors").reshape(-1, width)
+    return merge_tree(_reduced(vectors, take), join, "factors").reshape(-1, width)
 
 
 @dataclass
@@ -210,7 +179,7 @@ def _identity_error(vectors: DataFrame, made: Whitening) -> float | None:
         own = np.concatenate([[len(w)], mean, ((w - mean).T @ (w - mean)).ravel()])
         return own if value is None else join([value, own])
 
-    done = merge_tree(_reduced(vectors, lambda: None, take), join, "moments")
+    done = merge_tree(_reduced(vectors, take), join, "moments")
     return float(np.abs(done[k + 1 :].reshape(k, k) / done[0] - np.eye(k)).max())
 
 

@@ -10,6 +10,7 @@ from skein.llm.language_id import op3_language_id
 from skein.llm.license_scan import OP5_SQL, op5_license_passages, op5_license_scan
 from skein.llm.line_dedup import OP1_SQL, op1_line_dedup
 from skein.llm.pieces import op6_pieces
+from skein.llm.quality import op11_quality
 from skein.llm.suffix_dedup import op8_suffix_dedup
 from skein.llm.token_alignment import op12_token_alignment
 from skein.llm.toxicity import op4_toxicity
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_quality": op11_quality,
     "op12_token_alignment": op12_token_alignment,
     "op13_whitening": op13_whitening,
 }

@@ -192,7 +192,7 @@ class Aligned:
         pair, doc = np.divmod(key[first], max(len(self.n_a), 1))
         stripe = pair // (STRIPE * IDS)
         edge = np.flatnonzero(np.diff(stripe, prepend=-1))
-        for lo, hi in zip(edge, np.append(edge[1:], len(stripe)), strict=True):
+        for lo, hi in itertools.pairwise(np.append(edge, len(stripe))):
             start = np.flatnonzero(np.diff(pair[lo:hi], prepend=-1))
             yield int(stripe[lo]), _packed(pair[lo:hi][start] % (STRIPE * IDS), np.diff(start, append=hi - lo), doc[lo:hi], times[lo:hi])
 
