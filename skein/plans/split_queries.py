@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.operators import splits
+from skein.operators import filters, splits
 from skein.operators.ordered import positions
 from skein.sources.tables import table
 
@@ -50,3 +50,32 @@ def refined_runs(spark, d):
     frames = _signed(spark, d)
     runs = frames.groupBy("user_id").agg(F.min("f").alias("start_f"), F.max("f").alias("end_f"))
     return splits.refine_runs(frames, runs, key="user_id", frame="f", sig="sig", change=0.9, floor=60.0)
+
+
+_B, _A = (x.tolist() for x in filters.high_pass(0.1, 1.0))
+#: Taps for every fourth sample, as in the listener at 48 kHz.
+_TAPS = filters.low_pass_taps(0.09, 0.16, 1.0)
+
+
+@query(f"""
+with recursive h as (select 0 as n, {_B[0]!r}::double as h, 0::double as p
+    union all select n+1, (case n when 0 then {_B[1]!r} when 1 then {_B[2]!r} else 0 end) - ({_A[1]!r})*h - ({_A[2]!r})*p, h from h where n < 90)
+select e.event_id, round(sum(x.value*h.h)*10000)::bigint as y
+from events e cross join h join events x on x.event_id = e.event_id - h.n group by e.event_id""")
+def one_signal_high_pass(spark, d):
+    """All events as one signal, which one key holds."""
+    e = table(spark, d, "events").select("event_id", "value").withColumn("signal", F.lit(0))
+    y = filters.recursive_filter(e, "signal", "event_id", "value", _B, _A, name="y")
+    return y.select("event_id", F.round(F.col("y") * 10000).cast("long").alias("y"))
+
+
+@query(f"""
+with f as (select event_id, user_id, value, row_number() over(partition by user_id order by ts,event_id)-1 as t from events),
+h as (select unnest({_TAPS.tolist()!r}) as h, unnest(range({len(_TAPS)})) as n)
+select e.event_id, round(sum(x.value*h.h)*10000)::bigint as y
+from f e cross join h join f x on x.user_id=e.user_id and x.t = e.t - h.n where e.t%4=3 group by e.event_id""")
+def low_pass_every_fourth(spark, d):
+    """Every fourth event of a user, smoothed over those before it."""
+    e = positions(table(spark, d, "events").select("event_id", "user_id", "ts", "value"), "user_id", ["ts", "event_id"])
+    y = filters.tap_filter(e.drop("ts"), "user_id", "t", "value", _TAPS, step=4, name="y")
+    return y.select("event_id", F.round(F.col("y") * 10000).cast("long").alias("y"))
