@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.operators import filters, splits
+from skein.operators import filters, greedy, splits
 from skein.operators.ordered import positions
 from skein.sources.tables import table
 
@@ -79,3 +79,34 @@ def low_pass_every_fourth(spark, d):
     e = positions(table(spark, d, "events").select("event_id", "user_id", "ts", "value"), "user_id", ["ts", "event_id"])
     y = filters.tap_filter(e.drop("ts"), "user_id", "t", "value", _TAPS, step=4, name="y")
     return y.select("event_id", F.round(F.col("y") * 10000).cast("long").alias("y"))
+
+
+@query("""
+with recursive r as materialized (select l_suppkey as page, l_orderkey//20 as y, l_partkey%100 as x0, l_partkey%100+l_quantity::bigint as x1,
+    row_number() over(partition by l_suppkey order by l_orderkey//20, l_partkey%100, l_partkey%100+l_quantity::bigint) as rn from lineitem),
+g as (select page, rn, y, x0, x1, 0 as line, x0 as a0, x1 as a1 from r where rn=1
+    union all
+    select r.page, r.rn, r.y, r.x0, r.x1, case when ok then g.line else g.line+1 end, case when ok then g.a0 else r.x0 end, case when ok then g.a1 else r.x1 end
+    from (select g.*, r.y as ny, r.x0 as n0, r.x1 as n1, (r.y-g.y<=2 and r.x0<=g.a1 and r.x1>=g.a0) as ok from g join r on r.page=g.page and r.rn=g.rn+1) g
+    join r on r.page=g.page and r.rn=g.rn+1)
+select page, line::bigint as line, round(sum(y*(x1-x0+1))/sum(x1-x0+1)*1000)::bigint as y_thousandths, arg_min(x0, (x0-x1)*1000000+rn) as x0, max(x1-x0+1)::bigint as len, count(*) as n_rows from g group by page, line""")
+def merged_lines(spark, d):
+    """A supplier's parts as rows of ink, merged to lines."""
+    li = table(spark, d, "lineitem")
+    x0 = F.col("l_partkey") % 100
+    rows = li.select(F.col("l_suppkey").alias("page"), F.floor(F.col("l_orderkey") / 20).alias("y"), x0.alias("x0"), (x0 + F.col("l_quantity").cast("long")).alias("x1"))
+    return greedy.merge_lines(rows, "page").select("page", "line", F.round(F.col("y") * 1000).cast("long").alias("y_thousandths"), "x0", "len", "n_rows")
+
+
+@query("""
+with recursive r as materialized (select user_id, event_id, value as ink, 1 + event_id%7 as n, row_number() over(partition by user_id order by ts,event_id)-1 as t from events),
+g as (select user_id, t, event_id, 0 as screen, ink as a, n as an from r where t=0
+    union all
+    select user_id, t, event_id, case when ok then screen else screen+1 end, case when ok and an>=n then a else ink end, case when ok and an>=n then an else n end
+    from (select r.user_id, r.t, r.event_id, r.ink, r.n, g.screen, g.a, g.an, abs(g.a-r.ink)<=0.7*greatest(g.a,r.ink) as ok from g join r on r.user_id=g.user_id and r.t=g.t+1))
+select event_id, user_id, screen::bigint as screen from g""")
+def merged_screens(spark, d):
+    """A user's events as runs of different lengths; runs like the longest before them are one screen."""
+    runs = positions(table(spark, d, "events").select("event_id", "user_id", "ts", "value"), "user_id", ["ts", "event_id"]).withColumn("n", 1 + F.col("event_id") % 7)
+    done = greedy.merge_screens(runs, "user_id", "t", "n", ["value"], lambda a, b: abs(a[0] - b[0]) <= 0.7 * max(a[0], b[0]))
+    return done.select("event_id", "user_id", "screen")
