@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.operators import filters, greedy, splits
+from skein.operators import filters, greedy, intervals, splits
 from skein.operators.ordered import positions
 from skein.sources.tables import table
 
@@ -110,3 +110,32 @@ def merged_screens(spark, d):
     runs = positions(table(spark, d, "events").select("event_id", "user_id", "ts", "value"), "user_id", ["ts", "event_id"]).withColumn("n", 1 + F.col("event_id") % 7)
     done = greedy.merge_screens(runs, "user_id", "t", "n", ["value"], lambda a, b: abs(a[0] - b[0]) <= 0.7 * max(a[0], b[0]))
     return done.select("event_id", "user_id", "screen")
+
+
+def _pages(spark, d):
+    """Errors as pages that hold a user's frames for a while, a few of them very long."""
+    e = table(spark, d, "events").filter("event_type = 'error'")
+    return e.select("user_id", F.col("event_id").alias("page"), F.col("event_id").alias("lo"), (F.col("event_id") + F.floor(F.col("value") * 12)).alias("hi"))
+
+
+@query("""
+select e.user_id, e.event_id, p.event_id as page from events e join events p
+on p.user_id=e.user_id and p.event_type='error' and e.event_id between p.event_id and p.event_id+floor(p.value*12)""")
+def frames_within_pages(spark, d):
+    frames = table(spark, d, "events").select("user_id", "event_id")
+    return intervals.within(frames, _pages(spark, d), key="user_id", at="event_id", lo="lo", hi="hi").select("user_id", "event_id", "page")
+
+
+@query("""
+with f as (select user_id, value, row_number() over(partition by user_id order by ts,event_id)-1 as frame from events),
+p as (select user_id, frame as lo, least(frame+(floor(value)::bigint%40), (select max(frame) from f g where g.user_id=f.user_id)) as hi from f where frame%5=0),
+q as (select *, hi-lo+1 as n, least(hi-lo+1, 11) as k from p),
+w as (select user_id, lo, hi, lo + ((i*(n-1) + (k-1)//2) // greatest(k-1,1)) as frame from (select *, unnest(range(k)) as i from q))
+select w.user_id, w.lo, w.hi, count(*) as n_samples, max(value) as most, min(value) as least from w join f on w.user_id=f.user_id and w.frame=f.frame group by w.user_id, w.lo, w.hi""")
+def page_samples(spark, d):
+    """Overlapping pages of a user, each with at most eleven sample frames, from one scan of all frames."""
+    frames = positions(table(spark, d, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "frame").select("user_id", F.col("frame").cast("long").alias("frame"), "value")
+    last = frames.groupBy("user_id").agg(F.max("frame").alias("last"))
+    pages = frames.filter("frame % 5 = 0").join(last, "user_id").select("user_id", F.col("frame").alias("lo"), F.least(F.col("frame") + F.floor("value") % 40, "last").alias("hi"))
+    plan = intervals.sample_frames(pages)
+    return intervals.frames_for_pages(frames, plan, key="user_id", frame="frame", page=["lo", "hi"], most=F.max("value"), least=F.min("value"))
