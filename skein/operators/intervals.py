@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of the largest size have 2**LEVELS numbers.
-LEVELS = 62
 _CELL = "array<struct<level:int,cell:bigint>>"
 
 
@@ -26,24 +24,26 @@ def cover(lo: Column, hi: Column) -> Column:
         return F.struct(F.shiftright(up, 1).alias("a"), F.shiftright(b, 1).alias("b"), F.concat(state["cells"], left, right).alias("cells"))
 
     start = F.struct(lo.alias("a"), (hi + 1).alias("b"), F.array().cast(_CELL).alias("cells"))
-    cells = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, widen, lambda s: s["cells"])
+    largest = F.ceil(F.log2((hi - lo + 2).cast("double"))).cast("int")  # no cell is larger than the interval
+    cells = F.aggregate(F.sequence(F.lit(0), largest), start, widen, lambda s: s["cells"])
     return F.when(lo <= hi, cells).otherwise(F.array().cast(_CELL))
 
 
-def within(points: DataFrame, intervals: DataFrame, *, key: str, at: str, lo: str, hi: str) -> DataFrame:
+def within(points: DataFrame, intervals: DataFrame, *, key: str | list[str], at: str, lo: str, hi: str) -> DataFrame:
     """Pairs of a point and an interval of its key with lo <= at <= hi, as all columns of both.
 
     ``at``, ``lo`` and ``hi`` are whole numbers below 2**62 in size.  The column ``key`` appears once; other names
-    must differ.  Null keys, places and ends, and intervals that end before they begin, pair with
+    must differ; it may be a list.  Null keys, places and ends, and intervals that end before they begin, pair with
     nothing; repeated rows pair each.  Only sizes that some interval uses are looked up.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     cells = intervals.withColumn("__c", F.explode(cover(F.col(lo).cast("long"), F.col(hi).cast("long")))).withColumns({"__level": F.col("__c.level"), "__cell": F.col("__c.cell")}).drop("__c")
-    levels = sorted(r[0] for r in cells.select("__level").distinct().collect())  # LEVELS + 1 at most
+    levels = sorted(r[0] for r in cells.select("__level").distinct().collect())  # 63 at most
     if not levels:
-        return points.limit(0).join(intervals, key)
+        return points.limit(0).join(intervals, keys)
     looked = F.explode(F.array(*[F.lit(x) for x in levels]))
     own = points.withColumn("__level", looked).withColumn("__cell", F.expr(f"shiftright(cast(`{at}` as bigint), __level)"))
-    return own.join(cells, [key, "__level", "__cell"]).drop("__level", "__cell")
+    return own.join(cells, [*keys, "__level", "__cell"]).drop("__level", "__cell")
 
 
 def sample_frames(pages: DataFrame, *, lo: str = "lo", hi: str = "hi", most: int = 11, name: str = "frame") -> DataFrame:

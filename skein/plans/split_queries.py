@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.operators import filters, greedy, intervals, splits
+from skein.operators import blobs, filters, greedy, intervals, splits
 from skein.operators.ordered import positions
 from skein.sources.tables import table
 
@@ -139,3 +139,48 @@ def page_samples(spark, d):
     pages = frames.filter("frame % 5 = 0").join(last, "user_id").select("user_id", F.col("frame").alias("lo"), F.least(F.col("frame") + F.floor("value") % 40, "last").alias("hi"))
     plan = intervals.sample_frames(pages)
     return intervals.frames_for_pages(frames, plan, key="user_id", frame="frame", page=["lo", "hi"], most=F.max("value"), least=F.min("value"))
+
+
+def _pixels(spark, d):
+    """A supplier's order lines as ink."""
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("image"), (F.col("l_orderkey") % 60).alias("y"), (F.col("l_partkey") % 80).alias("x"), "l_returnflag")
+
+
+_PARTS = """
+with recursive px as materialized (select distinct l_suppkey as image, l_orderkey%60 as y, l_partkey%80 as x from lineitem),
+reach as (select image, y, x, y as ry, x as rx from px
+    union select r.image, r.y, r.x, p.y, p.x from reach r join px p on p.image=r.image and abs(p.y-r.ry)<=1 and abs(p.x-r.rx)<=1),
+root as (select image, y, x, min(ry*1000+rx) as r from reach group by image, y, x),
+box as (select image, r, count(*) as area, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from root group by image, r)
+"""
+
+
+@query(_PARTS + "select image, r//1000 as root_y, r%1000 as root_x, area, x0, y0, x1, y1 from box")
+def ink_parts(spark, d):
+    """Area and box of each connected part."""
+    found = blobs.part_boxes(blobs.parts(blobs.pixel_runs(_pixels(spark, d))))
+    return found.select("image", F.col("root.y").alias("root_y"), F.col("root.x0").alias("root_x"), "area", "x0", "y0", "x1", "y1")
+
+
+@query(_PARTS + "select p.image, p.y, p.x from root p join box b on p.image=b.image and p.r=b.r where not ((b.x1-b.x0+1>=5.0 and b.y1-b.y0+1>=3.0) or b.area>=24.0)")
+def ink_of_glyphs(spark, d):
+    """Ink without parts that are too large for a glyph of two pixels."""
+    kept = blobs.glyphs_only(blobs.pixel_runs(_pixels(spark, d)), 2.0)
+    return kept.select("image", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+
+
+@query("""
+with px as (select distinct l_suppkey as image, l_orderkey%60 as y, l_partkey%80 as x, l_returnflag as f from lineitem),
+ex as (select distinct image, y, x from px where f='N' and y%4=0),
+own as (select * from px where f in ('A','R') and not exists (select 1 from ex where ex.image=px.image and ex.y=px.y and ex.x=px.x)),
+p as (select image, y, x, bool_or(f='A') as a, bool_or(f='R') as b from own group by image, y, x),
+q as (select *, (a and not exists (select 1 from p r where r.b and r.image=p.image and abs(r.y-p.y)<=1 and abs(r.x-p.x)<=1))
+    or (b and not exists (select 1 from p r where r.a and r.image=p.image and abs(r.y-p.y)<=1 and abs(r.x-p.x)<=1)) as odd from p),
+bins as (select image, x//8 as bin, count(*) filter (odd) as odd, count(*) as ink, count(*) filter (a) as ia, count(*) filter (b) as ib from q group by image, x//8),
+lagged as (select *, max(case when odd>=9 then bin end) over(partition by image order by bin rows between unbounded preceding and 1 preceding) as before from bins)
+select image, sum(odd)::bigint as changed, sum(ia)::bigint as ink_a, sum(ib)::bigint as ink_b, count(*) filter (ink>=20) as bins_content,
+    count(*) filter (odd>=9) as bins_changed, count(*) filter (odd>=9 and (before is null or bin-before>2)) as clusters from lagged group by image""")
+def ink_differences(spark, d):
+    """Returned against accepted lines of a supplier, without a grid of others."""
+    px = _pixels(spark, d)
+    return blobs.ink_difference(px.filter("l_returnflag = 'A'"), px.filter("l_returnflag = 'R'"), px.filter("l_returnflag = 'N' AND y % 4 = 0"), least_ink=20, least_changed=9)
