@@ -1,25 +1,12 @@
-"""Rules of requests, releases and names: refusals, claims, assets, headers and templates, as column expressions."""
+"""Rules of requests, releases and names: refusals, claims, headers and templates, as column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The file endings of installers, by platform and whether the machine is an arm64 one.
-_ASSETS = {
-    ("darwin", True): [r"(?i)-arm64\.dmg$"],
-    ("darwin", False): [r"(?i)^(?!.*arm64).*\.dmg$"],
-    ("win32", True): [r"(?i)arm64.*\.exe$", r"(?i)^(?!.*arm64).*\.exe$"],
-    ("win32", False): [r"(?i)^(?!.*arm64).*\.exe$"],
-    ("linux", True): [r"(?i)_arm64\.deb$"],
-    ("linux", False): [r"(?i)_amd64\.deb$"],
-    ("appimage", True): [r"(?i)arm64\.AppImage$"],
-    ("appimage", False): [r"(?i)^(?!.*arm64).*\.AppImage$"],
-}
 # Shapes of ids, of content hashes and of page files.
 ID, HASH, PAGE = r"(?i)\A[a-z0-9]{1,16}-[a-z0-9-]{1,40}\z", r"\A[0-9a-f]{40}\z", r"\Apage-\d{3,4}(?:-[0-9a-f]{8})?(?:-original)?\.png\z"
-# What the names of a recorder's errors mean.
-_RECORDER = {"NotAllowedError": "denied", "SecurityError": "denied", "NotFoundError": "nodevice", "OverconstrainedError": "nodevice", "NotReadableError": "busy", "AbortError": "busy"}
 
 
 def origin_host(origin: Column) -> Column:
@@ -55,15 +42,6 @@ def takeover_wait(me: Column, claimant: Column, claimed: Column, owner: Column,
     return F.when(held, F.greatest(F.lit(5), F.ceil(F.lit(claim) - age))).when(busy, F.greatest(F.lit(30), F.ceil(left))).cast("bigint")
 
 
-def pick_asset(names: Column, platform: str, arm: bool = False) -> Column:
-    """The first of the file names that fits a platform (darwin, win32, linux or appimage), else null.
-
-    An arm64 machine of win32 runs the other installer where none is its own.
-    """
-    first = lambda p: F.get(F.filter(names, lambda n: n.rlike(p)), F.lit(0))
-    return F.coalesce(*[first(p) for p in _ASSETS.get((platform, arm), [])], F.lit(None).cast("string"))
-
-
 def sha256_digest(c: Column) -> Column:
     """``sha256:`` and 64 hexadecimal digits, lower-cased; else null."""
     return F.when(c.rlike(r"(?i)\Asha256:[0-9a-f]{64}\z"), F.lower(c))
@@ -83,14 +61,30 @@ def disposition(name: Column) -> Column:
     return F.concat(F.lit('attachment; filename="'), plain, F.lit("\"; filename*=UTF-8''"), coded)
 
 
+def _beyond_latin(classes: str) -> str:
+    """A pattern for the characters of some classes that are not in Latin-1."""
+    return rf"[{classes}&&[^\x00-\xff]]"
+
+
 def latin(c: Column) -> Column:
-    """Curly quotes, dashes and wide brackets made plain, other signs beyond Latin-1 left out, spaces collapsed.
+    """A text in Latin-1: full-width signs become plain ones, other signs go by their Unicode category.
 
-    Compatibility forms (full-width letters, ligatures) are left out like other signs, not folded.
+    Quotes and corner brackets become quotes, dashes a hyphen, other brackets square ones, separators and
+    white space one space; all else beyond Latin-1 is left out, ligatures and other compatibility forms too.
     """
-    for found, plain in (("[‘’]", "'"), ("[“”「」『』]", '"'), ("[–—]", "-"), ("[【［]", "["), ("[】］]", "]"), (r"[^\x20-\x7e\u00a0-\u00ff]", ""), (r"[\s\u00a0]+", " ")):
-        c = F.regexp_replace(c, found, plain)
-    return F.trim(c)
+    full = range(0xFF01, 0xFF5F)
+    c = F.translate(c, "".join(map(chr, full)), "".join(chr(x - 0xFEE0) for x in full))
+    by_class = {
+        "\\u2018-\\u201b": "'",
+        "\\u201c-\\u201f\\p{Pi}\\p{Pf}\\u300c-\\u300f": '"',
+        "\\p{Pd}": "-",
+        "\\p{Ps}": "[",
+        "\\p{Pe}": "]",
+    }
+    for classes, plain in by_class.items():
+        c = F.regexp_replace(c, _beyond_latin(classes), plain)
+    spaced = F.regexp_replace(c, r"[\s\p{Z}]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(spaced, r"[^\x20-\x7e\u00a0-\u00ff]", ""), " +", " "))
 
 
 def wrapped(c: Column, width: int, *, most: int = 3, empty: str = "Untitled") -> Column:
@@ -135,17 +129,6 @@ def fill(template: Column, values: Column) -> Column:
     return F.array_join(F.flatten(F.zip_with(F.split(template, r"\{\{\w+\}\}"), said, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
 
 
-def recorder_error(name: Column) -> Column:
-    """What an error of a recorder means: denied, nodevice, busy or failed."""
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in _RECORDER.items() for x in kv]), name), F.lit("failed"))
-
-
-def recorder_warnings(rate: Column, label: Column, kept: dict[str, Column]) -> Column:
-    """Codes of what spoils a recording: ``narrow`` up to 16 kHz or else ``headset``, then the processing that stayed on."""
-    sound = F.when((rate > 0) & (rate <= 16000), "narrow").when(F.coalesce(label, F.lit("")).rlike("(?i)hands-free|airpods|headset"), "headset")
-    return F.array_compact(F.array(sound, *[F.when(c, F.lit(n)) for n, c in kept.items()]))
-
-
 def cache_fits(meta: dict[str, Column], wanted: dict[str, Column], frames: Column, calibrated: Column, size: Column) -> Column:
     """Whether a stored cache may be used: all wanted fields equal (nulls too), frames, a calibration and the right size.
 

@@ -35,6 +35,12 @@ def test_headers_and_names(spark):
     assert made.startswith("lww29hc0-") and re.fullmatch(rules.ID.replace(r"\z", r"\Z"), made)
 
 
+def test_latin(spark):
+    said = ["‘a’ ‚b‛", "“a” „b‟ 「c」『d』 «e»", "a–b—c‐d－e", "【a】［b］〈c〉（d）", "ＡＢｃ１！", "a\u3000\u00a0 b\u2028c", "日本 é ﬁ 😀x", "", None]
+    want = ("'a' 'b'", '"a" "b" "c""d" «e»', "a-b-c-d-e", "[a][b][c](d)", "ABc1!", "a b c", "é x", "", None)
+    assert one(spark, *[rules.latin(L(x).cast("string")) for x in said]) == want
+
+
 def test_hosts_and_refusals(spark):
     assert one(spark, *[rules.origin_host(L(o).cast("string")) for o in ("HTTPS://u@Ex.com:443/x", "http://a:81", "http://a:80?q", "null", "", None)]) == ("ex.com", "a:81", "a", None, None, None)
     ask = lambda *h, **k: rules.refusal(*[L(x).cast("string") for x in h], allowed=["a"], **k)
@@ -43,13 +49,10 @@ def test_hosts_and_refusals(spark):
     assert got == (None, "403 host", None, "415 type", "403 bad origin", None)
 
 
-def test_claims_assets_and_caches(spark):
+def test_claims_and_caches(spark):
     n = L(None).cast("int")
     wait = lambda *x: rules.takeover_wait(*x)
     assert one(spark, wait(L("a"), L("b"), L(5), L("c"), n, L(12)), wait(L("a"), none(), n, none(), n, L(12)), wait(L("a"), L("a"), L(5), L("c"), n, L(880)), wait(L("a"), L("b"), L(0), L("c"), n, L(900))) == (5, None, 30, None)
-    files = F.array(L("a-x64.exe"), L("a-ARM64.dmg"), L("a.dmg"), none())
-    got = one(spark, *[rules.pick_asset(files, p, a) for p, a in (("win32", True), ("darwin", True), ("darwin", False), ("linux", True), ("plan9", True))])
-    assert got == ("a-x64.exe", "a-ARM64.dmg", "a.dmg", None, None)
     want = {"w2": L(2), "h2": L(3), "crop": none()}
     fits = lambda meta, frames, size: rules.cache_fits({**want, **meta}, want, L(frames).cast("int"), L(True), L(size))
     assert one(spark, fits({}, 2, 12), fits({}, 2, 13), fits({}, 0, 0), fits({}, None, 0), fits({"crop": L("x")}, 2, 12)) == (True, False, False, False, False)
