@@ -3,12 +3,12 @@
 Equal vectors are one class from the start.  Classes of a label are dealt to shards of a bounded
 size; each shard gets a hierarchical navigable small-world graph, stored as one row.  Every class
 queries every shard of its label (each pair of shards once, as links are symmetric), as a join of
-bounded rows: a graph and a block of queries.  An audit compares random queries to the whole shard until
-enough of them had true links; beams widen until the mean recall of those queries is as wanted.  Queries
-whose beam is full of hits have more links than a beam holds and are compared to the whole shard, and so
-is what no beam finds well enough.  Candidates are verified by cosine in double precision.  A task counts
+bounded rows: a graph and a block of queries.  An audit of bounded size compares some queries, and probes made
+to link with vectors of the shard, to what the graph finds; beams widen until its recall is as wanted.  Queries
+whose beam is full of hits have more links than a beam holds and are compared to the whole shard.
+Candidates are verified by cosine in double precision.  A task counts
 links and joins components block by block, so pairs of a dense group are never listed; it returns a count
-and one edge a class, and what its audit measured.
+and one edge a class, what its audit measured, and how many queries went beyond the graph.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from skein.llm.store import given_back, materialise
 from skein.llm.textcols import mix64
 
 THRESHOLD = 0.98
-#: Vectors of a shard (about 8 MB of 64 doubles), neighbours of a node, first beam, audited queries with links, recall.
-SHARD, DEGREE, BEAM, AUDIT, RECALL = 8192, 16, 24, 64, 0.99
+#: Vectors of a shard (about 8 MB of 64 doubles), neighbours of a node, first beam, audited queries and probes of a shard, recall.
+SHARD, DEGREE, BEAM, AUDIT, RECALL = 8192, 16, 64, 256, 0.99
+#: Random far neighbours of a node, besides its near ones.
+FAR = 4
 #: Times that a beam is widened by, and the share of a shard from which a beam costs more than the whole.
 WIDER, WHOLE = 4, 0.1
 #: Queries that are compared to a whole shard together.
@@ -101,7 +103,8 @@ class Graph:
                 a, b, w = a[ok], ids.ravel()[ok], s.ravel()[ok]
                 _connect(links, near, np.append(a, b), np.append(b, a), np.append(w, w))
             done += size
-        return links
+        far = np.random.default_rng(2).integers(0, len(own), (len(own), FAR)).astype(np.int32)
+        return np.concatenate([links, far], axis=1)  # tight groups far from each other would else be graphs of their own
 
     def _entries(self, inserted: np.ndarray, v: np.ndarray, queries: np.ndarray) -> np.ndarray:
         """Where a layer's search starts: the best nodes of the layer above that it has."""
@@ -195,25 +198,52 @@ def _repeats(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _audit(exact: np.ndarray, base: np.ndarray, threshold: float, same: bool, audit: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(query, place) of all true pairs of queries in random order, until ``audit`` of them had one; and whether those are all queries' pairs.
+def _probes(base: np.ndarray, threshold: float, picked: np.ndarray) -> np.ndarray:
+    """Unit vectors whose cosine with the picked vectors of a shard is just above the threshold, in random directions."""
+    g = np.random.default_rng(1)
+    own = base[picked]
+    off = g.standard_normal(own.shape)
+    off -= (off * own).sum(axis=1, keepdims=True) * own
+    size = np.linalg.norm(off, axis=1, keepdims=True)
+    near = threshold + 0.02 * (1 - threshold)
+    return np.where(size > 1e-9, near * own + np.sqrt(1 - near * near) * off / np.maximum(size, 1e-9), own)
 
-    ``same``: the queries are the shard itself; a vector's pair with itself is not counted.
+
+def _good_beam(graph: Graph, exact: np.ndarray, base: np.ndarray, threshold: float, beam: int, recall: float, audit: int, same: bool, told: dict) -> int | None:
+    """The first beam whose recall is good enough on an audit of bounded size, or None if such a beam costs more than the whole shard.
+
+    Audited are ``audit`` random queries with their true links, and ``audit`` probes: vectors made to link
+    with random ones of the shard, so that a shard with few links, or none, is audited too.  Nothing but the
+    beam's width comes of it.
     """
-    order = np.random.default_rng(0).permutation(len(exact))
-    got_q, got_p, linked = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
-    for lo in range(0, len(order), 256):
-        own = order[lo : lo + 256]
-        q, p = np.nonzero(exact[own] @ base.T >= threshold)
-        q = own[q]
-        if same:
-            q, p = q[q != p], p[q != p]
-        got_q.append(q)
-        got_p.append(p)
-        linked += len(np.unique(q))
-        if linked >= audit and lo + 256 < len(order):
-            return np.concatenate(got_q), np.concatenate(got_p), False
-    return np.concatenate(got_q), np.concatenate(got_p), True
+    g = np.random.default_rng(0)
+    own = g.permutation(len(exact))[:audit]
+    true = exact[own] @ base.T >= threshold
+    if same:
+        true[np.arange(len(own)), own] = False
+    picked = g.permutation(len(base))[:audit]
+    asked = np.concatenate([exact[own], _probes(base, threshold, picked)]).astype(np.float32)
+    row, place = np.nonzero(np.concatenate([true, np.zeros((len(picked), len(base)), bool)]))
+    row, place = np.append(row, len(own) + np.arange(len(picked))), np.append(place, picked)
+    size = np.bincount(row, minlength=len(asked))
+    while True:
+        ids, sims = graph.search(asked, beam)
+        full = _full(ids, sims, threshold, beam, len(base))
+        hit = full[row] | (ids[row] == place[:, None]).any(axis=1)
+        share = np.bincount(row, hit, len(asked))[size > 0] / size[size > 0]
+        linked = share[: np.count_nonzero(size[: len(own)])]
+        told |= {"queries": len(share), "found": float(share.sum()), "beam": beam}
+        if share.mean() >= recall and (not len(linked) or linked.mean() >= recall):
+            return beam
+        if beam >= len(base) or beam * WIDER > max(WHOLE * len(base), BEAM):
+            told["found"] = float(len(share))
+            return None
+        beam *= WIDER
+
+
+def _full(ids: np.ndarray, sims: np.ndarray, threshold: float, beam: int, n: int) -> np.ndarray:
+    """Queries whose beam is full of hits, and may have more."""
+    return (sims[:, -1] >= threshold - _SLACK) & (ids[:, -1] >= 0) if beam < n else np.zeros(len(ids), bool)
 
 
 def range_search(
@@ -221,43 +251,27 @@ def range_search(
 ) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """(query, place, whole) in blocks: the pairs found with cosine >= threshold, verified in doubles, and whether the queries were compared to the whole shard.
 
-    Each query is in the pairs of one kind only.  Beams widen until the mean over the audited queries
-    with true pairs, of the share of them that is found, is ``recall``; ``told`` gets the number of those
-    queries and the sum of their shares in the end.  Queries whose beam is full of hits are compared
-    to the whole shard; so are all, if a beam of ``WHOLE`` of the shard is not good enough, and an audit that
-    finds too few links among all queries is the exact result itself.
+    Each query is in the pairs of one kind only, and every query asks the graph.  An audit of bounded size
+    widens the beam first.  Queries whose beam is full of hits are then compared to the whole shard, and so
+    are all if no beam of at most ``WHOLE`` of the shard is good enough; ``told`` gets their number
+    (``whole``), that of all queries (``asked``), and the audit's queries, sum of shares found and beam.
     ``same``: the queries are the shard's own vectors, whose pairs with themselves are left out.
     """
     exact, base = normal(queries), normal(vectors)
-    unit, n = exact.astype(np.float32), np.int64(len(base))
-    true_q, true_p, every = _audit(exact, base, threshold, same, audit)
-    truth, size = true_q * n + true_p, np.bincount(true_q, minlength=len(exact))
-    judged = np.flatnonzero(size)
-    if every:
-        if told is not None:
-            told["queries"], told["found"] = len(judged), float(len(judged))
-        yield true_q, true_p, True
-        return
-    while True:
-        ids, sims = graph.search(unit, beam)
-        q, place = np.nonzero(sims >= threshold - _SLACK)
-        full = (sims[:, -1] >= threshold - _SLACK) & (ids[:, -1] >= 0) if beam < n else np.zeros(len(exact), bool)
+    told = {} if told is None else told
+    wide = _good_beam(graph, exact, base, threshold, beam, recall, audit, same, told)
+    todo = []
+    for lo in range(0, len(exact) if wide else 0, ROWS):
+        ids, sims = graph.search(exact[lo : lo + ROWS].astype(np.float32), wide)
+        full = _full(ids, sims, threshold, wide, len(base))
+        q, place = np.nonzero((sims >= threshold - _SLACK) & ~full[:, None])
         p = ids[q, place]
-        ok = (np.einsum("nd,nd->n", exact[q], base[p]) >= threshold) & ~full[q] & ((q != p) | (not same))
-        q, p = q[ok], p[ok]
-        met = np.bincount(true_q[np.isin(truth, q * n + p)], minlength=len(exact))[judged] / size[judged]
-        met[full[judged]] = 1.0
-        if not len(judged) or met.mean() >= recall:
-            break
-        if beam * WIDER > WHOLE * n:
-            full[:] = True
-            met[:] = 1.0
-            break
-        beam *= WIDER
-    if told is not None:
-        told["queries"], told["found"] = len(judged), float(met.sum())
-    yield q[~full[q]], p[~full[q]], False
-    todo = np.flatnonzero(full)
+        q = q + lo
+        ok = (np.einsum("nd,nd->n", exact[q], base[p]) >= threshold) & ((q != p) | (not same))
+        todo.append(lo + np.flatnonzero(full))
+        yield q[ok], p[ok], False
+    todo = np.concatenate(todo) if wide else np.arange(len(exact))
+    told |= {"asked": len(exact), "whole": len(todo)}
     for lo in range(0, len(todo), ROWS):
         own = todo[lo : lo + ROWS]
         q, p = np.nonzero(exact[own] @ base.T >= threshold)
@@ -328,7 +342,7 @@ def _building(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _querying(threshold: float, recall: float):
-    """Rows of a block: kind 0, a class's links (a, n); kind 1, an edge of a component (a, b); kind 2, an audit (a: the group, b: queries, n: millionths found)."""
+    """Rows of a block: kind 0, a class's links (a, n); kind 1, an edge of a component (a, b); kind 2, an audit (a: the group, b: queries, n: millionths found); kind 3, (a: the group, b: queries, n: those compared to the whole shard)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -350,7 +364,7 @@ def _querying(threshold: float, recall: float):
                 yield pd.DataFrame({"a": every[some], "b": -1, "n": count[some], "kind": 0})
                 moved = np.flatnonzero(links.root != np.arange(len(links.root)))
                 yield pd.DataFrame({"a": every[moved], "b": every[links.root[moved]], "n": 0, "kind": 1})
-                yield pd.DataFrame({"a": [r.grp], "b": [told["queries"]], "n": [round(told["found"] * 1e6)], "kind": 2})
+                yield pd.DataFrame({"a": [r.grp] * 2, "b": [told["queries"], told["asked"]], "n": [round(told["found"] * 1e6), told["whole"]], "kind": [2, 3]})
 
     return given_back(run)
 
@@ -358,14 +372,15 @@ def _querying(threshold: float, recall: float):
 def near_duplicates(
     table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, shard: int = SHARD, recall: float = RECALL
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, kept, recall) for every row of ``table``.
+    """(vec_id, n_links, component_id, kept, recall, whole_share) for every row of ``table``.
 
     Rows link when their labels are equal and not null, their vectors of one length, and the cosine
     reaches ``threshold``.  Vectors that are null, empty, zero or hold null or non-finite components link
     with nothing.  Equal vectors always link; repeated rows are vectors of their own.  component_id is
     the smallest id reached (a null id is never one, unless it is alone), kept says that it is the row's
     own; vectors that share an id are different vectors.  recall is what the audits of the label's shards
-    measured in the mean (null without a label, a vector or a link).  Other columns are not read.
+    measured in the mean, and whole_share the share of its queries that were compared to a whole shard (null without a
+    label or a vector).  Other columns are not read.
     """
     spark = table.sparkSession
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
@@ -387,23 +402,33 @@ def near_duplicates(
     met = materialise(pairs.mapInPandas(_querying(threshold, recall), "a bigint, b bigint, n bigint, kind int"), "met")
     counts = met.filter("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("near"))
     audits = met.filter("kind = 2").groupBy(F.col("a").alias("grp")).agg(F.try_divide(F.sum("n"), F.sum("b") * 1_000_000).alias("recall"))
+    beyond = met.filter("kind = 3").groupBy(F.col("a").alias("grp")).agg((F.sum("n") / F.sum("b")).alias("whole_share"))
+    audits = audits.join(beyond, "grp")
     comp = components(met.filter("kind = 1").select("a", "b"))
     comp = materialise(comp.join(classes.select(F.col("cid").alias("node"), "rep"), "node"), "components")
     least = comp.groupBy("component").agg(F.min("rep").alias("least"))
     named = comp.join(least, "component").select(F.col("node").alias("cid"), F.lit(True).alias("linked"), "least")
     info = classes.select("grp", "cid", "size", "rep").join(named, "cid", "left").join(counts, "cid", "left").join(audits, "grp", "left")
     component = F.when(F.col("linked"), F.col("least")).otherwise(F.col("rep"))
-    info = info.select("cid", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), component.alias("component"), "recall")
+    info = info.select("cid", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), component.alias("component"), "recall", "whole_share")
     done = rows.select("id", "cid").join(info, "cid", "left")
     component = F.coalesce("component", "id")
     return done.select(
-        F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "recall"
+        F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "recall", "whole_share"
     )
 
 
 def op10_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     """Links and components of all rows of ``embeddings``."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("recall")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("recall", "whole_share")
+
+
+def op10_search_audit(spark, sf_dir: str) -> DataFrame:
+    """What the audits of ``embeddings`` measured for each label: recall, and the share of queries beyond the graph."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    labels = table.select("vec_id", "label").filter("label IS NOT NULL")
+    done = near_duplicates(table).filter("recall IS NOT NULL").select("vec_id", "recall", "whole_share", "n_links")
+    return labels.join(done, "vec_id").groupBy("label").agg(F.count("*").alias("vectors"), F.sum("n_links").alias("links"), F.max("recall").alias("recall"), F.max("whole_share").alias("whole_share"))
 
 
 OP10_SQL = """

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from skein.llm.decontaminate import OP2_SQL, op2_decontaminate, op2_near_matches
-from skein.llm.embedding_dedup import OP10_SQL, op10_embedding_dedup
+from skein.llm.embedding_dedup import OP10_SQL, op10_embedding_dedup, op10_search_audit
 from skein.llm.embedding_whitening import op13_whitening
 from skein.llm.jaccard_join import op9_jaccard_join
 from skein.llm.language_id import op3_language_id
@@ -29,6 +29,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op10_search_audit": op10_search_audit,
     "op11_quality": op11_quality,
     "op12_token_alignment": op12_token_alignment,
     "op13_whitening": op13_whitening,

@@ -60,12 +60,28 @@ def test_recall_on_full_shards(sizes):
     true = np.concatenate([(unit[lo : lo + 512] @ unit.T >= 0.98).sum(axis=1) - 1 for lo in range(0, len(v), 512)])
     got, _ = links.counts()
     assert (got <= true).all() and (got[true > 0] / true[true > 0]).mean() >= 0.99
-    assert told["queries"] >= 64 and told["found"] / told["queries"] >= 0.99
+    assert told["queries"] >= 256 and told["found"] / told["queries"] >= 0.99 and told["asked"] == 8192
+    assert told["whole"] <= 0.5 * 8192
     ends = np.cumsum(sizes)
     for lo, hi in zip(ends - sizes, ends, strict=True):
         assert len(set(links.root[lo:hi].tolist())) == 1
 
 
+@pytest.mark.parametrize("n", [300, 8192])
+def test_the_graph_is_asked_and_answers(monkeypatch, n):
+    """Random vectors with few links: every query asks the graph, and links come from it alone."""
+    g = np.random.default_rng(6)
+    v = g.standard_normal((n, 64))
+    v[n - 20 :] = v[:20] + 0.05 * g.standard_normal((20, 64))
+    asked, told = [], {}
+    search = embedding_dedup.Graph.search
+    monkeypatch.setattr(embedding_dedup.Graph, "search", lambda self, q, beam: asked.append(len(q)) or search(self, q, beam))
+    want = {(a, b) for a, b in brute(v, v) if a != b}
+    got = found(v, v, same=True, told=told)
+    assert sum(asked) >= n and told["whole"] == 0 and told["asked"] == n
+    assert got <= want and len(want) == 40 and len(got | {(b, a) for a, b in got}) >= 0.95 * len(want)
+
+
 def test_very_large_and_very_small_components(spark):
     rows = [(1, [1e200, 2e200], 1), (2, [2e200, 4e200], 1), (3, [5e-324, 1e-323], 1), (4, [1e-200, -1e-200], 1), (5, [1.0, 2.0], 1)]
     got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
