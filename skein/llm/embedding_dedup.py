@@ -117,8 +117,8 @@ class Graph:
         k = min(4, len(at))
         return at[np.argpartition(-s, k - 1, axis=1)[:, :k]]
 
-    def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, similarities) of up to ``beam`` nodes for each query, best first."""
+    def search(self, queries: np.ndarray, beam: int, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(places, similarities) of up to ``beam`` nodes for each query, best first; ``places`` of queries that are nodes are entries too."""
         if not self.layers:
             return np.empty((len(queries), 0), np.int64), np.empty((len(queries), 0), np.float32)
         top = self.layers[-1][:256]
@@ -128,6 +128,8 @@ class Graph:
         for own, links in zip(self.layers[:0:-1], self.links[:0:-1], strict=True):
             ids, _ = beam_search(self.unit[own], links, queries, np.searchsorted(own, entry), 4)
             entry = own[np.where(ids >= 0, ids, ids[:, :1])]
+        if places is not None:
+            entry = np.concatenate([places[:, None], entry], axis=1)
         return beam_search(self.unit, self.links[0], queries, entry, beam)
 
 
@@ -222,15 +224,15 @@ def _good_beam(graph: Graph, exact: np.ndarray, base: np.ndarray, threshold: flo
     if same:
         true[np.arange(len(own)), own] = False
     picked = g.permutation(len(base))[:audit]
-    asked = np.concatenate([exact[own], _probes(base, threshold, picked)]).astype(np.float32)
+    asked, probes = exact[own].astype(np.float32), _probes(base, threshold, picked).astype(np.float32)
     row, place = np.nonzero(np.concatenate([true, np.zeros((len(picked), len(base)), bool)]))
     row, place = np.append(row, len(own) + np.arange(len(picked))), np.append(place, picked)
-    size = np.bincount(row, minlength=len(asked))
+    size = np.bincount(row, minlength=len(own) + len(picked))
     while True:
-        ids, sims = graph.search(asked, beam)
+        ids, sims = (np.concatenate(x) for x in zip(graph.search(asked, beam, own if same else None), graph.search(probes, beam), strict=True))
         full = _full(ids, sims, threshold, beam, len(base))
         hit = full[row] | (ids[row] == place[:, None]).any(axis=1)
-        share = np.bincount(row, hit, len(asked))[size > 0] / size[size > 0]
+        share = np.bincount(row, hit, len(size))[size > 0] / size[size > 0]
         linked = share[: np.count_nonzero(size[: len(own)])]
         told |= {"queries": len(share), "found": float(share.sum()), "beam": beam}
         if share.mean() >= recall and (not len(linked) or linked.mean() >= recall):
@@ -262,7 +264,8 @@ def range_search(
     wide = _good_beam(graph, exact, base, threshold, beam, recall, audit, same, told)
     todo = []
     for lo in range(0, len(exact) if wide else 0, ROWS):
-        ids, sims = graph.search(exact[lo : lo + ROWS].astype(np.float32), wide)
+        part = exact[lo : lo + ROWS].astype(np.float32)
+        ids, sims = graph.search(part, wide, lo + np.arange(len(part)) if same else None)
         full = _full(ids, sims, threshold, wide, len(base))
         q, place = np.nonzero((sims >= threshold - _SLACK) & ~full[:, None])
         p = ids[q, place]

@@ -75,7 +75,7 @@ def test_the_graph_is_asked_and_answers(monkeypatch, n):
     v[n - 20 :] = v[:20] + 0.05 * g.standard_normal((20, 64))
     asked, told = [], {}
     search = embedding_dedup.Graph.search
-    monkeypatch.setattr(embedding_dedup.Graph, "search", lambda self, q, beam: asked.append(len(q)) or search(self, q, beam))
+    monkeypatch.setattr(embedding_dedup.Graph, "search", lambda self, q, *more: asked.append(len(q)) or search(self, q, *more))
     want = {(a, b) for a, b in brute(v, v) if a != b}
     got = found(v, v, same=True, told=told)
     assert sum(asked) >= n and told["whole"] == 0 and told["asked"] == n
