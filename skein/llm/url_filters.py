@@ -61,25 +61,36 @@ def url_tokens(host: Column, path: Column) -> Column:
 
 
 def mine_rules(labelled: DataFrame, *, support: float = MIN_SUPPORT, rows: int = MIN_ROWS, confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules ``tokens -> block`` from (tokens, blocked): (rule_id, tokens, n_tokens).
+    """Rules ``tokens -> block`` from (tokens, blocked): (rule_id, tokens, n_tokens, groups).
 
     FP-growth runs distributed over all labelled rows.  Token sets of every length count; of the
     rules, those that hold all tokens of a shorter rule are left out, as they match nothing more.
     A token set has to occur with ``block`` in ``support`` of the rows and in at least ``rows`` rows.
     No labelled rows: no rules.
+
+    Tokens of the very same rows are mined as one, the first of them: any of them may stand in a rule for
+    it, and ``groups`` has them all, one array for each of ``tokens``.  Tokens in too few blocked rows are
+    in no rule, and those that are a rule by themselves are in no longer one; both go before sets are grown.
     """
-    n = labelled.count()
+    told = materialise(labelled.select(F.monotonically_increasing_id().alias("rid"), F.array_distinct("tokens").alias("tokens"), "blocked"), "labelled")
+    n = told.count()
     least = max(math.ceil(support * n), rows)
-    support = min(1.0, (least - 0.5) / max(n, 1))
-    items = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED))
-    tokens = F.array_sort("antecedent")
-    rules = materialise(rules.select(F.array_join(tokens, " ").alias("rule_id"), tokens.alias("tokens"), F.size("antecedent").alias("n_tokens")), "rules")
-    # single tokens first: what they imply need not meet in the join of rules with rules
-    for shorter in (rules.filter("n_tokens = 1"), None):
-        rules = rules.join(_implied(rules, rules if shorter is None else shorter), "rule_id", "left_anti")
-    return rules
+    posted = told.select("rid", "blocked", F.explode("tokens").alias("token"))
+    same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.sum(F.xxhash64("rid", F.lit(1)).cast("decimal(38,0)")).alias("s")]
+    each = posted.groupBy("token").agg(*same, F.count_if("blocked").alias("bad")).filter(F.col("bad") >= least)
+    groups = materialise(each.groupBy("n", "x", "s", "bad").agg(F.array_sort(F.collect_set("token")).alias("group")).select(F.col("group")[0].alias("token"), "group", (F.col("bad") >= confidence * F.col("n")).alias("alone")), "groups")
+    open_tokens = groups.filter("NOT alone").select("token")
+    items = posted.join(open_tokens, "token").groupBy("rid").agg(F.collect_list("token").alias("tokens"), F.first("blocked").alias("blocked"))
+    items = items.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens")).alias("items"))
+    # FP-growth takes a share of the rows that it sees
+    seen = max(items.count(), 1)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / seen), minConfidence=confidence).fit(items)
+    grown = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED)).select(F.array_sort("antecedent").alias("tokens"))
+    every = groups.filter("alone").select(F.array("token").alias("tokens")).unionAll(grown)
+    rules = materialise(every.select(F.array_join("tokens", " ").alias("rule_id"), "tokens", F.size("tokens").alias("n_tokens")), "rules")
+    rules = rules.join(_implied(rules, rules), "rule_id", "left_anti")
+    members = rules.select("rule_id", "n_tokens", "tokens", F.explode("tokens").alias("token")).join(groups, "token")
+    return members.groupBy("rule_id").agg(F.first("tokens").alias("tokens"), F.first("n_tokens").alias("n_tokens"), F.collect_list("group").alias("groups"))
 
 
 def _implied(rules: DataFrame, shorter: DataFrame) -> DataFrame:
@@ -90,10 +101,11 @@ def _implied(rules: DataFrame, shorter: DataFrame) -> DataFrame:
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct URLs (uh, host, path) whose tokens hold all tokens of a rule, by an inverted index."""
-    index = rules.select("rule_id", "n_tokens", F.explode("tokens").alias("token"))
+    """Distinct URLs (host, path) whose tokens hold one of each group of a rule, by an inverted index."""
+    index = rules.select("rule_id", "n_tokens", F.posexplode("groups").alias("part", "group")).select("rule_id", "n_tokens", "part", F.explode("group").alias("token"))
     posted = urls.select("host", "path", F.explode("tokens").alias("token"))
-    found = posted.join(index, "token").groupBy("host", "path", "rule_id").agg(F.count("*").alias("n"), F.first("n_tokens").alias("n_tokens"))
+    met = posted.join(index, "token").groupBy("host", "path", "rule_id", "part").agg(F.first("n_tokens").alias("n_tokens"))
+    found = met.groupBy("host", "path", "rule_id").agg(F.count("*").alias("n"), F.first("n_tokens").alias("n_tokens"))
     return found.filter(F.col("n") == F.col("n_tokens")).select("host", "path").distinct()
 
 
@@ -125,7 +137,7 @@ def op7_url_filters(spark, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = """
-WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 v AS (SELECT *, list_filter(string_split(host, '.'), lambda x: x <> '') AS hl,
@@ -136,10 +148,11 @@ j AS (SELECT w.page_id, row_number() OVER () AS rid, tokens, coalesce(bad, false
         (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) = 1 AS bad FROM labels GROUP BY doc_id) l ON w.page_id = l.doc_id),
 lim AS (SELECT greatest(ceil(0.002 * count(*)), 20) AS least FROM j),
 one AS (SELECT rid, bad, unnest(tokens) AS a FROM j),
-sets AS (SELECT rid, bad, a, NULL AS b FROM one UNION ALL SELECT x.rid, x.bad, x.a, y.a FROM one x JOIN one y ON x.rid = y.rid AND x.a < y.a),
-rules AS (SELECT a, b FROM sets GROUP BY a, b HAVING count(*) FILTER (WHERE bad) >= (SELECT least FROM lim)
+often AS (SELECT o.* FROM one o JOIN (SELECT a FROM one GROUP BY a HAVING count(*) FILTER (WHERE bad) >= (SELECT least FROM lim)) f ON o.a = f.a),
+sets AS (SELECT rid, bad, [a] AS s, a AS last FROM often UNION ALL SELECT x.rid, x.bad, list_append(x.s, y.a), y.a FROM sets x JOIN often y ON x.rid = y.rid AND y.a > x.last),
+rules AS (SELECT s FROM sets GROUP BY s HAVING count(*) FILTER (WHERE bad) >= (SELECT least FROM lim)
            AND count(*) FILTER (WHERE bad) >= 0.5 * count(*)),
-hit AS (SELECT DISTINCT page_id, host, path FROM w WHERE EXISTS (SELECT 1 FROM rules WHERE list_contains(w.tokens, a) AND (b IS NULL OR list_contains(w.tokens, b)))),
+hit AS (SELECT DISTINCT page_id, host, path FROM w WHERE EXISTS (SELECT 1 FROM rules WHERE list_has_all(w.tokens, s))),
 c AS (SELECT u.*, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
                        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
                        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/'
