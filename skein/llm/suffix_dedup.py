@@ -178,10 +178,17 @@ def _sampling(length: int):
 
 
 def _cutting(length: int):
-    """The bytes of the runs that a document lends: rows of (text, runs)."""
+    """The bytes of the runs that a document lends: rows of (key, text, runs).  Of repeated rows, which follow each other, one lends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
+            keys = batch.column("key").to_numpy()
+            new = np.append(last is None or keys[0] != last, keys[1:] != keys[:-1]) if len(keys) else np.empty(0, bool)
+            last = keys[-1] if len(keys) else last
+            batch = batch.filter(pa.array(new))
+            if not batch.num_rows:
+                continue
             data, offsets = buffers(batch.column("text"))
             runs = batch.column("runs")
             owner = np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()))
@@ -299,7 +306,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_
     runs = shared.filter("mixed").groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "windows")).alias("one"))
     runs = materialise(runs.select("ah", "ch", "n", "one.*"), "runs")
     lent = runs.groupBy("key").agg(F.collect_list(F.struct("ah", "ch", "n", "first", "windows")).alias("runs"))
-    bodies = materialise(docs.join(lent, "key").select("text", "runs").mapInArrow(given_back(_cutting(length)), _RUN), "bodies")
+    bodies = materialise(docs.join(lent, "key").select("key", "text", "runs").mapInArrow(given_back(_cutting(length)), _RUN), "bodies")
     hot = runs.groupBy("ah").count().filter(F.col("count") > most_runs).select("ah")
     shards = max(1, math.ceil((runs.agg(F.sum("windows")).first()[0] or 0) / SHARD))
     light = bodies.join(hot, "ah", "left_anti").repartition(shards, "ah").mapInArrow(given_back(_matching(length)), _MATCH)
@@ -325,7 +332,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    spans = repeated_spans(rows.select("key", "text"), length, most_runs).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = repeated_spans(rows.select("key", "text"), length, most_runs).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     kind = docs.schema[id_col].dataType.simpleString()
     joined = rows.join(spans, "key", "left").select("doc", "text", "spans")
     return joined.mapInArrow(_removing, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -259,3 +260,13 @@ def test_graph_recall():
     ids, _ = graph.search(unit[:200], 48)
     true = np.argsort(-(unit[:200] @ unit.T), axis=1)[:, :10]
     assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(ids.tolist(), true.tolist())]) > 0.9
+
+
+@pytest.mark.parametrize("rows", [5, 5000])
+def test_many_repeated_rows_without_an_id(spark, rows):
+    """One text of repeats, in rows that nothing tells apart, and one that shares a passage with it."""
+    text, other = "abcdefg " * 190, "x" * 30 + "abcdefg " * 60 + "y" * 30
+    frame = spark.createDataFrame([(None, text)] * rows + [(1, other), (2, "z" * 150)], "doc_id bigint, text string").repartition(4)
+    began = time.time()
+    got = {(r.doc_id, r.n_removed, r.n_spans, len(r.kept)) for r in suffix_dedup.dedup_substrings(frame).collect()}
+    assert got == {(None, len(text), 1, 0), (1, 480, 1, 60), (2, 0, 0, 150)} and time.time() - began < 90
