@@ -1,11 +1,11 @@
-"""Greedy groups of consecutive rows, each row compared to one member of the group before it.
+"""Ordered rows folded into a small state, where the state soon forgets how it began: greedy groups, slots of a service.
 
-Whether a row opens a group depends on all rows before it, but only by way of the group's anchor, the
-member that rows are compared to.  So slices of a key are folded on their own, at first as if each
-began with a new group; then with the anchors that the slices before them end with, as long as new ones
-turn up.  That gives a table of jumps (slice, anchor at its begin) to (next slice, anchor at its begin).
+What becomes of a row depends on all rows before it, but only by way of a state: a group's anchor, or when
+slots come free.  So slices of a key are folded on their own, at first as if each
+began anew; then with the states that the slices before them end with, as long as new ones
+turn up.  That gives a table of jumps (slice, state at its begin) to (next slice, state at its begin).
 The jumps that lead on from a key's first slice are found by doubling, and each slice is folded once
-more with its true anchor.  One key may hold all rows.
+more with its true state.  One key may hold all rows.
 """
 
 from __future__ import annotations
@@ -22,49 +22,46 @@ from skein.sources.stages import stored
 #: Whole numbers of the index in a slice.
 SLICE = 1 << 15
 
+#: (state or None at first, row) to (state, what becomes of the row); states of one fold have one length.
+Step = Callable[[np.ndarray | None, np.ndarray], tuple[np.ndarray, float]]
 #: Whether a row stays in the group of an anchor, given the row before it; whether it becomes the anchor then.
 Stays = Callable[[np.ndarray, np.ndarray, np.ndarray], bool]
 Leads = Callable[[np.ndarray, np.ndarray], bool]
 
 
-def fold(values: np.ndarray, entry: np.ndarray | None, stays: Stays, leads: Leads) -> tuple[np.ndarray, np.ndarray]:
-    """(which rows open a group, anchor and last row at the end) of rows that follow ``entry`` (anchor and last row)."""
-    opens = np.zeros(len(values), bool)
-    width = values.shape[1]
-    anchor, last = (None, None) if entry is None else (entry[:width], entry[width:])
+def fold(values: np.ndarray, state: np.ndarray | None, step: Step) -> tuple[np.ndarray, np.ndarray]:
+    """(what becomes of each row, state at the end)"""
+    out = np.empty(len(values))
     for i, row in enumerate(values):
-        if anchor is None or not stays(anchor, last, row):
-            opens[i], anchor = True, row
-        elif leads(anchor, row):
-            anchor = row
-        last = row
-    return opens, np.concatenate([anchor, last])
+        state, out[i] = step(state, row)
+    return out, state
 
 
-def greedy_groups(df: DataFrame, key: str, index: str, fields: list[Column | str], stays: Stays, leads: Leads = lambda anchor, row: False, *, ties: tuple[str, ...] = (), name: str = "group") -> DataFrame:
-    """``df`` with ``name``: the place of each row's group among its key's groups, from 0.
+def folded(df: DataFrame, key: str, index: str, fields: list[Column | str], step: Step, *, ties: tuple[str, ...] = (), name: str = "folded", size: int | None = None) -> DataFrame:
+    """``df`` with what ``step`` makes of each row as a double ``name``; stored.
 
-    Rows go by ``index``, a whole number, then by ``ties``.  ``fields`` are the numbers that ``stays`` and
-    ``leads`` see, as doubles, a null as NaN.  A group's first row is its anchor until ``leads`` names another.  Null
-    keys are one key; rows without an index go; a column called ``name`` is replaced.
+    Rows go by ``index``, a whole number, then by ``ties``; a slice has ``size`` whole numbers (``SLICE``),
+    so with sparse indices a larger one.  ``fields`` are the numbers that ``step``
+    sees, as doubles, a null as NaN.  Null keys are one key; rows without an index go; a column called ``name`` is
+    replaced.  Further columns ``__c`` (the slice) and ``__order`` (the place in it) are for callers here.
 
-    A slice is folded once for each different anchor that may reach it, and rounds are as many as
-    there are such anchors, or as slices that one group spans with an anchor unlike those that begin in them.
+    A slice is folded once for each different state that may reach it, and rounds are as many as
+    there are such states, or as slices that a state takes to be forgotten.
     """
     own = [c for c in df.columns if c != name]
     kind = df.schema[key].dataType.simpleString()
     numbers = F.array(*[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("double"), F.lit(float("nan"))) for c in fields])
-    rows = stored(df.filter(F.col(index).isNotNull()).select(*own, numbers.alias("__v"), F.floor(F.col(index) / SLICE).alias("__c")))
+    rows = stored(df.filter(F.col(index).isNotNull()).select(*own, numbers.alias("__v"), F.floor(F.col(index) / (size or SLICE)).alias("__c")))
     order = [(c, "ascending") for c in (index, *ties)]
     slim = rows.select(F.col(key).alias("k"), F.col("__c").alias("c"), *[F.col(c).alias(f"o{i}") for i, c in enumerate((index, *ties))], F.col("__v").alias("v"))
-    slices = slim.groupBy("k", "c").count().select("k", "c", F.lead("c").over(Window.partitionBy("k").orderBy("c")).alias("to"), F.row_number().over(Window.partitionBy("k").orderBy("c")).alias("place"))
-    slices = stored(slices)
+    along = Window.partitionBy("k").orderBy("c")
+    slices = stored(slim.groupBy("k", "c").count().select("k", "c", F.lead("c").over(along).alias("to"), F.row_number().over(along).alias("place")))
 
     def run(key_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        """The anchors at the end of a slice, for each of the anchors at its begin."""
+        """The states at the end of a slice, for each of the states at its begin."""
         left = left.sort_by([(f"o{i}", "ascending") for i in range(len(order))])
         values = _matrix(left["v"])
-        ends = [fold(values, None if s is None else np.array(s), stays, leads)[1] for s in right["s"].to_pylist()]
+        ends = [fold(values, None if s is None else np.array(s), step)[1] for s in right["s"].to_pylist()]
         return right.append_column("e", pa.array(ends, pa.list_(pa.float64())))
 
     schema = f"k {kind}, c bigint, to bigint, s array<double>, e array<double>"
@@ -84,17 +81,56 @@ def greedy_groups(df: DataFrame, key: str, index: str, fields: list[Column | str
     def last(key_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by(order)
         entry = right["s"][0].as_py()
-        opens, _ = fold(_matrix(left["__v"]), None if entry is None else np.array(entry), stays, leads)
-        return left.append_column("__g", pa.array(np.cumsum(opens), pa.int64())).append_column("__n", pa.array(np.full(len(opens), opens.sum())))
+        out, _ = fold(_matrix(left["__v"]), None if entry is None else np.array(entry), step)
+        return left.drop_columns("__v").append_column("__order", pa.array(np.arange(len(out), dtype=np.int64))).append_column(name, pa.array(out))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__v").schema.fields)
     begun = true.select(F.col("k").alias(key), F.col("c").alias("__c"), "s")
-    done = stored(rows.groupBy(key, "__c").cogroup(begun.groupBy(key, "__c")).applyInArrow(last, f"{kinds}, __g bigint, __n bigint"))
-    before = done.groupBy(F.col(key).alias("__k"), F.col("__c").alias("__at")).agg(F.first("__n").alias("__n"))
+    return stored(rows.groupBy(key, "__c").cogroup(begun.groupBy(key, "__c")).applyInArrow(last, f"{kinds}, __order bigint, `{name}` double"))
+
+
+def greedy_groups(df: DataFrame, key: str, index: str, fields: list[Column | str], stays: Stays, leads: Leads = lambda anchor, row: False, *, ties: tuple[str, ...] = (), name: str = "group") -> DataFrame:
+    """``df`` with ``name``: the place of each row's group among its key's groups, from 0.
+
+    A row joins the group before it if it ``stays`` with that group's anchor: the group's first row, until
+    ``leads`` names another.  Orders, fields and nulls as in ``folded``; its state is an anchor and the row before.
+    """
+    own = [c for c in df.columns if c != name]
+
+    def step(state: np.ndarray | None, row: np.ndarray) -> tuple[np.ndarray, float]:
+        n = len(row)
+        if state is None or not stays(state[:n], state[n:], row):
+            return np.concatenate([row, row]), 1.0
+        return np.concatenate([row if leads(state[:n], row) else state[:n], row]), 0.0
+
+    done = folded(df, key, index, fields, step, ties=ties, name="__opens")
+    before = done.groupBy(F.col(key).alias("__k"), F.col("__c").alias("__at")).agg(F.sum("__opens").alias("__n"))
     so_far = F.sum("__n").over(Window.partitionBy("__k").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
     before = before.select("__k", "__at", F.coalesce(so_far, F.lit(0)).alias("__before"))
-    numbered = done.join(before, done[key].eqNullSafe(before["__k"]) & (done["__c"] == before["__at"]))
-    return numbered.select(*own, (F.col("__before") + F.col("__g") - 1).alias(name))
+    inside = F.sum("__opens").over(Window.partitionBy(key, "__c").orderBy("__order").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = done.withColumn("__g", inside).join(before, done[key].eqNullSafe(before["__k"]) & (done["__c"] == before["__at"]))
+    return numbered.select(*own, (F.col("__before") + F.col("__g") - 1).cast("long").alias(name))
+
+
+def admitted(jobs: DataFrame, key: str, start: str, end: str, *, slots: int = 1, ties: tuple[str, ...] = (), name: str = "admitted", size: int | None = None) -> DataFrame:
+    """``jobs`` with whether each gets one of its key's slots when it starts: a job holds a slot from start to end.
+
+    A job that finds no slot is refused and holds none, so whether a job is admitted depends on which ones were
+    before it.  Starts are whole numbers; a slot is free again at its job's end; a null end holds a slot for good.
+    Equal starts go by ``ties``; ``size`` as in ``folded``.
+    """
+    own = [c for c in jobs.columns if c != name]
+
+    def step(state: np.ndarray | None, row: np.ndarray) -> tuple[np.ndarray, float]:
+        now, until = row[0], np.inf if np.isnan(row[1]) else row[1]
+        held = np.full(slots, -np.inf) if state is None else np.where(state <= now, -np.inf, state)  # free slots are alike
+        if held[0] > -np.inf:
+            return held, 0.0
+        held[0] = until if until > now else -np.inf
+        return np.sort(held), 1.0
+
+    done = folded(jobs, key, start, [start, end], step, ties=ties, name="__got", size=size)
+    return done.select(*own, (F.col("__got") > 0).alias(name))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:

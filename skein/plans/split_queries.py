@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skein.operators import blobs, filters, greedy, intervals, splits
 from skein.operators.ordered import positions
 from skein.sources.tables import table
+from skein.streaming import commits
 
 QUERIES, ORACLES = {}, {}
 
@@ -184,3 +187,42 @@ def ink_differences(spark, d):
     """Returned against accepted lines of a supplier, without a grid of others."""
     px = _pixels(spark, d)
     return blobs.ink_difference(px.filter("l_returnflag = 'A'"), px.filter("l_returnflag = 'R'"), px.filter("l_returnflag = 'N' AND y % 4 = 0"), least_ink=20, least_changed=9)
+
+
+@query("""
+with recursive j as materialized (select user_id, event_id, epoch_us(ts)//1000000 as s, epoch_us(ts)//1000000 + floor(value*600)::bigint as e, row_number() over(partition by user_id order by epoch_us(ts)//1000000, event_id) as rn from events),
+g as (select user_id, rn, event_id, true as admitted, e as a, 0::bigint as b from j where rn=1
+    union all
+    select j.user_id, j.rn, j.event_id, least(g.a,g.b)<=j.s, case when least(g.a,g.b)<=j.s and g.a<=g.b then j.e else g.a end, case when least(g.a,g.b)<=j.s and g.a>g.b then j.e else g.b end
+    from g join j on j.user_id=g.user_id and j.rn=g.rn+1)
+select event_id, user_id, admitted from g""")
+def jobs_admitted(spark, d):
+    """A user's events as heavy jobs of which two may run at once."""
+    jobs = table(spark, d, "events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), "value").withColumn("e", F.col("s") + F.floor(F.col("value") * 600))
+    return greedy.admitted(jobs, "user_id", "s", "e", slots=2, ties=("event_id",), size=30 * 86400).select("event_id", "user_id", "admitted")
+
+
+@query("""
+select o.user_id, o.event_id as onset, e.event_id as armed from events o join events e
+on o.user_id=e.user_id and o.event_type='click' and e.event_type='view' and o.ts >= e.ts - interval 30 minute and o.ts <= e.ts + interval 8 hour""")
+def onsets_met(spark, d):
+    """Clicks as onsets of views, some of them a little early."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
+    onsets = e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("onset"), F.col("ts").alias("heard"))
+    armed = e.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("armed"), F.col("ts").alias("armed_at"))
+    return commits.onsets_of_events(onsets, armed, key="user_id", onset_at="heard", armed_at="armed_at", early="30 minutes", late="8 hours").select("user_id", "onset", "armed")
+
+
+@query("""
+select event_id as page, user_id, (row_number() over(order by ts, event_id)-1)//5 as commit from events where event_type='error'""")
+def pages_committed(spark, d):
+    """Errors as pages of a stream, committed five at a time and read back by the ledger."""
+    from skein.sources.stages import shared_folder
+
+    path = f"{d}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    folder = f"{shared_folder(spark)}/commits-{uuid.uuid4().hex}"
+    pages = spark.readStream.schema(schema).parquet(f"{path}*").filter("event_type = 'error'").select(F.col("event_id").alias("page"), "user_id", "ts")
+    run = commits.committing(pages, folder, ["ts", "page"]).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return commits.committed(spark, folder, "page bigint, user_id bigint, ts timestamp").select("page", "user_id", "commit")

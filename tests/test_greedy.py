@@ -80,3 +80,21 @@ def test_edges(spark):
     frame = spark.createDataFrame([("a", 1, None), ("a", None, 3), ("a", 2, 4)], "k string, i int, v int")
     got = greedy.greedy_groups(frame, "k", "i", ["v"], lambda anchor, last, row: not np.isnan(row[0]))
     assert {(r.i, r.group) for r in got.collect()} == {(1, 0), (2, 0)}
+
+
+@pytest.mark.parametrize("cell, slots", [(1 << 15, 1), (40, 1), (40, 3)])
+def test_slots(spark, monkeypatch, cell, slots):
+    """Against one counter of running jobs, whose refusals hold no slot."""
+    monkeypatch.setattr(greedy, "SLICE", cell)
+    g = random.Random(cell + slots)
+    jobs = [(k, i, t, None if g.random() < 0.005 else t + g.choice([0, 1, 5, 30, 90])) for k in "ab" for i, t in enumerate(sorted(g.randrange(600) for _ in range(200)))]
+    want = {}
+    for key in "ab":
+        running = []
+        for _, i, t, until in sorted((j for j in jobs if j[0] == key), key=lambda j: (j[2], j[1])):
+            running = [u for u in running if u > t]
+            want[key, i] = len(running) < slots
+            if want[key, i]:
+                running.append(float("inf") if until is None else until)
+    got = greedy.admitted(spark.createDataFrame(jobs, "k string, i int, start int, until int"), "k", "start", "until", slots=slots, ties=("i",)).collect()
+    assert {(r.k, r.i): r.admitted for r in got} == want and 20 < sum(want.values()) < 390
