@@ -214,15 +214,22 @@ def sweep_at(systems: DataFrame, shares: DataFrame, *, key: str, order: str, x0:
     """Shares of a page's whole width (0 to 1, clamped), each with the system it falls in and the place there.
 
     (all columns of ``shares``, ``system``, ``x``); systems are at least 1 wide, and a share on the
-    border of two belongs to the first.
+    border of two belongs to the first.  Keys without systems have no rows.  One sort of systems and shares together.
     """
     w = _w(key, order)
     width = F.greatest(F.lit(1.0), F.col(x1) - F.col(x0))
-    spans = systems.select(key, F.col(order).alias("system"), F.col(x0).alias("__x0"), width.alias("__w"), F.sum(width).over(w).alias("__to"), F.row_number().over(w).alias("__i"), F.sum(width).over(Window.partitionBy(key)).alias("__all"))
-    met = shares.join(spans, key).withColumn("__at", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(share))) * F.col("__all"))
-    before = F.col("__to") - F.col("__w")
-    inside = ((F.col("__i") == 1) | (F.col("__at") > before)) & ((F.col("__at") <= F.col("__to")) | (F.col("__to") == F.col("__all")))
-    return met.filter(inside).select(*shares.columns, "system", (F.col("__x0") + F.least(F.col("__w"), F.col("__at") - before)).alias("x"))
+    own = F.struct(F.col(order).alias("system"), F.col(x0).cast("double").alias("x0"), width.alias("w"), (F.sum(width).over(w) - width).alias("before"))
+    ends = F.when(F.lead(order).over(w).isNull(), F.lit(float("inf"))).otherwise(F.sum(width).over(w))
+    spans = systems.select(F.col(key).alias("__k"), own.alias("__span"), ends.alias("__at"))
+    whole = systems.groupBy(F.col(key).alias("__k")).agg(F.sum(width).alias("__all"))
+    at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(share))) * F.col("__all")
+    asked = shares.join(whole, shares[key].eqNullSafe(whole["__k"])).select("__k", at.alias("__at"), F.struct(*shares.columns).alias("__row"))
+    both = spans.withColumn("__row", F.lit(None).cast(asked.schema["__row"].dataType)).unionByName(asked.withColumn("__span", F.lit(None).cast(spans.schema["__span"].dataType)))
+    # from the right: the last system seen is the first that ends at the share or beyond
+    back = Window.partitionBy("__k").orderBy(F.col("__at").desc(), F.col("__span").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("__s", F.last("__span", ignorenulls=True).over(back)).filter("__row IS NOT NULL AND __s IS NOT NULL")
+    place = F.col("__s.x0") + F.least(F.col("__s.w"), F.col("__at") - F.col("__s.before"))
+    return met.select("__row.*", F.col("__s.system").alias("system"), place.alias("x"))
 
 
 def drop_words(df: DataFrame, key: str, order, *, x0: str, x1: str, big: Column, letter: Column, gap: float) -> DataFrame:

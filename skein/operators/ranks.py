@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.sources.stages import stored
+
 #: Index of the wanted value among n sorted ones, from 0: four rules that differ.
 FLOOR = lambda q: lambda n: F.floor(F.lit(q) * (n - 1))
 NEAREST = lambda q: lambda n: F.floor(F.lit(q) * (n - 1) + 0.5)
@@ -25,15 +27,15 @@ def exact_ranks(df: DataFrame, key, value: str, ranks: dict[str, object]) -> Dat
     return upto.groupBy(*keys).agg(F.first("__n").alias("n"), *picks)
 
 
-def running(df: DataFrame, keys: list[str], value: str, sums: dict[str, str], totals: dict[str, str], ranges: int = 64) -> DataFrame:
+def running(df: DataFrame, keys: list[str], value: str, sums: dict[str, str], totals: dict[str, str], ranges: int | None = None) -> DataFrame:
     """Rows with running sums of columns in order of ``value`` (column -> name), and sums of the whole key.
 
-    In two levels: numeric values are cut into ranges at approximate quantiles, each range is summed up by
-    itself and starts from the small table of the ranges before it; so one key fills ``ranges`` tasks.
-    Values have to be distinct within a key.  Where the cuts lie changes no result.
+    In two levels: rows are dealt out by ranges of (keys, value), each range of a key is summed up by
+    itself and starts from the small table of the ranges before it; so one key, or one stretch of its values, fills
+    many tasks.  Values have to be distinct within a key.  Where ranges begin changes no result; the dealt rows are
+    stored, as their range is the number of their partition.
     """
-    cuts = sorted(set(df.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
-    cut = df.withColumn("__range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0))
+    cut = stored(df.repartitionByRange(*([ranges] if ranges else []), *keys, value).withColumn("__range", F.spark_partition_id()))
     columns = sorted({*sums, *totals})
     part = cut.groupBy(*keys, "__range").agg(*[F.sum(c).alias(f"__p_{c}") for c in columns])
     earlier, every = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
