@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from skein.operators import sequential
+from skein.operators import alignment, leaders, sequential
 from skein.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -22,9 +22,30 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
+@query("""
+with recursive e as materialized (select label, vec_id, embedding::double[] as v, row_number() over(partition by label order by vec_id) as rn from embeddings where label is not null and vec_id is not null and embedding is not null),
+near as materialized (select a.label, a.vec_id, list(b.vec_id order by b.vec_id) as before from e a join e b on a.label=b.label and b.vec_id<a.vec_id and list_dot_product(a.v,b.v)>=0.92 group by a.label, a.vec_id),
+g as (select label, rn, vec_id, [vec_id] as heads, vec_id as leader from e where rn=1
+    union all
+    select label, rn, vec_id, case when l is null then list_append(heads, vec_id) else heads end, coalesce(l, vec_id)
+    from (select e.label, e.rn, e.vec_id, g.heads, list_filter(near.before, lambda x: list_contains(g.heads, x))[1] as l
+        from g join e on e.label=g.label and e.rn=g.rn+1 left join near on near.label=e.label and near.vec_id=e.vec_id))
+select label, vec_id, leader from g""")
 def leader_clusters(spark, d):
-    return sequential.leader_clusters(table(spark, d, "embeddings"), key="label", id_col="vec_id", vector="embedding", threshold=0.92)
+    e = table(spark, d, "embeddings").select("label", "vec_id", "embedding")
+    return leaders.first_leaders(e, key="label", order="vec_id", fields="embedding", alike=leaders.dots_at_least(0.92))
+
+
+@query()
+def aligned_marks(spark, d):
+    """The letters of a part's type as uncertain glyphs, and those of its name as the marks that they should be."""
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
+    letters = lambda c: F.posexplode(F.split(F.lower(c), "")).alias("at", "letter")
+    glyphs = p.select("p_partkey", letters("p_type")).withColumn("c", F.ascii("letter") % 7)
+    likely = F.array(*[F.when(F.col("c") == k, 0.7).otherwise(0.05 if k < 7 else 0.02) for k in range(8)])
+    marks = p.select("p_partkey", letters("p_name")).select("p_partkey", "at", (F.ascii("letter") % 7).alias("c"), F.col("letter").isin("a", "e", "i", "o", "u").alias("soft"))
+    done = alignment.align_marks(glyphs.select("p_partkey", "at", likely.alias("p")), marks, key=["p_partkey"], order="at", probabilities="p", mark="c", soft="soft", other=7)
+    return done.select("p_partkey", "mark", "glyph", F.round("cost", 6).alias("cost"))
 
 
 @query("""
