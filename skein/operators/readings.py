@@ -145,13 +145,18 @@ def decode_techniques(text: Column) -> Column:
 def newest_entries(pages: Column, pattern: str, at, size, *, most: int, budget: int) -> Column:
     """A map's entries whose key fits, newest first, ``most`` at most, up to the first that exceeds the budget of their sizes.
 
-    ``at`` and ``size`` are functions of an entry's value.  Equal times go by key.
+    ``at`` and ``size`` are functions of an entry's value; sizes are not negative.  Equal times go by key.
     """
     fit = F.filter(F.map_entries(pages), lambda e: e["key"].rlike(pattern))
     newer = lambda a, b: F.when(at(a["value"]) > at(b["value"]), -1).when(at(a["value"]) < at(b["value"]), 1).when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
     first = F.slice(F.array_sort(fit, newer), 1, most)
-    spent = lambda i: F.aggregate(F.slice(F.transform(first, lambda e: size(e["value"]).cast("bigint")), F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return F.map_from_entries(F.filter(first, lambda e, i: spent(i) <= budget))
+    zero = F.struct(F.lit(0).cast("bigint").alias("spent"), F.lit(0).alias("n"))
+
+    def add(state: Column, e: Column) -> Column:
+        spent = state["spent"] + size(e["value"]).cast("bigint")
+        return F.struct(spent.alias("spent"), (state["n"] + F.when(spent <= budget, 1).otherwise(0)).alias("n"))
+
+    return F.map_from_entries(F.slice(first, F.lit(1), F.aggregate(first, zero, add, lambda s: s["n"])))
 
 
 def union_by_right(left: Column, right: Column) -> Column:

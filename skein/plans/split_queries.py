@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from skein.functions import records
 from skein.operators import blobs, filters, greedy, intervals, splits
 from skein.operators.ordered import positions
 from skein.sources.tables import table
@@ -226,3 +227,20 @@ def pages_committed(spark, d):
     run = commits.committing(pages, folder, ["ts", "page"]).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     return commits.committed(spark, folder, "page bigint, user_id bigint, ts timestamp").select("page", "user_id", "commit")
+
+
+@query("""
+with e as (select user_id, event_type, event_id%10 as s, floor(value*10+0.5) as x, (event_id%80-40)*100.0 as t from events where event_type<>'error'),
+ok as (select *, s<8 and abs(t)<=3600 as good from e)
+select user_id, sha1(event_type) as page, count(*)::double as at, count(*) filter (good) as n_events, coalesce(sum(x) filter (good),0)::bigint as x_tenths from ok group by user_id, event_type""")
+def timings_cleaned(spark, d):
+    """A user's events as a stored JSON record, a page for each type, read back without trust."""
+    e = table(spark, d, "events")
+    t = (F.col("event_id") % 80 - 40) * 100.0
+    row = F.array((F.col("event_id") % 10).cast("double"), F.col("value"), t)
+    pages = e.groupBy("user_id", "event_type").agg(F.count("*").alias("at"), F.collect_list(row).alias("events"))
+    key = F.when(F.col("event_type") == "error", "not a hash").otherwise(F.sha1(F.col("event_type").cast("binary")))
+    stored_ = pages.groupBy("user_id").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(key, F.struct("at", "events")))).alias("pages"))).alias("json"))
+    clean = stored_.select("user_id", F.explode(records.clean_timing(F.col("json"))).alias("page", "p"))
+    tenths = F.aggregate("p.events", F.lit(0).cast("long"), lambda s, x: s + F.round(x["x"] * 10).cast("long"))
+    return clean.select("user_id", "page", F.col("p.at").alias("at"), F.size("p.events").cast("long").alias("n_events"), tenths.alias("x_tenths"))
