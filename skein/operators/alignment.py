@@ -22,6 +22,21 @@ def align_many(cost: np.ndarray, drop: np.ndarray, skip: np.ndarray, n: np.ndarr
     as ``n`` and ``m`` say; what stands beyond is padding.  Of equal ways from the end, pairing goes before leaving an a
     out, and that before leaving a b out.
     """
+    best, move = filled(cost, drop, skip)
+    size, _, columns = cost.shape
+    match = np.full((size, columns), -1)
+    every, i, j = np.arange(size), n.copy(), m.copy()
+    while (open_ := (i > 0) | (j > 0)).any():
+        step = np.where(open_, move[every, i, j], -1)
+        paired = step == 0
+        match[every[paired], j[paired] - 1] = i[paired] - 1
+        i -= (step == 0) | (step == 1)
+        j -= (step == 0) | (step == 2)
+    return match, best[every, n, m]
+
+
+def filled(cost: np.ndarray, drop: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least cost [B, N + 1, M + 1] up to each place, the way there: 0 pair, 1 an a left out, 2 a b left out)."""
     size, rows, columns = cost.shape
     best = np.zeros((size, rows + 1, columns + 1))
     best[:, 1:, 0], best[:, 0, 1:] = np.cumsum(drop, axis=1), np.cumsum(skip, axis=1)
@@ -33,15 +48,7 @@ def align_many(cost: np.ndarray, drop: np.ndarray, skip: np.ndarray, n: np.ndarr
         ways = np.stack([best[:, i - 1, j - 1] + cost[:, i - 1, j - 1], best[:, i - 1, j] + drop[:, i - 1], best[:, i, j - 1] + skip[:, j - 1]])
         move[:, i, j] = ways.argmin(axis=0)
         best[:, i, j] = ways.min(axis=0)
-    match = np.full((size, columns), -1)
-    every, i, j = np.arange(size), n.copy(), m.copy()
-    while (open_ := (i > 0) | (j > 0)).any():
-        step = np.where(open_, move[every, i, j], -1)
-        paired = step == 0
-        match[every[paired], j[paired] - 1] = i[paired] - 1
-        i -= (step == 0) | (step == 1)
-        j -= (step == 0) | (step == 2)
-    return match, best[every, n, m]
+    return best, move
 
 
 def in_blocks(n: np.ndarray, m: np.ndarray) -> Iterator[np.ndarray]:

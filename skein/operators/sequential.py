@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.alignment import filled
+
 BAR, GAP = "|", 0.6
 
 
@@ -48,23 +50,30 @@ def event_cost(a: frozenset, b: frozenset) -> float:
     return 1 - len(a & b) / max(1, len(a), len(b))
 
 
+def event_costs(a: list[frozenset], b: list[frozenset]) -> np.ndarray:
+    """[a, b] of ``event_cost``, by counts of shared notes."""
+    names = {x: k for k, x in enumerate(set().union(*a, *b))}
+    sides = []
+    for events in (a, b):
+        side = np.zeros((len(events), max(len(names), 1)), np.float32)
+        rows = np.repeat(np.arange(len(events)), list(map(len, events)))
+        side[rows, [names[x] for e in events for x in e]] = 1
+        sides.append(side)
+    size = [x.sum(axis=1) for x in sides]
+    cost = 1 - (sides[0] @ sides[1].T).astype(float) / np.maximum(1, np.maximum(size[0][:, None], size[1][None]))
+    bar = [np.array([BAR in e for e in events], bool) for events in (a, b)]
+    either, both = bar[0][:, None] | bar[1][None], bar[0][:, None] & bar[1][None]
+    return np.where(both, 0.0, np.where(either, 1.0, cost))
+
+
 def align(a: list[frozenset], b: list[frozenset], gap: float = GAP) -> list[tuple[int | None, int | None]]:
     """Cheapest in-order pairing of two event lists; pairing is preferred to gaps, gaps in b to gaps in a."""
-    cost = np.array([[event_cost(x, y) for y in b] for x in a]).reshape(len(a), len(b))
-    best = np.zeros((len(a) + 1, len(b) + 1))
-    best[:, 0], best[0, :] = np.arange(len(a) + 1) * gap, np.arange(len(b) + 1) * gap
-    move = np.zeros(best.shape, np.int8)
-    move[:, 0], move[0, :] = 1, 2
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            ways = (best[i - 1, j - 1] + cost[i - 1, j - 1], best[i - 1, j] + gap, best[i, j - 1] + gap)
-            move[i, j] = int(np.argmin(ways))
-            best[i, j] = ways[move[i, j]]
+    _, moves = filled(event_costs(a, b)[None], np.full((1, len(a)), gap), np.full((1, len(b)), gap))
     out: list[tuple[int | None, int | None]] = []
     i, j = len(a), len(b)
     while i or j:
-        step = move[i, j] if i and j else (1 if i else 2)
-        i, j = i - (step != 2), j - (step != 1)
+        step = moves[0, i, j]
+        i, j = i - int(step != 2), j - int(step != 1)
         out.append((i if step != 2 else None, j if step != 1 else None))
     return out[::-1]
 
