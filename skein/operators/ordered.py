@@ -204,10 +204,13 @@ def explode_sequence(df: DataFrame, key, order, start: str, also: str, *, least:
 
 
 def size_budget(df: DataFrame, key, order, size: str, *, budget: int, most: int) -> DataFrame:
-    """Rows in order while their running size stays in the budget; the first overflow ends it."""
-    w = _w(key, order)
-    spent = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("spent", spent).withColumn("rank", F.row_number().over(w)).filter((F.col("spent") <= budget) & (F.col("rank") <= most))
+    """Rows in order while their running size stays in the budget; the first overflow ends it.
+
+    Sizes are not negative.  A key's first ``most`` rows are cut off before they are shuffled; only those are summed up.
+    """
+    first = df.withColumn("rank", F.row_number().over(_w(key, order))).filter(F.col("rank") <= most)
+    spent = F.sum(size).over(_w(key, "rank").rowsBetween(Window.unboundedPreceding, 0))
+    return first.withColumn("spent", spent).filter(F.col("spent") <= budget)
 
 
 def sweep_at(systems: DataFrame, shares: DataFrame, *, key: str, order: str, x0: str, x1: str, share: str) -> DataFrame:
