@@ -49,9 +49,13 @@ class Brute:
                 at += len(of(i))
             ends.append(own)
         cuts = sorted({e for _, e, _ in ends[0]} & {e for _, e, _ in ends[1]})
-        groups, links, lo = [], [], 0
+        groups, links, lo, at = [], [], 0, [0, 0]
         for hi in cuts:
-            x, y = ([t for t in own if lo <= t[0] < hi] for own in ends)
+            x, y = [], []
+            for side, (out, own) in enumerate(((x, ends[0]), (y, ends[1]))):
+                while at[side] < len(own) and own[at[side]][0] < hi:
+                    out.append(own[at[side]])
+                    at[side] += 1
             groups.append(",".join(str(t[2]) for t in x) + "|" + ",".join(str(t[2]) for t in y))
             links += [(p[2], q[2]) for p in x for q in y if max(p[0], q[0]) < min(p[1], q[1])]
             lo = hi
