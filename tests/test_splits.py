@@ -51,9 +51,9 @@ def test_against_recursion(spark, monkeypatch, cell):
 
 
 def test_one_long_key(spark, monkeypatch):
-    """A key with all rows is many slices and splits at each change of its level, five rounds deep."""
+    """A key with all rows is many slices and splits at each change of its level, some rounds deep."""
     monkeypatch.setattr(splits, "SLICE", 64)
-    n, level = 1600, lambda t: 10 * (1 + (t // 50) % 2)
+    n, level = 600, lambda t: 10 * (1 + (t // 50) % 2)
     frames = spark.createDataFrame([(1, t, [level(t)], "", 0) for t in range(n)], FRAMES)
     got = splits.refine_runs(frames, spark.createDataFrame([(1, 0, n - 1)], RUNS), key="user", frame="f", sig="sig", change=0.4, floor=1.0)
     assert {(r.start_f, r.end_f) for r in got.collect()} == set(recursion({t: [level(t)] for t in range(n)}, 0, n - 1, 0.4, 1.0, 8, 4))
