@@ -6,12 +6,17 @@ or one image that holds most pixels, is spread over tasks by its rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.components import connected
 from skein.operators.intervals import within
 
+#: Rows of a tile, and its most columns; with one more at each side a row of it fits a long.
+_TILE = 60
+
 
 def pixel_runs(pixels: DataFrame) -> DataFrame:
     """(image, y, x0, x1): neighbouring pixels of a row as one run; repeats count once, rows with a null go."""
@@ -70,23 +75,39 @@ def ink_difference(a: DataFrame, b: DataFrame, excluded: DataFrame | None = None
     (image, changed, ink_a, ink_b, bins_content, bins_changed, clusters): columns of ``width`` pixels are
     bins; a bin counts with ``least_ink`` pixels of either mask or ``least_changed`` changed ones; changed
     bins with one other between them, or none, are one cluster.  Pixels of ``excluded`` are in no mask, so they lend no
-    tolerance either.  Images without ink have no row; repeats count once.
+    tolerance either.  Images without ink have no row; repeats count once.  The masks are compared in tiles of at most
+    60 columns and 60 rows, whole bins or whole parts of one, so a pixel is sent once, but for those at a tile's edge.
     """
-    sides = []
-    for side, mask in (("a", a), ("b", b)):
-        own = mask.select("image", *[F.col(c).cast("long").alias(c) for c in ("y", "x")]).dropna()
-        own = own if excluded is None else own.join(excluded.select("image", "y", "x"), ["image", "y", "x"], "left_anti")
-        sides.append(own.withColumn("side", F.lit(side)))
-    ink = sides[0].unionAll(sides[1])
-    near = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
-    # each pixel tells its neighbours which sides have ink near them; a bit for each side
-    bit = F.when(F.col("side") == "a", 1).otherwise(2)
-    told = ink.withColumn("d", near).select("image", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), bit.alias("near"), F.when((F.col("d.dy") == 0) & (F.col("d.dx") == 0), bit).otherwise(0).alias("own"))
-    pixels = told.groupBy("image", "y", "x").agg(F.bit_or("near").alias("near"), F.bit_or("own").alias("own")).filter("own > 0")
-    odd = ((F.col("own").bitwiseAND(1) > 0) & (F.col("near").bitwiseAND(2) == 0)) | ((F.col("own").bitwiseAND(2) > 0) & (F.col("near").bitwiseAND(1) == 0))
-    bins = pixels.groupBy("image", F.floor(F.col("x") / width).alias("bin")).agg(
-        F.count_if(odd).alias("odd"), F.count("*").alias("ink"), F.count_if(F.col("own").bitwiseAND(1) > 0).alias("ink_a"), F.count_if(F.col("own").bitwiseAND(2) > 0).alias("ink_b")
+    side = _TILE // width * width if width <= _TILE else max(t for t in range(1, _TILE + 1) if width % t == 0)
+    masks = []
+    for name, mask in (("a", a), ("b", b), ("e", excluded)):
+        if mask is not None:
+            own = mask.select("image", *[F.col(c).cast("long").alias(c) for c in ("y", "x")]).dropna()
+            masks.append(own.select("*", *[F.lit(int(name == n)).cast("long").alias(n) for n in ("a", "b", "e")]))
+    ink = reduce(DataFrame.unionAll, masks)
+    # a tile's rows are longs, bit 0 and the last one for the columns beside it; pixels at its edges go to the tiles there, too
+    for c, size in (("x", side), ("y", _TILE)):
+        place = F.pmod(F.col(c), F.lit(size))
+        ink = ink.withColumn("d", F.explode(F.array(*map(F.lit, (0, -1, 1))))).filter((F.col("d") == 0) | ((F.col("d") < 0) & (place == 0)) | ((F.col("d") > 0) & (place == size - 1)))
+        ink = ink.withColumn(f"t{c}", F.floor(F.col(c) / size) + F.col("d")).drop("d")
+    bit = lambda c: F.bit_or(F.col(c) * F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("x") - F.col("tx") * side + 1).cast("int")))
+    rows = ink.groupBy("image", "ty", "tx", "y").agg(*[bit(c).alias(c) for c in ("a", "b", "e")])
+    rows = rows.select("image", "ty", "tx", "y", *[F.col(c).bitwiseAND(F.bitwise_not("e")).alias(c) for c in ("a", "b")])
+    order = Window.partitionBy("image", "ty", "tx").orderBy("y")
+    near = lambda c: reduce(
+        Column.bitwiseOR, [F.col(c), *[F.when(step(F.col("y"), 1).over(order) == F.col("y") + d, step(F.col(c), 1).over(order)).otherwise(0) for step, d in ((F.lag, -1), (F.lead, 1))]]
+    )
+    wide = lambda c: F.col(c).bitwiseOR(F.shiftleft(c, 1)).bitwiseOR(F.shiftright(c, 1))
+    rows = rows.withColumn("__a", near("a")).withColumn("__b", near("b")).filter(F.floor(F.col("y") / _TILE) == F.col("ty"))
+    odd = F.col("a").bitwiseAND(F.bitwise_not(wide("__b"))).bitwiseOR(F.col("b").bitwiseAND(F.bitwise_not(wide("__a"))))
+    rows = rows.select("image", "tx", "a", "b", odd.alias("odd"))
+    part = min(width, side)  # of a bin, or the whole bin
+    mask = F.call_function("shiftleft", F.lit((1 << part) - 1).cast("long"), (F.col("k") * part + 1).cast("int"))
+    bins = rows.withColumn("k", F.explode(F.array(*map(F.lit, range(side // part))))).select(
+        "image", F.floor((F.col("tx") * side + F.col("k") * part) / width).alias("bin"), *[F.bit_count(F.col(c).bitwiseAND(mask)).alias(c) for c in ("a", "b", "odd")],
+        F.bit_count(F.col("a").bitwiseOR(F.col("b")).bitwiseAND(mask)).alias("ink"),
     )
+    bins = bins.filter("ink > 0").groupBy("image", "bin").agg(F.sum("odd").alias("odd"), F.sum("ink").alias("ink"), F.sum("a").alias("ink_a"), F.sum("b").alias("ink_b"))
     changed = F.when(F.col("odd") >= least_changed, F.col("bin"))
     before = F.last(changed, ignorenulls=True).over(Window.partitionBy("image").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     begins = F.col("now").isNotNull() & (F.col("before").isNull() | (F.col("now") - F.col("before") > 2))

@@ -103,6 +103,32 @@ def test_difference(spark):
     assert got == want and want["alike"][0] == 0 and len({w[5] for w in want.values()}) > 1
 
 
+def test_difference_at_edges_of_tiles(spark):
+    """Bins of any width, ink on both sides of zero and across several tiles."""
+    g = random.Random(5)
+    some = lambda n: {(g.randrange(-70, 70), g.randrange(0, 260)) for _ in range(n)}
+    pairs = {k: (some(900), some(900), some(200)) for k in "ab"}
+    a, b, out = (spark.createDataFrame([(k, *p) for k, m in pairs.items() for p in m[i]], "image string, y int, x int") for i in range(3))
+    for width in (8, 7, 1, 60, 100, 67):
+        got = {r.image: tuple(r)[1:] for r in blobs.ink_difference(a, b, out, width=width, least_ink=5, least_changed=3).collect()}
+        assert got == {k: plain_difference(*m, width, 5, 3) for k, m in pairs.items()}, width
+
+
+def shuffled(spark, df):
+    """Rows that the stages of ``df`` send each other."""
+    sc, store = spark.sparkContext, spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    total = lambda: sum(stages().apply(i).shuffleWriteRecords() for i in range(stages().size()))
+    before = total()
+    df.write.format("noop").mode("overwrite").save()
+    return total() - before
+
+
+def test_difference_sends_no_row_for_each_neighbour(spark):
+    ink = spark.range(200 * 200).select(F.lit("i").alias("image"), F.floor(F.col("id") / 200).alias("y"), (F.col("id") % 200).alias("x")).repartition(4)
+    assert shuffled(spark, blobs.ink_difference(ink, ink)) < 1.5 * 2 * 200 * 200
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(300)] + [(1000, 1001), (1001, 1000), (5, 5), (7, 7), (None, 3), (2000, None)] + [(5000, 6000 + i) for i in range(300)]
     got = {r.node: r.root for r in components.connected(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
