@@ -1,4 +1,4 @@
-"""Rules of requests, releases and names: refusals, claims, headers and templates, as column expressions."""
+"""Rules of requests, releases and names: refusals, claims, assets, headers and templates, as column expressions."""
 
 from __future__ import annotations
 
@@ -42,6 +42,19 @@ def takeover_wait(me: Column, claimant: Column, claimed: Column, owner: Column,
     return F.when(held, F.greatest(F.lit(5), F.ceil(F.lit(claim) - age))).when(busy, F.greatest(F.lit(30), F.ceil(left))).cast("bigint")
 
 
+def pick_asset(names: Column, platform: str, arm: bool = False) -> Column:
+    """The first of the file names that fits a platform (darwin, win32, linux or appimage), else null.
+
+    A name fits by its ending and by whether it says arm64, without regard to case; a package of linux ends in its
+    machine's name.  An arm64 machine of win32 runs the other installer where none is its own.
+    """
+    ending = {"darwin": ".dmg", "win32": ".exe", "linux": "_arm64.deb" if arm else "_amd64.deb", "appimage": ".appimage"}.get(platform)
+    if ending is None:
+        return F.lit(None).cast("string")
+    first = lambda own: F.get(F.filter(names, lambda n: F.endswith(F.lower(n), F.lit(ending)) & (F.contains(F.lower(n), F.lit("arm64")) == own)), F.lit(0))
+    return F.coalesce(first(F.lit(True)), first(F.lit(False))) if arm and platform == "win32" else first(F.lit(arm))
+
+
 def sha256_digest(c: Column) -> Column:
     """``sha256:`` and 64 hexadecimal digits, lower-cased; else null."""
     return F.when(c.rlike(r"(?i)\Asha256:[0-9a-f]{64}\z"), F.lower(c))

@@ -56,3 +56,10 @@ def test_claims_and_caches(spark):
     want = {"w2": L(2), "h2": L(3), "crop": none()}
     fits = lambda meta, frames, size: rules.cache_fits({**want, **meta}, want, L(frames).cast("int"), L(True), L(size))
     assert one(spark, fits({}, 2, 12), fits({}, 2, 13), fits({}, 0, 0), fits({}, None, 0), fits({"crop": L("x")}, 2, 12)) == (True, False, False, False, False)
+
+
+def test_assets(spark):
+    files = F.array(L("a-x64.exe"), L("a-ARM64.dmg"), L("a.dmg"), none(), L("a_amd64.deb"), L("a-arm64.dmg.zip"))
+    got = one(spark, *[rules.pick_asset(files, p, a) for p, a in (("win32", True), ("darwin", True), ("darwin", False), ("linux", True), ("linux", False), ("plan9", True))])
+    assert got == ("a-x64.exe", "a-ARM64.dmg", "a.dmg", None, "a_amd64.deb", None)
+    assert one(spark, rules.pick_asset(F.array(L("b.exe"), L("b-arm64.EXE")), "win32", True), rules.pick_asset(F.array(L("b-arm64.exe")), "win32")) == ("b-arm64.EXE", None)
