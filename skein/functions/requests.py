@@ -142,6 +142,20 @@ def fill(template: Column, values: Column) -> Column:
     return F.array_join(F.flatten(F.zip_with(F.split(template, r"\{\{\w+\}\}"), said, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
 
 
+def recorder_error(name: Column) -> Column:
+    """What an error of a recorder means: denied, nodevice, busy or failed."""
+    means = {"denied": ("NotAllowedError", "SecurityError"), "nodevice": ("NotFoundError", "OverconstrainedError"), "busy": ("NotReadableError", "AbortError")}
+    return F.coalesce(*[F.when(name.isin(*names), code) for code, names in means.items()], F.lit("failed"))
+
+
+def recorder_warnings(rate: Column, label: Column, kept: dict[str, Column]) -> Column:
+    """Codes of what spoils a recording: ``narrow`` up to 16 kHz or else ``headset``, then the processing that stayed on."""
+    said = F.lower(label)
+    worn = said.contains("hands-free") | said.contains("airpods") | said.contains("headset")
+    sound = F.when((rate > 0) & (rate <= 16000), "narrow").when(worn, "headset")
+    return F.array_compact(F.array(sound, *[F.when(c, F.lit(n)) for n, c in kept.items()]))
+
+
 def cache_fits(meta: dict[str, Column], wanted: dict[str, Column], frames: Column, calibrated: Column, size: Column) -> Column:
     """Whether a stored cache may be used: all wanted fields equal (nulls too), frames, a calibration and the right size.
 

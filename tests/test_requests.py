@@ -63,3 +63,11 @@ def test_assets(spark):
     got = one(spark, *[rules.pick_asset(files, p, a) for p, a in (("win32", True), ("darwin", True), ("darwin", False), ("linux", True), ("linux", False), ("plan9", True))])
     assert got == ("a-x64.exe", "a-ARM64.dmg", "a.dmg", None, "a_amd64.deb", None)
     assert one(spark, rules.pick_asset(F.array(L("b.exe"), L("b-arm64.EXE")), "win32", True), rules.pick_asset(F.array(L("b-arm64.exe")), "win32")) == ("b-arm64.EXE", None)
+
+
+def test_recorders(spark):
+    names = ("SecurityError", "OverconstrainedError", "NotReadableError", "TypeError", None)
+    assert one(spark, *[rules.recorder_error(L(x).cast("string")) for x in names]) == ("denied", "nodevice", "busy", "failed", "failed")
+    kept = {"echo": L(True), "gain": L(None).cast("boolean")}
+    warn = lambda rate, label: rules.recorder_warnings(L(rate).cast("int"), L(label).cast("string"), kept)
+    assert one(spark, warn(16000, "A HEADSET"), warn(16001, "Hands-Free"), warn(0, None), warn(None, "mic")) == (["narrow", "echo"], ["headset", "echo"], ["echo"], ["echo"])
