@@ -147,6 +147,29 @@ def test_short_chunks_together_are_as_each_alone(vocabulary, listed):
         assert ids[ends[k] : ends[k + 1]].tolist() == vocabulary.search(c, 2)[0][1]
 
 
+def test_short_chunks_leave_the_queue_best_first(monkeypatch):
+    """The search for many chunks at once gives what the queue of each alone gives."""
+    g = random.Random(3)
+    words = {bytes(g.choices(b"abc", k=g.randrange(1, 4))): None for _ in range(20)}
+    vocabulary = pieces.Pieces({w: (256 + i, -float(g.randrange(1, 9))) for i, w in enumerate(words)}, list(range(256)), 256 + len(words))
+    chunks = [bytes(g.choices(b"abc", k=g.randrange(1, 9))) for _ in range(60)]
+    size = np.array([len(c) for c in chunks])
+    got, real = {}, pieces._backward
+
+    def five(*args):
+        found, edge, back = real(*args[:-1], 5)
+        for who, score, _ in found:
+            for k, x in zip(who.tolist(), score.tolist(), strict=True):
+                got.setdefault(k, []).append(x)
+        return real(*args)
+
+    monkeypatch.setattr(pieces, "_backward", five)
+    _, _, score, gap = vocabulary.segment(np.frombuffer(b"".join(chunks), np.uint8), np.cumsum(size) - size, size)
+    for k, c in enumerate(chunks):
+        want = [x for x, _ in vocabulary.search(c, 5)]
+        assert got[k] == want and score[k] == want[0] and gap[k] == (want[0] - want[1] if len(want) > 1 else -1)
+
+
 def test_long_chunks(vocabulary):
     """No cut for 300,000 bytes; ties all along."""
     began = time.time()
