@@ -6,16 +6,23 @@ or one image that holds most pixels, is spread over tasks by its rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.components import connected
 from skein.operators.intervals import within
+from skein.sources.stages import stored
 
 #: Rows of a tile, and its most columns; with one more at each side a row of it fits a long.
 _TILE = 60
+#: Rows and columns of a cell in which parts are labelled in one go.
+_CELL = 64, 1024
 
 
 def pixel_runs(pixels: DataFrame) -> DataFrame:
@@ -28,20 +35,81 @@ def pixel_runs(pixels: DataFrame) -> DataFrame:
 def parts(runs: DataFrame) -> DataFrame:
     """``runs`` (which must not overlap in a row) with ``root``: the first run, in reading order, of the 8-connected part.
 
-    Runs of neighbouring rows touch if one begins within the other or at its corner.  Parts come from the
-    touching pairs by rounds of joins.
+    Runs of neighbouring rows touch if one begins within the other or at its corner.  Cells of ``_CELL`` rows and columns
+    are labelled by themselves, many in a task; only what touches across the edges of cells goes through rounds of joins.
     """
-    own = runs.select("image", "y", "x0", "x1")
-    upper = own.select("image", (F.col("y") + 1).alias("row"), F.struct("image", "y", "x0").alias("a"), F.col("x0").alias("ax0"), F.col("x1").alias("ax1"))
-    lower = own.select("image", F.col("y").alias("row"), F.struct("image", "y", "x0").alias("b"), F.col("x0").alias("bx0"), F.col("x1").alias("bx1"))
-    reach_a = upper.select("image", "row", "a", (F.col("ax0") - 1).alias("lo"), (F.col("ax1") + 1).alias("hi"))
-    reach_b = lower.select("image", "row", "b", (F.col("bx0") - 1).alias("lo"), (F.col("bx1") + 1).alias("hi"))
-    begins_in_a = within(lower.select("image", "row", "b", "bx0"), reach_a, key=["image", "row"], at="bx0", lo="lo", hi="hi").select("a", "b")
-    begins_in_b = within(upper.select("image", "row", "a", "ax0"), reach_b, key=["image", "row"], at="ax0", lo="lo", hi="hi").select("a", "b")
-    roots = connected(begins_in_a.unionAll(begins_in_b))
-    named = runs.withColumn("__node", F.struct("image", "y", "x0")).join(roots, F.col("__node") == F.col("node"), "left")
-    root = F.coalesce(F.col("root"), F.col("__node"))
-    return named.select(*runs.columns, F.struct(root["y"].alias("y"), root["x0"].alias("x0")).alias("root"))
+    high, across = _CELL
+    cell = F.explode(F.sequence(F.floor(F.col("x0") / across), F.floor(F.col("x1") / across)))
+    cut = runs.withColumn("__tx", cell).withColumn("__ty", F.floor(F.col("y") / high)).withColumn("__a", F.greatest("x0", F.col("__tx") * across)).withColumn("__z", F.least("x1", F.col("__tx") * across + across - 1))
+    order = ["image", "__ty", "__tx"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
+    local = stored(cut.repartition(*order).sortWithinPartitions(*order, "y", "__a").mapInArrow(_labelled(high, across), f"{kinds}, __ry bigint, __rx bigint"))
+    edge = local.filter((F.pmod("y", F.lit(high)).isin(0, high - 1)) | (F.col("__a") == F.col("__tx") * across) | (F.col("__z") == F.col("__tx") * across + across - 1))
+    edge = edge.select("image", F.col("y").cast("long").alias("row"), *[F.col(c).cast("long").alias(c) for c in ("__a", "__z")], F.struct("image", F.col("__ry").alias("y"), F.col("__rx").alias("x0")).alias("own"))
+    pairs = []
+    for d in (1, 0):  # the row below, and the same row
+        upper = edge.select("image", (F.col("row") + d).alias("row"), F.col("own").alias("a"), "__a", (F.col("__a") - 1).alias("lo"), (F.col("__z") + 1).alias("hi"))
+        lower = edge.select("image", "row", F.col("own").alias("b"), "__a", (F.col("__a") - 1).alias("lo"), (F.col("__z") + 1).alias("hi"))
+        for one, other in ((lower, upper), (upper, lower))[: 1 + d]:
+            met = within(one.drop("lo", "hi"), other.drop("__a"), key=["image", "row"], at="__a", lo="lo", hi="hi")
+            pairs.append(met.filter("a <> b").select("a", "b"))
+    pairs = stored(reduce(DataFrame.unionAll, pairs).distinct())
+    first = local.filter(F.col("__a") == F.col("x0"))
+    if pairs.isEmpty():
+        return first.select(*runs.columns, F.struct(F.col("__ry").alias("y"), F.col("__rx").alias("x0")).alias("root"))
+    roots = connected(pairs).select(F.col("node.image").alias("__image"), F.col("node.y").alias("__y"), F.col("node.x0").alias("__x"), "root")
+    named = first.join(roots, (F.col("image") == F.col("__image")) & (F.col("__ry") == F.col("__y")) & (F.col("__rx") == F.col("__x")), "left")
+    return named.select(*runs.columns, F.struct(F.coalesce("root.y", "__ry").alias("y"), F.coalesce("root.x0", "__rx").alias("x0")).alias("root"))
+
+
+def _labelled(high: int, across: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs (image, __ty, __tx, y, __a, __z), sorted by these, with the first run (__ry, __rx) of their part within their cell."""
+
+    def label(t: pa.Table, new: np.ndarray) -> pa.Table:
+        y, x0, x1, tx = (t[c].to_numpy() for c in ("y", "__a", "__z", "__tx"))
+        row, left = (np.cumsum(new) * (high + 1) + y % high) * (across + 4) + 2, tx * across
+        x0, x1 = row + x0 - left, row + x1 - left  # ends of all runs on one line, in order
+        lo = np.searchsorted(x1, x0 + across + 3)
+        hi = np.searchsorted(x0, x1 + across + 5, "right")
+        many = np.maximum(hi - lo, 0)
+        a = np.repeat(np.arange(len(y)), many)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + lo[a]
+        root = np.arange(len(y))
+        while True:
+            least = np.minimum(root[a], root[b])
+            before = root.copy()
+            np.minimum.at(root, before[a], least)
+            np.minimum.at(root, before[b], least)
+            root = root[root]
+            if np.array_equal(root, before):
+                break
+        return t.append_column("__ry", pa.array(y[root].astype(np.int64))).append_column("__rx", pa.array(t["__a"].to_numpy()[root].astype(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            new = _begins(held)
+            last = int(np.flatnonzero(new)[-1])
+            if last:
+                yield from label(held.slice(0, last), new[:last]).to_batches()
+                held = held.slice(last)
+        if held is not None:
+            yield from label(held, _begins(held)).to_batches()
+
+    return run
+
+
+def _begins(t: pa.Table) -> np.ndarray:
+    """Whether each row is of another cell than the row before; rows without an image are alone."""
+    new = np.ones(len(t), bool)
+    for i, c in enumerate(("image", "__ty", "__tx")):
+        other = pc.fill_null(pc.not_equal(t[c].slice(1), t[c].slice(0, len(t) - 1)), True).to_numpy()
+        new[1:] = other if i == 0 else new[1:] | other
+    return new
 
 
 def part_boxes(labelled: DataFrame) -> DataFrame:

@@ -81,6 +81,16 @@ def test_small_and_large_parts_go(spark):
     assert pixels(blobs.without_small(runs, 4)) == small and pixels(blobs.glyphs_only(runs, 2.0)) == glyphs
 
 
+def test_parts_across_cells(spark, monkeypatch):
+    monkeypatch.setattr(blobs, "_CELL", (5, 7))
+    test_parts(spark)
+
+
+def test_parts_of_small_images_need_no_joins(spark, monkeypatch):
+    monkeypatch.setattr(blobs, "connected", None)
+    test_parts(spark)
+
+
 def plain_difference(a, b, out, width, ink, changed):
     a, b = a - out, b - out
     near = lambda m, y, x: any((y + dy, x + dx) in m for dy in (-1, 0, 1) for dx in (-1, 0, 1))
