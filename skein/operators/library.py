@@ -6,12 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import contains_all, fold, folded, natural_key
+from skein.sources.stages import arrow_batches
 
 
 def search(docs: DataFrame, query: str, fields: list[str], *, ascii_only: bool = False) -> DataFrame:
-    """Rows whose fields together contain every term; NFKC folding unless the text is known ASCII."""
+    """Rows whose fields together contain every term; NFKC folding unless the text is known ASCII.
+
+    Only texts that are not ASCII are folded in Python, in batches of bounded size.
+    """
     hay = F.concat_ws("\n", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
-    return docs.filter(contains_all(F.lower(hay) if ascii_only else fold(hay), query.lower()))
+    if ascii_only:
+        return docs.filter(contains_all(F.lower(hay), query.lower()))
+    arrow_batches(docs.sparkSession)
+    beyond = hay.rlike(r"[^\x00-\x7f]")
+    return docs.filter(contains_all(F.coalesce(fold(F.when(beyond, hay)), F.lower(hay)), query.lower()))
 
 
 #: Sort orders of the library list: columns (title, artist, updated, added, pages); ``who`` is the artist or else the channel.

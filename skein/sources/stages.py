@@ -29,3 +29,10 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/rounds-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def arrow_batches(spark: SparkSession, rows: int = 500, mb: int = 4) -> None:
+    """Bound what one Arrow batch of whole texts holds, unless the session already says so."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))

@@ -1,13 +1,15 @@
 import random
+import unicodedata
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import numeric, text
 from skein.functions.nets import Dense, forward
-from skein.operators import joins, ordered, ranks, raster, scoring, sequential
+from skein.operators import joins, library, ordered, ranks, raster, scoring, sequential
 from skein.sources import synthetic
 
 
@@ -291,3 +293,25 @@ def test_quantised_net():
     x = g.standard_normal((200, 20))
     exact = np.maximum(x @ w[0], 0) @ w[1]
     assert np.mean(forward(layers, x).argmax(axis=1) == exact.argmax(axis=1)) > 0.95
+
+
+def test_events_of_notes_look_at_each_note_once(spark):
+    df = spark.createDataFrame([("1:5  2:x",), ("1:5 1:3",), ("1:5,",), ("|",), ("1:,",), (None,)], "e string").select(text.parse_event(F.col("e")).alias("p"), text.parse_note(F.concat("e", F.lit("\n"))).alias("n"))
+    assert [r.p and (r.p.bar, len(r.p.notes)) for r in df.collect()] == [(False, 2), None, None, (True, 0), None, None]
+    plan = df.select("p")._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("rlike") + plan.count("regexp_") + plan.count("regexp(") < 8
+    one = spark.createDataFrame([("1:5\n",)], "e string").select(text.parse_note(F.col("e")).alias("n")).first().n
+    assert one.fret == 5 and not one.unsure
+
+
+def test_search_folds_only_what_is_not_ascii(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(s: pd.Series) -> pd.Series:
+        seen.add(int(s.notna().sum()))
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).lower())
+
+    monkeypatch.setattr(library, "fold", counted)
+    docs = spark.createDataFrame([(i, "The PLAIN one") for i in range(50)] + [(50, "ＴＨＥ plain É"), (51, None)], "id int, text string")
+    assert sorted(r.id for r in library.search(docs, "the plain", ["text"]).collect()) == list(range(51)) and seen.value == 1
