@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,6 +37,8 @@ def note_name(midi: Column) -> Column:
 
 #: string ':' lead? body bend? flags; only a number, or a grace note's, may bend; see parse_note.
 NOTE_PATTERN = r"^([1-6]):([hps/\\]?)(?:(g?)(\d{1,2})(?:([br])(\d{1,2}))?|([xX])|\((\d{1,2})\)|<(\d{1,2})>)(~?)(\??)$"
+#: Its groups, with commas between; no group holds one.
+_PARTS = "," + ",".join(f"${i}" for i in range(1, 12))
 
 
 def parse_note(note: Column) -> Column:
@@ -44,10 +47,20 @@ def parse_note(note: Column) -> Column:
     ``bend`` is the fret that a bend or a release ends at.  ``tech`` lists all marks: vibrato, bend or
     release, lead, kind.
     """
-    part = [F.regexp_extract(note, NOTE_PATTERN, i) for i in range(12)]
+    return _bound(F.split(F.regexp_replace(F.when(note.rlike(NOTE_PATTERN), note), NOTE_PATTERN + r"[\s\S]*", _PARTS), ","), _note)
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _note(parts: Column) -> Column:
+    """What ``parse_note`` makes of the groups of its pattern; null of null."""
+    part = [F.get(parts, F.lit(i)) for i in range(12)]
     number = lambda c: F.when(c != "", c.cast("int"))
     fret = F.coalesce(number(part[4]), number(part[8]), number(part[9]))
-    ok = note.rlike(NOTE_PATTERN) & (fret.isNull() | (fret <= 24))
+    ok = parts.isNotNull() & (fret.isNull() | (fret <= 24))
     marks = [(part[10] != "", F.lit("~")), (part[5] != "", part[5]), (part[2] != "", part[2]), (part[8] != "", F.lit("ghost")), (part[9] != "", F.lit("harm")), (part[3] != "", F.lit("grace")), (part[7] != "", F.lit("x"))]
     tech = F.filter(F.array(*[F.when(c, v) for c, v in marks]), lambda t: t.isNotNull())
     return F.when(
@@ -62,10 +75,13 @@ def parse_note(note: Column) -> Column:
 def parse_event(event: Column) -> Column:
     """Notes apart by white space as struct(bar, notes), or null: each has to be a note, and no string is named twice.  ``|`` is a bar."""
     tokens = F.split(F.trim(event), r"\s+")
-    notes = F.transform(tokens, parse_note)
-    good = ~F.exists(notes, lambda n: n.isNull()) & (F.size(F.array_distinct(F.transform(notes, lambda n: n["string"]))) == F.size(notes))
     bar = F.trim(event) == "|"
-    return F.when(bar, F.struct(F.lit(True).alias("bar"), F.slice(notes, 1, 0).alias("notes"))).when(good, F.struct(F.lit(False).alias("bar"), notes.alias("notes")))
+
+    def of(notes: Column) -> Column:
+        good = ~F.exists(notes, lambda n: n.isNull()) & (F.size(F.array_distinct(F.transform(notes, lambda n: n["string"]))) == F.size(notes))
+        return F.when(bar, F.struct(F.lit(True).alias("bar"), F.slice(notes, 1, 0).alias("notes"))).when(good, F.struct(F.lit(False).alias("bar"), notes.alias("notes")))
+
+    return _bound(F.transform(tokens, parse_note), of)
 
 
 def version_key(v: Column) -> Column:
