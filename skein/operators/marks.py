@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _median(values: Column) -> Column:
-    """Mean of the two middle values, the middle one of an odd number."""
-    s, n = F.array_sort(values), F.size(values)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+def _middle(ordered: Column, n: Column) -> Column:
+    """Mean of the two middle ones of ``n`` ordered values, the middle one of an odd number."""
+    return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
 
 
 def even_groups(lines: DataFrame, key: str, *, y: str, x0: str, x1: str, least: int = 4, most: int = 7) -> DataFrame:
@@ -18,16 +19,21 @@ def even_groups(lines: DataFrame, key: str, *, y: str, x0: str, x1: str, least:
     (key, y0, y1, n, spacing, regularity, span).  Spacings of 3 to 60; gaps differ from their median by 15 % at most
     (1.01 if that is more); each line covers 70 % of the median span.  A row looks at the ``most`` lines from its own on.
     """
-    at = F.struct(F.col(y).cast("double").alias("y"), F.col(x0).cast("double").alias("a"), F.col(x1).cast("double").alias("b"))
-    ahead = F.collect_list(at).over(Window.partitionBy(key).orderBy(y, x0, x1).rowsBetween(0, most - 1))
-    d = lines.filter(F.col(y).isNotNull()).select(key, ahead.alias("l")).withColumn("n", F.explode(F.sequence(F.lit(least), F.lit(most)))).filter(F.size("l") >= F.col("n"))
-    d = d.withColumn("l", F.slice("l", 1, F.col("n")))
-    gaps = F.zip_with(F.slice("l", 2, F.col("n") - 1), F.slice("l", 1, F.col("n") - 1), lambda p, q: p["y"] - q["y"])
-    d = d.withColumn("g", gaps).withColumn("spacing", _median(F.col("g"))).withColumn("a", _median(F.col("l.a"))).withColumn("b", _median(F.col("l.b")))
-    d = d.withColumn("far", F.array_max(F.transform("g", lambda g: F.abs(g - F.col("spacing"))))).withColumn("tol", F.greatest(F.col("spacing") * 0.15, F.lit(1.01))).withColumn("span", F.col("b") - F.col("a") + 1)
-    covers = F.forall("l", lambda p: F.least(p["b"], F.col("b")) - F.greatest(p["a"], F.col("a")) + 1 >= F.col("span") * 0.7)
-    good = d.filter(F.col("spacing").between(3, 60) & (F.col("far") <= F.col("tol")) & covers)
-    return good.select(key, F.get("l.y", F.lit(0)).alias("y0"), F.element_at("l.y", -1).alias("y1"), "n", "spacing", (1 - F.col("far") / F.col("tol")).alias("regularity"), "span")
+    w = Window.partitionBy(key).orderBy(y, x0, x1)
+    ahead = lambda c, i: F.lead(F.col(c).cast("double"), i).over(w)
+    d = lines.filter(F.col(y).isNotNull()).select(key, *[ahead(c, i).alias(f"{n}{i}") for i in range(most) for n, c in (("__y", y), ("__a", x0), ("__b", x1))])
+    d = d.withColumn("n", F.explode(F.array(*map(F.lit, range(least, most + 1))))).withColumn("y1", F.get(F.array(*[f"__y{i}" for i in range(most)]), F.col("n") - 1)).filter("y1 IS NOT NULL")
+    gaps = F.slice(F.array(*[F.col(f"__y{i + 1}") - F.col(f"__y{i}") for i in range(most - 1)]), F.lit(1), F.col("n") - 1)
+    d = d.withColumn("g", F.sort_array(gaps)).withColumn("spacing", _middle(F.col("g"), F.col("n") - 1))
+    far = F.greatest(F.get("g", F.col("n") - 2) - F.col("spacing"), F.col("spacing") - F.get("g", F.lit(0)))
+    d = d.withColumn("far", far).withColumn("tol", F.greatest(F.col("spacing") * 0.15, F.lit(1.01))).filter(F.col("spacing").between(3, 60) & (F.col("far") <= F.col("tol")))
+    for c in ("a", "b"):  # lines without an end come last
+        ends = F.sort_array(F.slice(F.array(*[F.coalesce(f"__{c}{i}", F.lit(float("nan"))) for i in range(most)]), F.lit(1), F.col("n")))
+        d = d.withColumn(c, F.nullif(_middle(ends, F.col("n")), F.lit(float("nan"))))
+    d = d.withColumn("span", F.col("b") - F.col("a") + 1)
+    covers = lambda i: (F.col("n") <= i) | (F.least(f"__b{i}", "b") - F.greatest(f"__a{i}", "a") + 1 >= F.col("span") * 0.7)
+    good = d.filter(reduce(Column.__and__, map(covers, range(most))))
+    return good.select(key, F.col("__y0").alias("y0"), "y1", "n", "spacing", (1 - F.col("far") / F.col("tol")).alias("regularity"), "span")
 
 
 def line_coverage(pixels: DataFrame, key: str, *, line: str, hit: Column, share: float = 0.35) -> DataFrame:

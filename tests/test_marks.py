@@ -41,3 +41,12 @@ def test_tracking(spark):
     assert [got["a", t] for t in (0, 4, 10, 11, 12, 13, 29)] == [1.0, 1.0, 1.0, 2.0, 4.0, 8.0, 100.0]
     d = {(r["k"], r["t"]): (r["cents"], r["told"]) for r in tracking.drift(df, key="k", order="t", value="v", alpha=0.5, step=0.6).collect()}
     assert [d["a", t] for t in range(4)] == [(0.5, False), (0.75, True), (0.875, False), (0.9375, False)] and ("a", 4) not in d and d["b", 0] == (2.5, True)
+
+
+def test_even_groups_without_lambdas(spark):
+    """No list of lines is built and walked for each row; a line without an end does not spoil its group."""
+    rows = [("p", 10.0 * i, None if i == 2 else 0.0, 50.0) for i in range(5)]
+    found = marks.even_groups(spark.createDataFrame(rows, "page string, y double, a double, b double"), "page", y="y", x0="a", x1="b")
+    assert sorted((r.y0, r.y1, r.n, r.spacing, r.regularity, r.span) for r in found.collect()) == [(0.0, 30.0, 4, 10.0, 1.0, 51.0), (0.0, 40.0, 5, 10.0, 1.0, 51.0), (10.0, 40.0, 4, 10.0, 1.0, 51.0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "lambda" not in plan and "collect_list" not in plan
