@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.sources.stages import stored
+
 
 def nearest_within(left: DataFrame, right: DataFrame, *, key: str, left_id: str, right_id: str, left_at: str, right_at: str, tol: float) -> DataFrame:
     """Each left row's nearest right row of its key within ``tol``; the smaller right id of equals.
@@ -65,6 +69,45 @@ def similar_pairs(df: DataFrame, *, id_col: str, vector: str, bucket: list[str],
     return a.join(b, bucket).filter("a < b").withColumn("dot", dot).filter(F.col("dot") >= threshold).select(*bucket, "a", "b", "dot")
 
 
+#: Cells that follow a cell or are it; of two neighbouring cells each one is ahead of the other once.
+_AHEAD, _AROUND = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)], [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1)]
+
+
+def signature_pairs(df: DataFrame, *, id_col: str, counts: list[Column], bucket: list[str], below: float) -> DataFrame:
+    """Pairs (a < b) of one bucket whose counts differ by less than ``below`` (under 1): (bucket, a, b, distance).
+
+    The distance is L1 over the larger sum, 1 at least; counts are whole numbers from 0.  Of a pair, the smaller sum is over
+    1 - ``below`` of the larger, so their logarithms fall into one level or two adjacent ones.  A level bounds
+    L1, and with it the difference of two sums of counts with signs: these are the coordinates of cells
+    as wide as that bound.  A row meets its cell and those ahead in its own level, and all cells around its
+    place in the next level; each pair meets once, and few meet that are not near.
+    """
+    g = [f"__g{i}" for i in range(len(counts))]
+    rows = df.select(*bucket, F.col(id_col).alias("__id"), *[c.cast("long").alias(n) for c, n in zip(counts, g)])
+    rows = stored(rows).dropna(subset=[*bucket, *g])  # after the counts, which a filter would take twice
+    signed = lambda plus: sum((F.col(n) if plus(i) else -F.col(n) for i, n in enumerate(g)), F.lit(0).cast("long"))
+    # a twentieth wider than needed, so that no rounding parts a pair
+    step = -1.05 * math.log1p(-below)
+    level = F.floor(F.log(F.greatest(F.col("__m"), F.lit(1))) / step)
+    width = lambda at: F.greatest(F.lit(1.0), F.exp((at + 1) * step) * (below * 1.001))
+    place = lambda at: [F.floor(F.col(c) / width(at)) for c in ("__p", "__q")]
+    rows = rows.withColumns({"__m": signed(lambda i: True), "__p": signed(lambda i: 2 * i < len(g)), "__q": signed(lambda i: i % 2 == 0)}).withColumn("__l", level)
+
+    def met(at: Column, offsets: list[tuple[int, int]]) -> list[Column]:
+        x, y = place(at)
+        return [F.struct(at.alias("l"), (x + i).alias("x"), (y + j).alias("y"), F.lit(i == j == 0 and offsets is _AHEAD).alias("own")) for i, j in offsets]
+
+    cell = ["__l", "__x", "__y"]
+    x, y = place(F.col("__l"))
+    home = rows.select(*bucket, "__l", x.alias("__x"), y.alias("__y"), F.col("__id").alias("__b"), F.col("__m").alias("__mb"), *[F.col(n).alias(f"{n}b") for n in g])
+    asks = rows.withColumn("__c", F.explode(F.array(*met(F.col("__l"), _AHEAD), *met(F.col("__l") + 1, _AROUND))))
+    asks = asks.select(*bucket, *[F.col(f"__c.{c[2:]}").alias(c) for c in cell], F.col("__c.own").alias("__own"), F.col("__id").alias("__a"), F.col("__m").alias("__ma"), *g)
+    dist = sum((F.abs(F.col(n) - F.col(f"{n}b")) for n in g), F.lit(0).cast("long")) / F.greatest("__ma", "__mb", F.lit(1))
+    near = (F.col("__a") < F.col("__b")) | (~F.col("__own") & (F.col("__a") > F.col("__b")))
+    pairs = asks.join(home, [*bucket, *cell]).filter(near & (dist < below))
+    return pairs.select(*bucket, F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b"), dist.alias("distance"))
+
+
 def content_classes(df: DataFrame, content: str, id_col: str) -> DataFrame:
     """(sha1, first id, rows) of each distinct content; nulls are left out."""
     return df.filter(F.col(content).isNotNull()).groupBy(F.sha1(F.col(content).cast("binary")).alias("sha1")).agg(F.min(id_col).alias("first_id"), F.count("*").alias("n"))

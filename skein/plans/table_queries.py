@@ -136,12 +136,10 @@ p as (select x.doc_id a, y.doc_id b, list_sum(list_transform(list_zip(x.g,y.g),
 select a, b, round(dist/mass,6) as distance from p where dist/mass<0.02""")
 def sig_distance_dups(spark, d):
     text = F.col("text")
-    sig = F.array(*[F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in "aeinst"])
-    s_ = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "lang", F.floor(F.col("n_chars") / 50).alias("cell"), sig.alias("g"))
-    a, b = s_.select("lang", "cell", F.col("doc_id").alias("a"), F.col("g").alias("ga")), s_.select("lang", "cell", F.col("doc_id").alias("b"), F.col("g").alias("gb"))
-    mass = lambda c: F.aggregate(c, F.lit(0), lambda t, x: t + x)
-    dist = mass(F.zip_with("ga", "gb", lambda x, y: F.abs(x - y))) / F.greatest(mass("ga"), mass("gb"), F.lit(1))
-    return a.join(b, ["lang", "cell"]).filter("a < b").withColumn("distance", dist).filter("distance < 0.02").select("a", "b", F.round("distance", 6).alias("distance"))
+    counts = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in "aeinst"]
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").withColumn("cell", F.floor(F.col("n_chars") / 50))
+    p = j.signature_pairs(docs, id_col="doc_id", counts=counts, bucket=["lang", "cell"], below=0.02)
+    return p.select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 @query("""
