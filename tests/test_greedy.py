@@ -40,6 +40,31 @@ def test_lines(spark, monkeypatch, cell):
     assert sorted(got, key=repr) == sorted(lines_one_by_one(rows), key=repr)
 
 
+def test_lines_fold_only_crossing_chains(spark, monkeypatch):
+    """Of 300 rows ten apart and one pair across an edge of slices, the pair alone is folded as greedy groups."""
+    monkeypatch.setattr(greedy, "SLICE", 100)
+    seen, plain = [], greedy.greedy_groups
+    monkeypatch.setattr(greedy, "greedy_groups", lambda df, *a, **more: seen.append(df.count()) or plain(df, *a, **more))
+    rows = [("a", 10 * i + 5, i % 7, i % 7 + 20) for i in range(300)] + [("b", 99, 0, 9), ("b", 100, 5, 30), ("b", 300, 0, 1)]
+    got = [(*r[:2], round(r[2], 9), *r[3:]) for r in greedy.merge_lines(spark.createDataFrame([(*r, "z") for r in rows], ROWS), "page").collect()]
+    assert sorted(got) == sorted(lines_one_by_one(rows)) and seen == [2]
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_lines_over_small_batches(spark, monkeypatch, n):
+    monkeypatch.setattr(greedy, "SLICE", 200)
+    g = random.Random(n)
+    rows = [(p, y, a, a + g.randrange(40)) for p in ("a", "b", None) for y in range(300) for a in [g.randrange(60)] if g.random() > 0.3]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(n))
+    try:
+        got = [(*r[:2], round(r[2], 9), *r[3:]) for r in greedy.merge_lines(spark.createDataFrame([(*r, "z") for r in rows], ROWS).repartition(3), "page").collect()]
+    finally:
+        spark.conf.set(size, before)
+    assert sorted(got, key=repr) == sorted(lines_one_by_one(rows), key=repr)
+
+
 def test_a_phase_that_never_settles(spark, monkeypatch):
     """Steps of one and groups of three: a wrong start would stay wrong in all slices, so only true jumps give this."""
     monkeypatch.setattr(greedy, "SLICE", 8)
