@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,15 +62,78 @@ def delete(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return df.join(gone.select(key), key, "left_anti")
 
 
+#: Rows of a block of ``similar_pairs``, and of the tiles within it whose products are taken at once.
+BLOCK, TILE = 16384, 1024
+
+
 def similar_pairs(df: DataFrame, *, id_col: str, vector: str, bucket: list[str], threshold: float) -> DataFrame:
     """Pairs (a < b) of one bucket with a dot product of at least ``threshold``: (bucket, a, b, dot).
 
-    Buckets bound the pairs; choose them so that a bucket stays small (cells of size, hash bands).
+    All pairs of a bucket are compared, so time grows with its square; memory does not.  Buckets are cut into
+    blocks of about ``BLOCK`` rows by their ids' hashes; each two blocks are one group, with tiles of matrix products.  Pairs
+    that may reach the threshold are summed again in the vector's own order in double precision.
+    Vectors that are null, hold a null or differ in length have no product; NaN counts as above all numbers.
     """
-    a = df.select(*bucket, F.col(id_col).alias("a"), F.col(vector).alias("__va"))
-    b = df.select(*bucket, F.col(id_col).alias("b"), F.col(vector).alias("__vb"))
-    dot = F.aggregate(F.zip_with("__va", "__vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, bucket).filter("a < b").withColumn("dot", dot).filter(F.col("dot") >= threshold).select(*bucket, "a", "b", "dot")
+    ids = df.schema[id_col].dataType
+    # floats are shuffled as they are, and widened in the tasks
+    numbers = F.col(vector) if df.schema[vector].dataType.simpleString() == "array<float>" else F.col(vector).cast("array<double>")
+    rows = df.select(*bucket, F.col(id_col).alias("__id"), numbers.alias("__v"))
+    rows = rows.dropna(subset=[*bucket, "__id", "__v"]).filter(~F.exists("__v", F.isnull)).withColumn("__n", F.size("__v"))
+    rows = stored(rows)
+    group = [*bucket, "__n"]
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).alias("__blocks"))
+    cut = rows.join(sizes, group).withColumn("__own", F.pmod(F.xxhash64("__id"), "__blocks"))
+    # block i meets all others: the group of two blocks is named by the smaller and the larger
+    meets = cut.withColumn("__with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
+    meets = meets.withColumns({"__lo": F.least("__own", "__with"), "__hi": F.greatest("__own", "__with")})
+    meets = meets.select(*group, "__lo", "__hi", "__own", "__id", "__v")
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in bucket)
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).select(["__own", "__id", "__v"]).combine_chunks()
+        n, lo, hi = (k.as_py() for k in key[-3:])
+        own = table["__own"].to_numpy()
+        vectors = table["__v"].combine_chunks().flatten().to_numpy().astype(float).reshape(len(own), n)
+        one = np.flatnonzero(own == lo)
+        other = one if lo == hi else np.flatnonzero(own == hi)
+        names = table["__id"].combine_chunks()
+        for left, right, dot in _reaching(vectors, one, other, threshold):
+            a, b = names.take(pa.array(left)), names.take(pa.array(right))
+            swap = pc.greater(a, b)
+            arrays = [pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.array(dot)]
+            kept = pa.RecordBatch.from_arrays([*[pa.repeat(k, len(dot)) for k in key[: len(bucket)]], *arrays], [*bucket, "a", "b", "dot"])
+            yield kept.filter(pc.not_equal(a, b))
+
+    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    named = f"a {ids.simpleString()}, b {ids.simpleString()}, dot double"
+    return meets.groupBy(*group, "__lo", "__hi").applyInArrow(run, f"{kinds}, {named}" if bucket else named)
+
+
+def _reaching(vectors: np.ndarray, one: np.ndarray, other: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, rows, dot products) of pairs from two lists of rows, or from one list, each pair once."""
+    with np.errstate(all="ignore"):
+        norms = np.sqrt((vectors * vectors).sum(axis=1))
+        plain = np.isfinite(norms)
+        for i in range(0, len(one), TILE):
+            left = one[i : i + TILE]
+            for k in range(i if one is other else 0, len(other), TILE):
+                right = other[k : k + TILE]
+                # by how much the order of a sum may change it
+                slack = (vectors.shape[1] + 8) * 2.0**-50 * norms[left][plain[left]].max(initial=0) * norms[right][plain[right]].max(initial=0)
+                may = ~(vectors[left] @ vectors[right].T < threshold - slack)
+                may[~plain[left]] = True
+                may[:, ~plain[right]] = True
+                if one is other and i == k:
+                    may = np.triu(may, 1)
+                p, q = np.nonzero(may)
+                for at in range(0, len(p), 1 << 16):
+                    a, b = left[p[at : at + (1 << 16)]], right[q[at : at + (1 << 16)]]
+                    dot = np.zeros(len(a))
+                    for d in range(vectors.shape[1]):
+                        dot += vectors[a, d] * vectors[b, d]
+                    kept = ~(dot < threshold)
+                    if kept.any():
+                        yield a[kept], b[kept], dot[kept]
 
 
 #: Cells that follow a cell or are it; of two neighbouring cells each one is ahead of the other once.
