@@ -147,7 +147,7 @@ def signature_pairs(df: DataFrame, *, id_col: str, counts: list[Column], bucket:
     1 - ``below`` of the larger, so their logarithms fall into one level or two adjacent ones.  A level bounds
     L1, and with it the difference of two sums of counts with signs: these are the coordinates of cells
     as wide as that bound.  A row meets its cell and those ahead in its own level, and all cells around its
-    place in the next level; each pair meets once, and few meet that are not near.
+    place in the next level; each pair meets once, and rows far apart don't.
     """
     g = [f"__g{i}" for i in range(len(counts))]
     rows = df.select(*bucket, F.col(id_col).alias("__id"), *[c.cast("long").alias(n) for c, n in zip(counts, g)])
