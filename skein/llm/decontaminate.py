@@ -31,6 +31,8 @@ WINDOW = 10
 BLOCK = 200_000
 #: Places that one step of an intersection looks at.
 STEP = 2_000_000
+#: Bytes of text in a shard, or one text if that is longer.
+SHARD_BYTES = 8 << 20
 SHARD = "doc_ids array<bigint>, keys array<bigint>, row_keys array<bigint>, ptr binary, terms array<binary>, counts binary, postings binary"
 _HITS = "doc bigint, key bigint, row_key bigint, n_words bigint, spans array<int>, items array<bigint>"
 
@@ -51,10 +53,19 @@ def _unpack(raw: bytes, counts: np.ndarray) -> np.ndarray:
     return total - np.repeat(base, counts)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``SHARD_BYTES`` of text at most, whatever the session's batches are."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SHARD_BYTES, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _portions(batches):
         data, offsets = buffers(batch.column("text"))
         data = LOWER[data]
         start, end, ptr = words(data, offsets, ALNUM)
@@ -73,7 +84,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The stored index: one row for each shard of documents, with all postings of all words."""
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.monotonically_increasing_id().alias("key"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).alias("text"))
-    return materialise(rows.mapInArrow(given_back(_shards), SHARD), "postings")
+    return materialise(rows.mapInArrow(given_back(_shards), SHARD), "postings", large_rows=True)
 
 
 class Shard:

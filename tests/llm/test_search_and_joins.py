@@ -4,6 +4,8 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from skein.llm import components, decontaminate, embedding_dedup, jaccard_join, suffix_dedup
@@ -50,6 +52,28 @@ def test_decontaminate_empty(spark, docs):
     assert decontaminate.decontaminate(docs([(1, "a b")]), none).first()[1:5] == (2, 0, 0, hashlib.sha256(b"").hexdigest())
 
 
+def test_stored_shards_are_read_one_by_one(spark, docs):
+    """Each shard is a row group of its own, without its bytes as statistics."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        index = decontaminate.build_index(docs([(d, f"w{d} " * 4) for d in range(30)]).coalesce(1))
+        files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = [m.row_group(k) for m in files for k in range(m.num_row_groups)]
+    assert len(groups) == 15 and all(g.num_rows == 1 and not g.column(g.num_columns - 1).is_stats_set for g in groups)
+    assert sorted(x for r in index.select("doc_ids").collect() for x in r.doc_ids) == list(range(30))
+
+
+def test_large_batches_are_several_shards(monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 40, raising=False)
+    texts = ["a b", None, "", "long " * 100, *["x y " * 4] * 6]
+    batch = pa.table({"doc": pa.array(range(10), pa.int64()), "key": pa.array(range(10), pa.int64()), "row_key": pa.array(range(10), pa.int64()), "text": texts}).to_batches()[0]
+    shards = list(decontaminate._shards(iter([batch, batch.slice(0, 0)])))
+    assert [s.column("doc_ids")[0].as_py() for s in shards] == [[0, 1, 2], [3], [4, 5], [6, 7], [8, 9]]
+    assert [np.diff(np.frombuffer(s.column("ptr")[0].as_py(), "<i8")).tolist() for s in shards] == [[2, 0, 0], [100], [8, 8], [8, 8], [8, 8]]
+
+
 def brute_near(rows, items, width, window=10):
     out = {}
     for d, t in rows:
