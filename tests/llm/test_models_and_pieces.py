@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 import time
@@ -207,6 +208,32 @@ def test_round_trip(spark, docs, vocabulary):
     assert abs(two[9, 0].score - two[9, 1].score - back[9].margin) < 1e-6
 
 
+@pytest.mark.parametrize("n", [1, 2, 4])
+def test_encode_gives_all_that_are_wanted(spark, docs, vocabulary, listed, n):
+    """The n best segmentations of whole texts, as brute force finds them; each decodes to the text."""
+    texts = ["an old hat", "aaa", "q", "日本 ▁", "old old old", "", None]
+    got = {r.doc_id: r for r in pieces.encode(docs(list(enumerate(texts))), n=n).collect()}
+    for d, t in enumerate(texts):
+        rows = [brute_paths(listed, c) for c in vocabulary.chunks(b" " + t.encode())] if t else []
+        every = sorted((sum(s for s, _ in c) for c in itertools.product(*rows)), reverse=True)
+        found = [got[d], *got[d].others]
+        assert [r.score for r in found] == every[:n] and got[d].margin == (every[0] - every[1] if min(n, len(every)) > 1 else None)
+        assert len({tuple(r.ids) for r in found}) == len(found) and all(vocabulary.decode(r.ids) == (t or "") for r in found) and got[d].round_trip
+        assert all(r.n_pieces == len(r.ids) and r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest() for r in found)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_others_of_texts_in_many_blocks(vocabulary, monkeypatch, block):
+    monkeypatch.setattr(pieces, "BLOCK", block)
+    texts = ["one two three " * 30, "", "x" * 900 + " end", "four five", None, "one two three " * 30]
+    for n in (2, 3):
+        ids, ends, score, others, same = pieces._segmented(vocabulary, pa.array(texts), n)
+        assert same.all()
+        for d, t in enumerate(texts):
+            got = [(score[d] / pieces.UNIT, ids[ends[d] : ends[d + 1]].tolist()), *((s / pieces.UNIT, i.tolist()) for s, i in others[d])]
+            assert got == vocabulary.nbest(t, n)
+
+
 def test_library_decodes_the_same(vocabulary):
     sentencepiece = pytest.importorskip("sentencepiece")
     lib = sentencepiece.SentencePieceProcessor(model_file=pieces.VOCABULARY)

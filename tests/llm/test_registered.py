@@ -80,6 +80,12 @@ def test_near_matches_hold_the_exact_ones(spark):
     assert exact <= {r.doc_id for r in queries.QUERIES["op2_near_matches"](spark, path).collect()}
 
 
+def test_pieces_has_the_second_best_too(spark):
+    got = queries.QUERIES["op6_pieces"](spark, f"{BASE}/sf0.001").collect()
+    assert any(r.others for r in got) and all(len(r.others) == (r.margin is not None) for r in got)
+    assert all(x.score == r.score - r.margin and x.ids_sha256 != r.ids_sha256 and x.n_pieces > 0 for r in got for x in r.others)
+
+
 def test_pipeline_on_the_given_tables(spark):
     got = corpus_pipeline.run(spark, f"{BASE}/sf0.001").collect()
     assert got and all(r.round_trip and r.n_pieces == len(r.ids) for r in got)
